@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import codes, decontam, minhash, ngram, packing, pii, tokens, toxicity
+from . import codes, decontam, hamming, minhash, ngram, packing, pii, repeats, tokens, toxicity
 from .common import fold, new_folder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -20,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = hamming.sign_codes(table(spark, sf_dir, "embeddings"))
+    found = hamming.nearest(vectors, vectors.filter("id % 50 = 0"), k=10)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "distance")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), with_ids=False)
     return out.drop("ids")
@@ -36,6 +42,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), limit=512)
 
 
+def op5_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(table(spark, sf_dir, "documents"), length=100)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
@@ -68,6 +80,14 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+OP1_SQL = """
+WITH q AS (SELECT * FROM embeddings WHERE vec_id % 50 = 0),
+p AS (SELECT q.vec_id AS query_id, e.vec_id, CAST(list_sum(list_transform(range(1, 65), lambda i: CAST((q.embedding[i] > 0) <> (e.embedding[i] > 0) AS INTEGER))) AS INTEGER) AS distance
+      FROM q JOIN embeddings e ON q.vec_id <> e.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank FROM p)
+SELECT query_id, rank, vec_id, distance FROM r WHERE rank <= 10
+"""
+
 OP6_SQL = rf"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
 b AS (SELECT item_id, list_filter(regexp_split_to_array({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
@@ -98,6 +118,6 @@ FROM d LEFT JOIN n USING (doc_id) JOIN m USING (doc_id)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_best_fit_packing, op3_lm_scores, op4_token_counts, op6_decontamination, op7_personal_data, op8_minhash_near_duplicates, op9_toxicity, op10_token_files)
+    f.__name__: f for f in (op1_hamming_top_k, op2_best_fit_packing, op3_lm_scores, op4_token_counts, op5_repeated_substrings, op6_decontamination, op7_personal_data, op8_minhash_near_duplicates, op9_toxicity, op10_token_files)
 }
-ORACLE: dict[str, str] = {"op6_decontamination": OP6_SQL, "op8_minhash_near_duplicates": OP8_SQL}
+ORACLE: dict[str, str] = {"op1_hamming_top_k": OP1_SQL, "op6_decontamination": OP6_SQL, "op8_minhash_near_duplicates": OP8_SQL}
