@@ -40,8 +40,9 @@ def _in_map(bit_map: np.ndarray, tok: np.ndarray) -> np.ndarray:
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", scope: str = "query") -> DataFrame:
-    """Per row of ``docs``: ``doc_id, n_words, n_hit, spans, items``: words, words inside windows that occur, those word
-    ranges (start, end exclusive; they may overlap) and the distinct ids of items with occurring windows.
+    """Per row of ``docs``: ``doc_id, key, n_words, n_hit, spans, items``: the row's key (``row_key`` of id and text), words,
+    words inside windows that occur, those word ranges (start, end exclusive; they may overlap) and the distinct ids of
+    items with occurring windows.
 
     Null and wordless texts have no words and no hits; wordless items have no windows; a null item id hits but is not
     listed; repeated rows are answered each; empty tables give no rows or no hits; other columns are not read.
@@ -145,4 +146,4 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, doc_id: s
     named = found.select("key", "win").distinct().join(wins.select("win", "item_id").distinct(), "win").groupBy("key").agg(F.collect_set("item_id").alias("items"))
     out = base.select("doc_id", "key", "n_words").join(words, "key", "left").join(named, "key", "left")
     empty = F.array().cast("array<struct<start: long, stop: long>>")
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("spans", empty).alias("spans"), F.coalesce("items", F.array().cast(f"array<{kind}>")).alias("items"))
+    return out.select("doc_id", "key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("spans", empty).alias("spans"), F.coalesce("items", F.array().cast(f"array<{kind}>")).alias("items"))

@@ -90,9 +90,10 @@ def fit(
     return out
 
 
-def score(docs: DataFrame, weights: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row ``doc_id, score``: the model's probability, from the whole text alone. Null and empty texts get the
-    bias's probability; null ids stay null; repeated rows are scored each; other columns are not read."""
+def score(docs: DataFrame, weights: np.ndarray, doc_id: str = "doc_id", text: str = "text", passes: tuple[str, ...] = ()) -> DataFrame:
+    """Per row ``doc_id, score``: the model's probability, from the whole text alone; the columns in ``passes`` follow
+    as ``in_0``, ``in_1`` and so on. Null and empty texts get the bias's probability; null ids stay null; repeated rows
+    are scored each; other columns are not read."""
     keep = np.flatnonzero(weights)
     sent = docs.sparkSession.sparkContext.broadcast((keep, weights[keep].astype(np.float32)))
 
@@ -105,7 +106,10 @@ def score(docs: DataFrame, weights: np.ndarray, doc_id: str = "doc_id", text: st
             got = w[key]
             some = np.flatnonzero(got)
             total = np.bincount(row[some], got[some].astype(float), b.num_rows) + float(w[-1])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35)))), *b.columns[2:]], ["doc_id", "score", *names])
 
+    names = [f"in_{i}" for i in range(len(passes))]
+    types = "".join(f", {n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, passes, strict=True))
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), *[F.col(c).alias(n) for n, c in zip(names, passes, strict=True)])
+    return rows.mapInArrow(run, f"doc_id {kind}, score double{types}")
