@@ -4,10 +4,12 @@ Sketch of a set: in round i each element falls into a hashed bin (from round t o
 and a bin keeps the smallest (round, value). Rounds go on until all t bins are filled, which 2t rounds guarantee.
 Equal coordinates of two sketches estimate the Jaccard similarity with the concentration of t independent samples.
 
-Bands of equal coordinates give buckets of candidates. A bucket is never expanded into all its pairs at once: its
-members meet its smallest, links are verified on full sets and joined to components, and only buckets that still hold
-several components go on, with eight times as many pivots each round and all pairs between different components once
-the pivots would be as many as the members. So no candidate is given up, and groups of copies cost a star each.
+Bands of equal coordinates give buckets of candidates. Each bucket is first a star: its members meet one pivot, chosen
+by hash, and the links that hold on full sets are joined to components. Buckets that still hold several components
+(documents that are alike but not alike enough) form families. A family is cut into blocks of bounded size; a task
+gets two blocks with their sets and checks all their pairs that share a band and are not yet connected, by counting
+common shingles in bit rows. It returns links alone. So no candidate is given up, no pairs are written out, groups of
+copies cost a star, and no task holds more than two blocks.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,8 +59,48 @@ def sketches(items: list[np.ndarray], t: int) -> np.ndarray:
     return out
 
 
+def block_links(group: pd.DataFrame, bands: int, rows: int, percent: int) -> list[tuple[int, int]]:
+    """Links that connect components, among the pairs of two blocks (or within one) that share a band."""
+    x, y = int(group["x"].iloc[0]), int(group["y"].iloc[0])
+    group = group.sort_values(["block", "node"]).drop_duplicates(["node", "set"])
+    nodes, own, block = group["node"].tolist(), group["own"].tolist(), group["block"].to_numpy()
+    parts = [np.frombuffer(s, dtype=np.uint64) for s in group["set"]]
+    sizes, low = np.array([len(p) for p in parts]), np.stack([np.frombuffer(s, dtype=np.uint16) for s in group["low"]])
+    values, inverse, seen = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+    common = np.cumsum(seen > 1) - 1  # bits for shingles of several members alone
+    width = -(-int((seen > 1).sum()) // 64) or 1
+    bits, at = np.zeros((len(parts), width), dtype=np.uint64), np.repeat(np.arange(len(parts)), sizes)
+    keep = seen[inverse] > 1
+    place = common[inverse[keep]]
+    np.bitwise_or.at(bits, (at[keep], place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
+    parent = {c: c for c in own}
+
+    def find(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    out, root = [], np.array([find(c) for c in own])
+    for i in np.flatnonzero(block == x).tolist():
+        others = np.arange(i + 1, len(nodes)) if x == y else np.flatnonzero(block == y)
+        others = others[root[others] != root[i]]
+        others = others[100 * np.minimum(sizes[others], sizes[i]) >= percent * np.maximum(sizes[others], sizes[i])]
+        others = others[(low[others] == low[i]).reshape(len(others), bands, rows).all(axis=2).any(axis=1)]
+        for k in range(0, len(others), 256):
+            j = others[k : k + 256]
+            both = np.bitwise_count(bits[j] & bits[i]).sum(axis=1, dtype=np.int64)
+            for t in j[100 * both >= percent * (sizes[j] + sizes[i] - both)].tolist():
+                p, q = find(own[t]), find(own[i])
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    out.append((nodes[i], nodes[t]))
+        if out and len(others):
+            root = np.array([find(c) for c in own])
+    return out
+
+
 def near_duplicates(
-    docs: DataFrame, shingle: int = 5, percent: int = 75, bands: int = 40, rows: int = 4, doc_id: str = "doc_id", text: str = "text", scope: str = "query"
+    docs: DataFrame, shingle: int = 5, percent: int = 75, bands: int = 40, rows: int = 4, block_rows: int = 1024, block_shingles: int = 1 << 22, doc_id: str = "doc_id", text: str = "text", scope: str = "query"
 ) -> DataFrame:
     """Per row ``doc_id, n_shingles, component_id, kept``.
 
@@ -85,7 +128,8 @@ def near_duplicates(
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, data, offsets in slices(batches):
             got = sets(data, offsets, shingle)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in got], pa.binary())], ["node", "set"])
+            low = (sketches(got, bands * rows) & np.uint64(0xFFFF)).astype(np.uint16)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in got], pa.binary()), pa.array([x.tobytes() for x in low], pa.binary())], ["node", "set", "low"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -97,6 +141,9 @@ def near_duplicates(
                     ok[i] = 100 * both >= percent * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok))
 
+    def check_blocks(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(block_links(group, bands, rows, percent), columns=["a", "b"])
+
     rows_ = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     signs = staged(rows_.mapInArrow(signed, "doc_id long, n long, print binary, bands array<long>"), "signs", scope)
     known = signs.filter("doc_id is not null and n > 0")
@@ -105,38 +152,30 @@ def near_duplicates(
     shared = members.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
     members = staged(members.join(shared, "band"), "members", scope)
     need = members.select(F.col("node").alias("doc_id")).distinct()
-    full = staged(rows_.filter("doc_id is not null").join(need, "doc_id", "left_semi").mapInArrow(with_sets, "node long, set binary").dropDuplicates(["node", "set"]), "sets", scope)
+    full = staged(rows_.filter("doc_id is not null").join(need, "doc_id", "left_semi").mapInArrow(with_sets, "node long, set binary, low binary").dropDuplicates(["node", "set"]), "sets", scope)
 
     # Rows that repeat an id with other texts: their classes are one document.
     again = known.join(known.groupBy("doc_id").agg(F.min("print").alias("p"), F.max("print").alias("q")).filter("p <> q").select("doc_id"), "doc_id").join(classes.select("print", "node"), "print").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).filter("a <> b").distinct()
-    links, tested, comp, pivots = staged(again, "links", scope), None, None, 1
-    open_ = members
-    while True:
-        # comp is null in the first round: each class is alone
-        if pivots == 1:
-            chosen = open_.groupBy("band").agg(F.min(F.struct("node", "n")).alias("p")).select("band", "p.*").withColumn("own", F.col("node"))
-            every = open_.withColumn("own", F.col("node"))
-            pairs = every.join(chosen.select("band", F.col("node").alias("pivot"), F.col("own").alias("pivot_own"), F.col("n").alias("pivot_n")), "band")
-        else:
-            every, salt = open_, F.when(F.col("size") > pivots, F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(pivots))).otherwise(F.xxhash64("node"))
-            chosen = every.withColumn("salt", salt).groupBy("band", "salt").agg(F.min(F.struct("node", "n", "own")).alias("p")).select("band", "p.*")
-            pairs = every.join(chosen.select("band", F.col("node").alias("pivot"), F.col("own").alias("pivot_own"), F.col("n").alias("pivot_n")), "band")
-        pairs = pairs.filter(f"own <> pivot_own and node <> pivot and 100 * least(n, pivot_n) >= {percent} * greatest(n, pivot_n)")
-        pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "pairs", scope)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        joined = pairs.join(full.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(full.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-        found = staged(joined.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long").distinct(), "links", scope)
-        links = links.unionByName(found)
-        comp = staged(components(links, scope), "components", scope)
-        owned = open_.select("band", "node", "n", "size").join(comp.select("node", F.col("component")), "node", "left").withColumn("own", F.coalesce("component", "node")).drop("component")
-        undecided = owned.groupBy("band").agg(F.min("own").alias("p"), F.max("own").alias("q"), F.max("size").alias("s")).filter(f"p <> q and s > {max(2, pivots)}").select("band")
-        open_ = staged(owned.join(undecided, "band"), "open", scope)
-        if open_.isEmpty():
-            break
-        pivots *= 8
+    pivot = F.min(F.struct(F.xxhash64("node", "band").alias("at"), "node", "n")).alias("pivot")
+    chosen = members.groupBy("band").agg(pivot).select("band", F.col("pivot.node").alias("to"), F.col("pivot.n").alias("to_n"))
+    pairs = members.join(chosen, "band").filter(f"node <> to and 100 * least(n, to_n) >= {percent} * greatest(n, to_n)")
+    pairs = staged(pairs.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct(), "pairs", scope)
+    joined = pairs.join(full.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(full.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    links = staged(again.unionByName(joined.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")).distinct(), "links", scope)
+    comp = staged(components(links, scope), "components", scope)
+
+    # Families: classes that share a bucket with another component.
+    owned = members.select("band", "node", "n").join(comp, "node", "left").withColumn("own", F.coalesce("component", "node"))
+    mixed = owned.groupBy("band").agg(F.min("own").alias("p"), F.max("own").alias("q"), F.min("node").alias("head")).filter("p <> q").select("band", "head")
+    kin = staged(owned.join(mixed, "band").select("node", "n", "own", "head").distinct(), "kin", scope)
+    family = components(kin.filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")), scope).select("node", F.col("component").alias("family"))
+    kin = kin.select("node", "n", "own").distinct().join(family, "node")
+    blocks = kin.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks"))
+    dealt = kin.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(full, "node").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.select("family", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "own", "set", "low")
+    more = staged(dealt.groupBy("family", "x", "y").applyInPandas(check_blocks, "a long, b long"), "links", scope)
+    comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), scope)
     whole = classes.select("print", "node").join(comp, "node", "left").select("print", F.coalesce("component", "node").alias("component"))
     out = signs.join(whole, "print", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
