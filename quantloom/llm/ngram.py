@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import mounted, staged
 from .words import SPACES, mix, slices, spans, word_hashes
 
-BEGIN, END, FLUSH = 0, 1, 1 << 22
+BEGIN, END, FLUSH = 0, 1, 1 << 21
 
 
 def token_pairs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -41,7 +41,7 @@ def ftrl(rows: list[np.ndarray], labels: list[int], alpha: float, beta: float, l
     """Indices and values of the weights that aren't zero; index 2**BITS is the bias, which has no L1."""
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     bias = 1 << BITS
-    rows = [np.append(x, bias) for x in rows]
+    rows = [np.append(x, np.int32(bias)) for x in rows]
 
     def weights(x):
         zi = z[x]
@@ -61,7 +61,7 @@ def ftrl(rows: list[np.ndarray], labels: list[int], alpha: float, beta: float, l
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = 16000, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.0, epochs: int = 6, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = 12000, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.0, epochs: int = 6, doc_id: str = "doc_id", text: str = "text"
 ) -> np.ndarray:
     """Weights (2**BITS + 1 doubles) from ``labels`` (``doc_id`` and a 0/1 column) joined with ``docs``.
 
@@ -77,7 +77,7 @@ def fit(
 
     def train(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("at")
-        i, w = ftrl([np.asarray(x, dtype=np.int64) for x in group["x"]], group["y"].tolist(), alpha, beta, l1, l2, epochs)
+        i, w = ftrl([np.asarray(x) for x in group["x"]], group["y"].tolist(), alpha, beta, l1, l2, epochs)
         return pd.DataFrame({"i": i, "w": w})
 
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).filter("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))

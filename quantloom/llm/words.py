@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK, SLICE = 1 << 20, 1 << 23
+BLOCK, SLICE = 1 << 20, 1 << 21
 _A = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(int(_A), -1, 1 << 64))
 
