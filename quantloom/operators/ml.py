@@ -29,7 +29,7 @@ def targets(df: DataFrame, horizon: int = 1, kind: str = "return", strict: bool
 def risk_features(df: DataFrame) -> DataFrame:
     """All risk columns beside the bars; return-based ones are null on a symbol's first bar."""
     r = risk.daily(df)
-    r = risk.vol_ratios(risk.ewma_volatility(risk.realized_volatility(risk.rolling_es(risk.rolling_var(r)))))
+    r = risk.vol_ratios(risk.ewma_volatility(risk.realized_volatility(risk.rolling_es(risk.rolling_var(r))), (5, 10, 21, 63)))
     d = drawdown.features(df).select("symbol", "date", "drawdown", "current_drawdown", "underwater", "days_since_peak", "drawdown_zscore")
     r = risk.risk_adjusted(risk.tail_risk(risk.vol_regime(r)).join(d.select("symbol", "date", "drawdown"), [*KEYS])).drop("close", "ret", "drawdown")
     return d.drop("drawdown").join(r, [*KEYS], "left")
@@ -187,8 +187,8 @@ def trading_signals(df: DataFrame, confidence_threshold: float = 0.5, strength_t
     """From ``probability`` and, where not null, ``expected_return``: ``confidence, strength, direction`` (-1, 0, 1)."""
     p = F.col("probability")
     sure, base = 2 * F.abs(p - 0.5), 2 * (p - 0.5)
-    factor = F.greatest(F.lit(-2.0), F.least(F.lit(2.0), F.col("expected_return") / 0.02))
-    raw = base * F.coalesce((1 + F.abs(factor)) / 2, F.lit(1.0)) * sure
+    size = F.least(F.lit(2.0), F.abs("expected_return") / 0.02)  # least() skips nulls, so these are told apart first
+    raw = base * F.when(F.col("expected_return").isNull(), F.lit(1.0)).otherwise((1 + size) / 2) * sure
     low = sure < confidence_threshold
     strength = F.when(low, F.lit(0.0)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw)))
     side = F.when(F.abs(p - 0.5) < neutral, 0).when(p > 0.5, 1).otherwise(-1)

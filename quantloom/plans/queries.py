@@ -453,7 +453,7 @@ FINAL SELECT symbol, avg(pow(expected_return - (probability - 0.5), 2)) AS mse,
  1 - avg(pow(expected_return - (probability - 0.5), 2)) / var_pop(expected_return) AS r2, avg(CAST(sign(expected_return) = sign(probability - 0.5) AS INTEGER)) AS direction_accuracy FROM sc WHERE expected_return IS NOT NULL GROUP BY symbol""",
     keys="symbol", r6="mse rmse mae r2 direction_accuracy",
 )
-_TS = "ts AS (SELECT *, 2 * abs(probability - 0.5) AS confidence, CASE WHEN 2 * abs(probability - 0.5) < 0.5 THEN 0 ELSE greatest(-1, least(1, 2 * (probability - 0.5) * coalesce((1 + abs(greatest(-2, least(2, expected_return / 0.02)))) / 2, 1) * 2 * abs(probability - 0.5))) END AS strength, CASE WHEN 2 * abs(probability - 0.5) < 0.5 OR abs(probability - 0.5) < 0.05 THEN 0 WHEN probability > 0.5 THEN 1 ELSE -1 END AS direction FROM sc)"
+_TS = "ts AS (SELECT *, 2 * abs(probability - 0.5) AS confidence, CASE WHEN 2 * abs(probability - 0.5) < 0.5 THEN 0 ELSE greatest(-1, least(1, 2 * (probability - 0.5) * CASE WHEN expected_return IS NULL THEN 1 ELSE (1 + least(2, abs(expected_return) / 0.02)) / 2 END * 2 * abs(probability - 0.5))) END AS strength, CASE WHEN 2 * abs(probability - 0.5) < 0.5 OR abs(probability - 0.5) < 0.05 THEN 0 WHEN probability > 0.5 THEN 1 ELSE -1 END AS direction FROM sc)"
 add("trading_signals", lambda s, d: ml.trading_signals(_scores(s, d)), "WITH " + _SC + ",\n" + _TS + "\nFINAL SELECT * FROM ts", keys="l_orderkey l_linenumber symbol", r6="confidence strength", ints="direction")
 add("rank_signals", lambda s, d: ml.rank_signals(ml.trading_signals(_scores(s, d)), "expected_return", 25, ties=("l_orderkey", "l_linenumber")), "WITH " + _SC + ",\n" + _TS + "\nFINAL SELECT *, abs(coalesce(expected_return, 0)) AS rank_value FROM ts ORDER BY rank_value DESC, l_orderkey, l_linenumber LIMIT 25", keys="l_orderkey l_linenumber", r6="rank_value strength")
 add("prediction_labels", lambda s, d: ml.prediction_labels(_scores(s, d)), "WITH " + _SC + "\nFINAL SELECT *, CASE WHEN probability > 0.55 THEN 'bullish' WHEN probability < 0.45 THEN 'bearish' ELSE 'neutral' END AS signal, round_even(greatest(probability, 1 - probability), 3) AS confidence, round_even((2 * CAST(probability > 0.5 AS INTEGER) - 1) * greatest(probability, 1 - probability), 3) AS strength FROM sc", keys="l_orderkey l_linenumber signal", r6="confidence strength")
