@@ -72,8 +72,10 @@ def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    if not len(shard):
+        return
     order = np.argsort(shard, kind="stable")
-    at = np.flatnonzero(np.concatenate([[True], np.diff(shard[order]) != 0])) if len(order) else []
+    at = np.flatnonzero(np.concatenate([[True], np.diff(shard[order]) != 0]))
     for a, z in zip(at, [*at[1:], len(order)], strict=True):
         yield int(shard[order[a]]), order[a:z]
 

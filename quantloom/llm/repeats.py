@@ -4,14 +4,17 @@ Of each ``length`` bytes in a row one place is the anchor: that with the smalles
 on. Equal strings have their anchor at the same place inside, so all repeats of ``length`` bytes meet at anchors, and an
 anchor with what lies ``length - GRAM`` bytes before and ``length`` bytes after its start (its context) decides them.
 
-1. Partitions list the hashes of their anchors; shards keep those that occur twice, as sorted arrays in the shared
-   folder, which workers map. 2. Occurrences of these anchors fall into classes of equal contexts. All occurrences of a
-   class but its first repeat it whole. 3. Anchors with several classes: an array of their suffixes, sorted, with the
-   longest common prefixes of neighbours, is scanned with a stack for its prefix intervals. Inside an interval the same
-   scan over the texts to the left, sorted backwards, finds whether and how its members extend to the left: where they
-   differ on both sides is a maximal repeat, with all its occurrences, and all but the first are marked. Anchors with
-   more than ``crowd`` classes are decided by hashes of their single windows instead, pre-aggregated, so that no anchor
-   makes a large task.
+1. Partitions list the hashes of their anchors; shards keep those that occur twice. 2. Occurrences of these anchors fall
+into classes of equal contexts; the first of each class is found by a pre-aggregated minimum. 3. Anchors with several
+classes: an array of their suffixes, sorted, with the longest common prefixes of neighbours, is scanned with a stack for
+its prefix intervals. Inside an interval the same scan over the texts to the left, sorted backwards, finds whether and how
+its members extend to the left: where they differ on both sides is a maximal repeat, with all its occurrences, and all
+but the first are marked. Anchors with more than ``crowd`` classes are decided by hashes of their single windows instead,
+pre-aggregated, so that no anchor makes a large task. 4. A last pass removes, of each text, the contexts of all
+occurrences that aren't the first of their class, and what was marked.
+
+Between the passes stand sorted arrays in shards of the shared folder (anchors that occur twice, first occurrences, marks),
+which workers map. Texts are read once for each pass and never shuffled; only contexts of undecided classes are.
 """
 
 from __future__ import annotations
@@ -146,26 +149,71 @@ def marked(contexts: list[tuple[bytes, bytes]], length: int) -> list[list[tuple[
     return out
 
 
+def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal runs that the ranges cover; runs that touch are one."""
+    out: list[tuple[int, int]] = []
+    for a, z in sorted(ranges):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], z))
+        else:
+            out.append((a, z))
+    return out
+
+
+def place(key: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Hash of an occurrence: its text's key and its place there."""
+    return mix(key.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + pos.astype(np.uint64))
+
+
 class KeySet:
-    """Sorted shards of 64-bit keys in the shared folder, mapped."""
+    """Sorted shards of 64-bit keys in the shared folder, mapped, with columns beside them."""
 
     def __init__(self, folder: str, n: int):
         self.to, self.n, self.files = mounted(folder), n, {}
 
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys), dtype=bool)
+    def array(self, s: int, name: str = "keys") -> np.ndarray | None:
+        if (s, name) not in self.files:
+            path = f"{self.to}/set-{s:06d}.{name}.npy"
+            self.files[s, name] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
+        return self.files[s, name]
+
+    def shards(self, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Shards that are there, each with the places of its keys, in order of keys."""
         order = np.argsort(keys)
         for s, i in by_shard((keys[order] % np.uint64(self.n)).astype(np.int32)):
-            if s not in self.files:
-                path = f"{self.to}/keys-{s:06d}.keys.npy"
-                self.files[s] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
-            have = self.files[s]
+            have = self.array(s)
             if have is not None and len(have):
-                k = keys[order[i]]
-                out[order[i]] = have[np.minimum(np.searchsorted(have, k), len(have) - 1)] == k
+                yield s, order[i]
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(keys), dtype=bool)
+        for s, i in self.shards(keys):
+            have = self.array(s)
+            out[i] = have[np.minimum(np.searchsorted(have, keys[i]), len(have) - 1)] == keys[i]
         return out
 
 
+def write_set(df: DataFrame, folder: str, n: int) -> None:
+    """Write a KeySet of the first column's values (long), or of the places the first two stand for."""
+    pair = len(df.columns) == 2
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key = b.column(0).to_numpy()
+            h = place(key, b.column(1).to_numpy()) if pair else key.view(np.uint64)
+            rows = [(s, h[i].tobytes()) for s, i in by_shard((h % np.uint64(n)).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "hashes"])
+
+    to = mounted(folder)
+
+    def put(group: pd.DataFrame) -> pd.DataFrame:
+        shard = int(group["shard"].iloc[0])
+        save(to, f"set-{shard:06d}", keys=np.unique(np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in group["hashes"]])))
+        return pd.DataFrame({"shard": [shard]})
+
+    df.mapInArrow(deal, "shard int, hashes binary").groupBy("shard").applyInPandas(put, "shard int").agg(F.count("*")).first()
+
+
 def remove_repeats(docs: DataFrame, length: int = 100, crowd: int = 256, doc_id: str = "doc_id", text: str = "text", scope: str = "query") -> DataFrame:
     """Per row ``doc_id, n_bytes, spans, kept``: bytes of the text, the maximal runs (start, stop; byte offsets) covered
     by a string of ``length`` bytes that also starts earlier (smaller id, or earlier in the same text), and the bytes
@@ -208,117 +256,143 @@ def remove_repeats(docs: DataFrame, length: int = 100, crowd: int = 256, doc_id:
             again = np.concatenate([h[1:] == h[:-1], [False]]) | twice
             shard = int(group["shard"].iloc[0])
             keys = np.unique(h[again])
-            save(folder, f"keys-{shard:06d}", keys=keys)
+            save(folder, f"set-{shard:06d}", keys=keys)
             return pd.DataFrame({"shard": [shard], "keys": [len(keys)]})
 
         return run
 
-    def occurrences(folder: str, contents: bool):
+    def occurrences(twice: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = KeySet(folder, n)
+            known = KeySet(twice, n)
             for b in batches:
                 ids, keys = b.column(1).to_numpy(), b.column(2).to_numpy()
                 for p in pieces(b.column(0)):
                     row, at, h, left, right = p.anchors(length)
-                    some = np.flatnonzero(known.has(h))
-                    if not len(some):
-                        continue
-                    row, at, h, left, right = row[some], at[some], h[some], left[some], right[some]
+                    i = np.flatnonzero(known.has(h))
+                    row, at, h, left, right = row[i], at[i], h[i], left[i], right[i]
                     ch = mix(p.hashes(at - left, at + right) + left.astype(np.uint64) * np.uint64(977))
                     own = p.rows[row]
-                    cols = [pa.array(h.view(np.int64)), pa.array(ch.view(np.int64)), pa.array(ids[own]), pa.array(keys[own]), pa.array(at - p.bounds[row] + p.base), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32))]
-                    names = ["h", "ch", "doc_id", "key", "pos", "l", "r"]
-                    if contents:
-                        raw = p.data.tobytes()
-                        cols.append(pa.array([raw[x:y] for x, y in zip((at - left).tolist(), (at + right).tolist(), strict=True)], pa.binary()))
-                        names.append("context")
-                    yield pa.RecordBatch.from_arrays(cols, names)
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ch.view(np.int64)), pa.array(ids[own]), pa.array(keys[own]), pa.array(at - p.bounds[row] + p.base)], ["h", "ch", "doc_id", "key", "pos"])
+
+        return run
+
+    def contexts(chosen: str, crowds: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, crowded = KeySet(chosen, n), KeySet(crowds, n)
+            for b in batches:
+                ids, keys = b.column(1).to_numpy(), b.column(2).to_numpy()
+                for p in pieces(b.column(0)):
+                    row, at, h, left, right = p.anchors(length)
+                    pos, own = at - p.bounds[row] + p.base, p.rows[row]
+                    i = np.flatnonzero(known.has(place(keys[own], pos)))
+                    raw = p.data.tobytes()
+                    text = pa.array([raw[x:y] for x, y in zip((at - left)[i].tolist(), (at + right)[i].tolist(), strict=True)], pa.binary())
+                    cols = [pa.array(h[i].view(np.int64)), pa.array(ids[own[i]]), pa.array(keys[own[i]]), pa.array(pos[i]), pa.array(left[i].astype(np.int32)), text, pa.array(crowded.has(h[i]))]
+                    yield pa.RecordBatch.from_arrays(cols, ["h", "doc_id", "key", "pos", "l", "context", "crowded"])
 
         return run
 
     def scan_arrays(group: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        for h, part in group.sort_values(["h", "doc_id", "key", "pos"]).groupby("h", sort=False):
-            contexts = [(c[:x], c[x:]) for c, x in zip(part["context"], part["l"].tolist(), strict=True)]
-            for ch, ranges in zip(part["ch"].tolist(), marked(contexts, length), strict=True):
-                if ranges:
-                    rows.append((h, ch, [x for r in ranges for x in r]))
-        return pd.DataFrame(rows, columns=["h", "ch", "ranges"])
+        group = group.drop_duplicates(["h", "key", "pos"]).sort_values(["h", "doc_id", "key", "pos"])
+        for _, part in group.groupby("h", sort=False):
+            found = marked([(c[:x], c[x:]) for c, x in zip(part["context"], part["l"].tolist(), strict=True)], length)
+            for key, pos, ranges in zip(part["key"].tolist(), part["pos"].tolist(), found, strict=True):
+                rows += [(key, pos + a, pos + z) for a, z in merged(ranges)]
+        return pd.DataFrame(rows, columns=["key", "start", "stop"])
 
     def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Hashes of all windows of crowded contexts, by their distance from the anchor."""
         for b in batches:
-            data, offsets = buffers(b.column(2).cast(pa.large_binary()).view(pa.large_string()))
-            left = b.column(3).to_numpy().astype(np.int64)
-            for i in range(0, b.num_rows, 4096):
-                lo, hi = int(offsets[i]), int(offsets[min(i + 4096, b.num_rows)])
-                run = np.zeros(hi - lo + 1, dtype=np.uint64)
-                np.cumsum(BYTE[data[lo:hi]] * POW[: hi - lo], out=run[1:])
-                own = np.arange(i, min(i + 4096, b.num_rows))
+            for k in range(0, b.num_rows, 4096):
+                part = b.slice(k, 4096)
+                raw, left = part.column(1).to_pylist(), part.column(2).to_numpy().astype(np.int64)
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+                data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+                run = np.zeros(len(data) + 1, dtype=np.uint64)
+                np.cumsum(BYTE[data] * POW[: len(data)], out=run[1:])
                 for o in range(before + 1):
-                    ok = own[(left[own] >= o) & (offsets[own + 1] - offsets[own] - left[own] >= length - o)]
-                    a = offsets[ok] + left[ok] - o - lo
+                    ok = np.flatnonzero((left >= o) & (offsets[1:] - offsets[:-1] - left >= length - o))
+                    a = offsets[ok] + left[ok] - o
                     win = mix((run[a + length] - run[a]) * INV[a] + np.uint64(o))
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ok)), b.column(1).take(pa.array(ok)), pa.array(np.full(len(ok), o, np.int32)), pa.array(win.view(np.int64)), b.column(4).take(pa.array(ok)), b.column(5).take(pa.array(ok)), b.column(6).take(pa.array(ok))], ["h", "ch", "o", "win", "doc_id", "key", "pos"])
+                    own = part.take(pa.array(ok))
+                    yield pa.RecordBatch.from_arrays([own.column(0), pa.array(np.full(len(ok), o, np.int32)), pa.array(win.view(np.int64)), own.column(3), own.column(4), own.column(5)], ["h", "o", "win", "doc_id", "key", "pos"])
+
+    def put_marks(folder: str):
+        def run(group: pd.DataFrame) -> pd.DataFrame:
+            shard = int(group["shard"].iloc[0])
+            key = group["key"].to_numpy(dtype=np.int64).view(np.uint64)
+            order = np.argsort(key, kind="stable")
+            save(folder, f"set-{shard:06d}", keys=key[order], start=group["start"].to_numpy(dtype=np.int64)[order], stop=group["stop"].to_numpy(dtype=np.int64)[order])
+            return pd.DataFrame({"shard": [shard]})
+
+        return run
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def remove(twice: str, firsts: str, marks: str):
         span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-        for b in batches:
-            size, spans, kept = [], [], []
-            for t, ranges in zip(b.column(1).to_pylist(), b.column(2), strict=True):
-                raw = t.encode()
-                size.append(len(raw))
-                out, keep, at = [], [], 0
-                if ranges.is_valid:
-                    v = ranges.values
-                    a, z = v.field(0).to_numpy(), v.field(1).to_numpy()
-                    order = np.argsort(a, kind="stable")
-                    a, z = a[order], np.maximum.accumulate(z[order])
-                    new = np.concatenate([[True], a[1:] > z[:-1]])
-                    first = np.flatnonzero(new)
-                    out = list(zip(a[first].tolist(), z[np.append(first[1:], len(a)) - 1].tolist(), strict=True))
-                for x, y in out:
-                    keep.append(raw[at:x])
-                    at = y
-                keep.append(raw[at:])
-                spans.append([{"start": x, "stop": y} for x, y in out])
-                kept.append(b"".join(keep))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
-
-    folder, crowded = new_folder(spark, "anchors", scope), new_folder(spark, "anchors", scope)
-    for f in (folder, crowded):
-        os.makedirs(mounted(f), exist_ok=True)
-    ordered.select("text").mapInArrow(list_hashes, "shard int, hashes binary, twice binary").groupBy("shard").applyInPandas(keep_twice(mounted(folder)), "shard int, keys long").agg(F.sum("keys")).first()
-    light = "h long, ch long, doc_id long, key long, pos long, l int, r int"
-    occ = staged(ordered.mapInArrow(occurrences(folder, False), light), "occurrences", scope)
-    first = F.min(F.struct("doc_id", "key", "pos")).alias("first")
-    classes = staged(occ.groupBy("h", "ch").agg(first), "classes", scope)
 
-    # Anchors with several classes: their classes' first contexts.
-    many = classes.groupBy("h").agg(F.count("*").alias("classes")).filter("classes > 1")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, first, other = KeySet(twice, n), KeySet(firsts, n), KeySet(marks, n)
+            for b in batches:
+                keys = b.column(1).to_numpy()
+                found = [(np.zeros(0, np.int64),) * 3]
+                for p in pieces(b.column(0)):
+                    row, at, h, left, right = p.anchors(length)
+                    i = np.flatnonzero((left + right >= length) & known.has(h))
+                    pos, own = (at - p.bounds[row] + p.base)[i], p.rows[row[i]]
+                    again = ~first.has(place(keys[own], pos))
+                    found.append((own[again], (pos - left[i])[again], (pos + right[i])[again]))
+                mine = keys.view(np.uint64)
+                for s, i in other.shards(mine):
+                    have = other.array(s)
+                    for r, x, y in zip(i.tolist(), np.searchsorted(have, mine[i]).tolist(), np.searchsorted(have, mine[i], "right").tolist(), strict=True):
+                        if x < y:
+                            found.append((np.full(y - x, r), other.array(s, "start")[x:y], other.array(s, "stop")[x:y]))
+                row, start, stop = (np.concatenate([f[k] for f in found]) for k in range(3))
+                order = np.lexsort((start, row))
+                row, start, stop = row[order], start[order], stop[order]
+                at = np.searchsorted(row, np.arange(b.num_rows + 1))
+                data, offsets = buffers(b.column(0))
+                spans, kept = [], []
+                for r, (x, y) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+                    raw = data[offsets[r] : offsets[r + 1]].tobytes()
+                    runs, parts, done = merged(list(zip(start[x:y].tolist(), stop[x:y].tolist(), strict=True))), [], 0
+                    for a, z in runs:
+                        parts.append(raw[done:a])
+                        done = z
+                    parts.append(raw[done:])
+                    spans.append([{"start": a, "stop": z} for a, z in runs])
+                    kept.append(b"".join(parts))
+                yield pa.RecordBatch.from_arrays([b.column(2), pa.array(np.diff(offsets)), pa.array(spans, span), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
-    def write_keys(group: pd.DataFrame) -> pd.DataFrame:
-        shard = int(group["shard"].iloc[0])
-        save(mounted(crowded), f"keys-{shard:06d}", keys=np.sort(group["h"].to_numpy(dtype=np.int64).view(np.uint64)))
-        return pd.DataFrame({"shard": [shard]})
+        return run
 
-    many = staged(many, "several", scope)
-    unsigned = f"cast(pmod(pmod(h, {n}L) + case when h < 0 then {pow(2, 64, n)}L else 0L end, {n}L) as int) as shard"
-    many.selectExpr("h", unsigned).groupBy("shard").applyInPandas(write_keys, "shard int").agg(F.count("*")).first()
-    contents = ordered.mapInArrow(occurrences(crowded, True), light + ", context binary")
-    chosen = contents.join(classes, ["h", "ch"]).filter("doc_id = first.doc_id and key = first.key and pos = first.pos").drop("first").dropDuplicates(["h", "ch"])
-    chosen = staged(chosen.join(many, "h"), "contexts", scope)
+    def folder() -> str:
+        path = new_folder(spark, "anchors", scope)
+        os.makedirs(mounted(path), exist_ok=True)
+        return path
+
+    twice, firsts, chosen, crowds, marks = (folder() for _ in range(5))
+    ordered.select("text").mapInArrow(list_hashes, "shard int, hashes binary, twice binary").groupBy("shard").applyInPandas(keep_twice(mounted(twice)), "shard int, keys long").agg(F.sum("keys")).first()
+    found = ordered.mapInArrow(occurrences(twice), "h long, ch long, doc_id long, key long, pos long")
+    first = F.min(F.struct("doc_id", "key", "pos")).alias("first")
+    classes = staged(found.groupBy("h", "ch").agg(first).select("h", "first.key", "first.pos"), "classes", scope)
+    write_set(classes.select("key", "pos"), firsts, n)
+
+    # Anchors with several classes: the contexts of their classes' first occurrences.
+    several = staged(classes.groupBy("h").agg(F.count("*").alias("classes")).filter("classes > 1"), "several", scope)
+    write_set(classes.join(several, "h").select("key", "pos"), chosen, n)
+    write_set(several.filter(f"classes > {crowd}").select("h"), crowds, n)
+    shown = staged(ordered.mapInArrow(contexts(chosen, crowds), "h long, doc_id long, key long, pos long, l int, context binary, crowded boolean"), "contexts", scope)
     part = F.pmod(F.xxhash64("h"), F.lit(4 * n)).alias("part")
-    scanned = chosen.filter(f"classes <= {crowd}").groupBy(part).applyInPandas(scan_arrays, "h long, ch long, ranges array<int>")
-    scanned = scanned.select("h", "ch", F.expr("transform(sequence(0, size(ranges) div 2 - 1), i -> struct(ranges[2 * i] as a, ranges[2 * i + 1] as z))").alias("marks"))
-    wins = chosen.filter(f"classes > {crowd}").select("h", "ch", "context", "l", "doc_id", "key", "pos").mapInArrow(windows_of, "h long, ch long, o int, win long, doc_id long, key long, pos long")
-    wins = staged(wins, "windows", scope)
+    scanned = shown.filter("not crowded").groupBy(part).applyInPandas(scan_arrays, "key long, start long, stop long")
+    wins = shown.filter("crowded").select("h", "context", "l", "doc_id", "key", "pos").mapInArrow(windows_of, "h long, o int, win long, doc_id long, key long, pos long")
+    wins = staged(wins.distinct(), "windows", scope)
     earliest = wins.groupBy("h", "o", "win").agg(first, F.count("*").alias("n")).filter("n > 1")
-    dense = wins.join(earliest, ["h", "o", "win"]).filter("not (doc_id = first.doc_id and key = first.key and pos = first.pos)").groupBy("h", "ch").agg(F.collect_list(F.struct((-F.col("o")).alias("a"), (F.lit(length) - F.col("o")).alias("z"))).alias("marks"))
-    decided = classes.join(scanned.unionByName(dense), ["h", "ch"], "left")
-    met = occ.join(decided, ["h", "ch"])
-    is_first = "doc_id = first.doc_id and key = first.key and pos = first.pos"
-    whole = "array(struct(cast(-l as int) as a, r as z))"
-    ranges = F.expr(f"case when {is_first} then marks when l + r >= {length} then {whole} end")
-    per_doc = met.select("key", "pos", F.explode(ranges).alias("m")).select("key", (F.col("pos") + F.col("m.a")).alias("start"), (F.col("pos") + F.col("m.z")).alias("stop")).groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    return keyed.join(per_doc, "key", "left").select("doc_id", "text", "ranges").mapInArrow(apply, "doc_id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary")
+    later = wins.join(earliest, ["h", "o", "win"]).filter("not (doc_id = first.doc_id and key = first.key and pos = first.pos)")
+    later = later.select("key", (F.col("pos") - F.col("o")).alias("start"), (F.col("pos") - F.col("o") + length).alias("stop"))
+    two64 = f"cast({1 << 64} as decimal(38,0))"
+    shard = F.expr(f"cast((case when key < 0 then cast(key as decimal(38,0)) + {two64} else cast(key as decimal(38,0)) end) % {n} as int)").alias("shard")
+    every = staged(scanned.unionByName(later).select(shard, "key", "start", "stop"), "marks", scope)
+    every.groupBy("shard").applyInPandas(put_marks(mounted(marks)), "shard int").agg(F.count("*")).first()
+    return keyed.select("text", "key", "doc_id").mapInArrow(remove(twice, firsts, marks), "doc_id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary")
