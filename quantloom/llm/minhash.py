@@ -178,4 +178,5 @@ def near_duplicates(
     comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), scope)
     whole = classes.select("print", "node").join(comp, "node", "left").select("print", F.coalesce("component", "node").alias("component"))
     out = signs.join(whole, "print", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
