@@ -174,6 +174,26 @@ def walk_forward(df: DataFrame, kind: str = "classifier", n_splits: int = 5, gap
     return out
 
 
+def walk_forward_horizons(bars: DataFrame, features: DataFrame, horizons: tuple[int, ...] = (1, 5, 21), **options) -> DataFrame:
+    """``walk_forward`` for the direction over several horizons, with a ``horizon`` column."""
+    out = None
+    for h in horizons:
+        goal = targets(bars, h, "direction", strict=True).select(*KEYS, "target").na.drop()
+        part = walk_forward(features.join(goal, [*KEYS]).na.drop("any"), **options).withColumn("horizon", F.lit(h))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def compare_models(df: DataFrame, settings: dict[str, dict]) -> DataFrame:
+    """Fold means and deviations of several walk-forward settings (``model, metric, mean, std``)."""
+    out = None
+    for name, options in settings.items():
+        found = walk_forward(df, **options)
+        part = fold_summary(found, [c for c in found.columns if c != "fold"]).withColumn("model", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def feature_importance(df: DataFrame, kind: str = "classifier", trees: int = 20, depth: int = 5, top: int | None = None) -> DataFrame:
     """``feature, importance, importance_pct`` of a model over all rows (impurity decrease), largest first."""
     names = feature_names(df)

@@ -195,61 +195,99 @@ def risk_adjusted(df: DataFrame, window: int = 21) -> DataFrame:
     )
 
 
+def _variances(x: np.ndarray, omega: float, a: float, b: float) -> np.ndarray:
+    out = np.empty(len(x))
+    out[0] = x.var()
+    for t in range(1, len(x)):
+        out[t] = omega + a * x[t - 1] ** 2 + b * out[t - 1]
+    return out
+
+
+def _parameters(p: np.ndarray) -> tuple[float, float, float]:
+    """A positive omega, alpha and beta between 0 and 1, from free values."""
+    return float(np.exp(p[0])), float(1 / (1 + np.exp(-p[1]))), float(1 / (1 + np.exp(-p[2])))
+
+
+def _simplex(f, start: tuple[float, ...], rounds: int = 250) -> tuple[np.ndarray, float, bool]:
+    """Downhill simplex search: the best point, its value, whether it settled."""
+    points = [np.array(start)] + [np.array(start) + 0.5 * e for e in np.eye(len(start))]
+    values = [f(p) for p in points]
+    for _ in range(rounds):
+        order = np.argsort(values)
+        points, values = [points[i] for i in order], [values[i] for i in order]
+        if values[-1] - values[0] < 1e-7:
+            return points[0], values[0], True
+        centre = np.mean(points[:-1], axis=0)
+        tries = [centre + c * (centre - points[-1]) for c in (1.0, 2.0, -0.5)]
+        found = [f(p) for p in tries]
+        best = int(np.argmin(found))
+        if found[best] < values[-1]:
+            points[-1], values[-1] = tries[best], found[best]
+        else:
+            points = [points[0]] + [points[0] + 0.5 * (p - points[0]) for p in points[1:]]
+            values = [values[0]] + [f(p) for p in points[1:]]
+    return points[0], values[0], False
+
+
+def _fit_garch(ret: np.ndarray) -> tuple[float, float, float, bool, np.ndarray]:
+    """omega, alpha, beta of percent returns, whether the search settled, and the conditional variances. Where the
+    likelihood has no usable maximum: the exponential mean variance with alpha 0.1 and beta 0.85."""
+    x = 100 * ret
+    x = x - x.mean()
+
+    def loss(p):
+        omega, a, b = _parameters(p)
+        if a + b >= 0.9999:
+            return 1e12
+        v = _variances(x, omega, a, b)
+        return float(np.sum(np.log(v) + x * x / v))
+
+    if x.var() > 0:
+        p, value, settled = _simplex(loss, (np.log(0.1 * x.var()), -2.2, 1.5))
+        if np.isfinite(value) and value < 1e12:
+            omega, a, b = _parameters(p)
+            return omega, a, b, settled, _variances(x, omega, a, b)
+    v = pd.Series(x).ewm(span=21, adjust=False).var().bfill().fillna(0.0).to_numpy()
+    return 0.0, 0.1, 0.85, False, v
+
+
 def garch(df: DataFrame, horizon: int = 5, min_returns: int = 20) -> DataFrame:
     """GARCH(1,1) of each symbol: ``omega, alpha, beta, persistence, long_run_vol, forecast`` (daily deviations),
-    ``converged``. A likelihood search over percent returns; the exponential mean variance where it fails."""
+    ``converged``; nulls for symbols with too few returns."""
     schema = "symbol string, omega double, alpha double, beta double, persistence double, long_run_vol double, forecast array<double>, converged boolean"
+    names = [c.split()[0] for c in schema.split(", ")]
 
-    def variances(x, omega, a, b):
-        out = np.empty(len(x))
-        out[0] = x.var()
-        for t in range(1, len(x)):
-            out[t] = omega + a * x[t - 1] ** 2 + b * out[t - 1]
-        return out
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        ret, name = rows.sort_values("date")["ret"].to_numpy(), rows["symbol"].iloc[0]
+        if len(ret) < min_returns:
+            return pd.DataFrame([(name, None, None, None, None, None, None, False)], columns=names)
+        omega, a, b, settled, v = _fit_garch(ret)
+        if omega == 0:
+            far = ahead = v[-1]
+        else:
+            far, ahead = omega / (1 - a - b), omega + a * (100 * (ret[-1] - ret.mean())) ** 2 + b * v[-1]
+        path = [float(np.sqrt(far + (a + b) ** k * (ahead - far))) / 100 for k in range(horizon)]
+        return pd.DataFrame([(name, omega, a, b, a + b, float(np.sqrt(far)) / 100, path, settled)], columns=names)
+
+    return daily(df).select("symbol", "date", "ret").groupBy("symbol").applyInPandas(fit, schema)
 
-    def loss(p, x):
-        omega, a, b = np.exp(p[0]), 1 / (1 + np.exp(-p[1])), 1 / (1 + np.exp(-p[2]))
-        if a + b >= 0.9999:
-            return 1e12
-        v = variances(x, omega, a, b)
-        return float(np.sum(np.log(v) + x * x / v))
 
-    def search(f, start, rounds=250):
-        """Downhill simplex."""
-        points = [np.array(start)] + [np.array(start) + 0.5 * np.eye(len(start))[i] for i in range(len(start))]
-        values = [f(p) for p in points]
-        for _ in range(rounds):
-            order = np.argsort(values)
-            points, values = [points[i] for i in order], [values[i] for i in order]
-            if values[-1] - values[0] < 1e-7:
-                return points[0], values[0], True
-            centre = np.mean(points[:-1], axis=0)
-            tries = [centre + c * (centre - points[-1]) for c in (1.0, 2.0, -0.5)]
-            found = [f(p) for p in tries]
-            best = int(np.argmin(found))
-            if found[best] < values[-1]:
-                points[-1], values[-1] = tries[best], found[best]
-            else:
-                points = [points[0]] + [points[0] + 0.5 * (p - points[0]) for p in points[1:]]
-                values = [values[0]] + [f(p) for p in points[1:]]
-        return points[0], values[0], False
+def garch_features(df: DataFrame, min_returns: int = 100) -> DataFrame:
+    """``garch_vol, garch_forecast_1, garch_persistence, vol_surprise`` per row. The fit sees a symbol's whole history,
+    so these look ahead; they are left out of the default feature set."""
+    schema = "symbol string, date date, garch_vol double, garch_forecast_1 double, garch_persistence double"
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        x = 100 * rows.sort_values("date")["ret"].to_numpy()
-        name = rows["symbol"].iloc[0]
-        if len(x) < min_returns:
-            return pd.DataFrame([(name, None, None, None, None, None, None, False)], columns=schema_names)
-        x = x - x.mean()
-        p, value, ok = search(lambda p: loss(p, x), (np.log(0.1 * x.var() + 1e-9), -2.2, 1.5))
-        omega, a, b = float(np.exp(p[0])), float(1 / (1 + np.exp(-p[1]))), float(1 / (1 + np.exp(-p[2])))
-        if not np.isfinite(value) or value >= 1e12:
-            v = pd.Series(x).ewm(span=21, adjust=False).var().iloc[-1]
-            return pd.DataFrame([(name, 0.0, 0.1, 0.85, 0.95, float(np.sqrt(v)) / 100, [float(np.sqrt(v)) / 100] * horizon, False)], columns=schema_names)
-        v = omega + a * x[-1] ** 2 + b * variances(x, omega, a, b)[-1]
-        far, out = omega / (1 - a - b), []
-        for k in range(horizon):
-            out.append(float(np.sqrt(far + (a + b) ** k * (v - far))) / 100)
-        return pd.DataFrame([(name, omega, a, b, a + b, float(np.sqrt(far)) / 100, out, ok)], columns=schema_names)
-
-    schema_names = [c.split()[0] for c in schema.split(", ")]
-    return daily(df).select("symbol", "date", "ret").groupBy("symbol").applyInPandas(fit, schema)
+        rows = rows.sort_values("date")
+        out = pd.DataFrame({"symbol": rows["symbol"], "date": rows["date"], "garch_vol": None, "garch_forecast_1": None, "garch_persistence": None})
+        if len(rows) >= min_returns:
+            ret = rows["ret"].to_numpy()
+            omega, a, b, _, v = _fit_garch(ret)
+            ahead = v[-1] if omega == 0 else omega + a * (100 * (ret[-1] - ret.mean())) ** 2 + b * v[-1]
+            out["garch_vol"], out["garch_forecast_1"], out["garch_persistence"] = np.sqrt(v) / 100 * YEAR**0.5, np.sqrt(ahead) / 100 * YEAR**0.5, a + b
+        return out
+
+    r = daily(df)
+    out = r.join(r.select("symbol", "date", "ret").groupBy("symbol").applyInPandas(fit, schema), ["symbol", "date"])
+    week = rolling(F.stddev_samp, F.col("ret"), 5) * YEAR**0.5
+    return out.withColumn("vol_surprise", week / (lag(F.col("garch_vol")) + EPS)).drop("close", "ret")

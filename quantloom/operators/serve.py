@@ -25,9 +25,10 @@ def between(df: DataFrame, start=None, end=None, time: str = "date") -> DataFram
 
 
 def recent(df: DataFrame, days: int, time: str = "date") -> DataFrame:
-    """Rows of the last days before the newest row; the newest date is one broadcast row."""
-    newest = df.agg(F.date_sub(F.max(time), days).alias("_from"))
-    return df.crossJoin(F.broadcast(newest)).filter(F.col(time) >= F.col("_from")).drop("_from")
+    """Rows of the last days before the newest row. The newest date is found first, so that the filter is a literal
+    that reaches the scan."""
+    newest = df.agg(F.max(time)).first()[0]
+    return df.filter(F.col(time) >= F.date_sub(F.lit(newest), days))
 
 
 def sentiment_summary(daily: DataFrame) -> DataFrame:

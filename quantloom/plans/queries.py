@@ -336,6 +336,7 @@ add(
     r6="sharpe_ratio sortino_ratio calmar_ratio",
 )
 add("garch_forecast", on_bars(risk.garch))
+add("garch_features", on_bars(risk.garch_features))
 add("risk_features_all", on_bars(ml.risk_features))
 
 # --- drawdowns
@@ -446,6 +447,15 @@ b AS (SELECT *, coalesce(tp / nullif(pp, 0), 0) AS precision, coalesce(tp / null
 FINAL SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM b""",
     keys="symbol", r6="accuracy precision recall f1 auc",
 )
+add(
+    "fold_summary", lambda s, d: ml.fold_summary(ml.classification_metrics(_scores(s, d).withColumn("score", F.col("probability")), "l_linenumber"), ["accuracy", "precision", "recall"]),
+    _SC_ + """,
+a AS (SELECT l_linenumber, avg(CAST(label = CAST(probability > 0.5 AS INTEGER) AS INTEGER)) AS accuracy, sum(label * CAST(probability > 0.5 AS INTEGER)) AS tp, sum(CAST(probability > 0.5 AS INTEGER)) AS pp, sum(label) AS pos FROM sc GROUP BY 1),
+m AS (SELECT 'accuracy' AS metric, accuracy AS value FROM a UNION ALL SELECT 'precision', coalesce(tp / nullif(pp, 0), 0) FROM a UNION ALL SELECT 'recall', coalesce(tp / nullif(pos, 0), 0) FROM a)
+FINAL SELECT metric, avg(value) AS mean, stddev_pop(value) AS std FROM m GROUP BY metric""",
+    keys="metric", r6="mean std",
+)
+add("compare_models", lambda s, d: ml.compare_models(_small(s, d), {"shallow": {"trees": 5, "depth": 2, "n_splits": 2}, "deep": {"trees": 5, "depth": 4, "n_splits": 2}}))
 add(
     "reg_metrics", lambda s, d: ml.regression_metrics(_scores(s, d).filter("expected_return is not null").select("symbol", F.col("expected_return").alias("label"), (F.col("probability") - 0.5).alias("score")), "symbol"),
     _SC_ + """
