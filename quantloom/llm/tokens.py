@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BATCH_BYTES = 1 << 20
-CACHE_PIECES = 400_000
+CACHE_PIECES = 1_000_000
 LONG_PIECE = 128
 
 
