@@ -42,10 +42,11 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int = 10, scope: str = "que
     open_ = staged(queries.select(F.col("code").alias("q")).distinct(), "open", scope)
     spark, best, done = codes.sparkSession, None, []
     # At most 12,870 masks of 16 bits have r bits set, whatever the input.
-    masks = spark.range(1 << WIDTH).select(F.col("id").cast("int").alias("mask"), F.bit_count("id").alias("r"))
+    masks = spark.range(1 << WIDTH).groupBy(F.bit_count("id").alias("r")).agg(F.collect_list(F.col("id").cast("int")).alias("masks"))
     ranked = Window.partitionBy("q").orderBy("distance", "id")
     for r in range(WIDTH + 1):
-        probes = _segments(open_, "q").join(F.broadcast(masks.filter(f"r = {r}").select("mask"))).select("q", "seg", F.col("val").bitwiseXOR(F.col("mask")).alias("val"))
+        probes = _segments(open_, "q").withColumn("r", F.lit(r)).join(F.broadcast(masks), "r").select("q", "seg", "val", F.explode("masks").alias("mask"))
+        probes = probes.select("q", "seg", F.col("val").bitwiseXOR(F.col("mask")).alias("val"))
         met = probes.join(index, ["seg", "val"]).select("q", "code", "ids").groupBy("q", "code").agg(F.first("ids").alias("ids"))
         new = met.select("q", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).cast("int").alias("distance"), F.explode("ids").alias("id"))
         if best is not None:
