@@ -32,7 +32,8 @@ from .common import mounted, new_folder, row_key, staged
 from .ngram import by_shard, save
 from .words import BYTE, INV, POW, buffers, mix
 
-GRAM, CHUNK, OVERLAP, FLUSH = 32, 1 << 20, 1024, 1 << 19
+GRAM, CHUNK, OVERLAP, FLUSH, BLOCK = 32, 1 << 20, 1024, 1 << 19, 1 << 14
+MEMBERS = 1 << 17
 NONE = np.iinfo(np.uint64).max
 
 
@@ -42,7 +43,10 @@ class Piece:
     def __init__(self, data: np.ndarray, bounds: np.ndarray, rows: np.ndarray, base: int, cut_left: bool, cut_right: bool):
         self.data, self.bounds, self.rows, self.base, self.cut = data, bounds, rows, base, (cut_left, cut_right)
         self.run = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(BYTE[data] * POW[: len(data)], out=self.run[1:])
+        for s in range(0, len(data), BLOCK):  # blocks that stay in a core's cache
+            part = self.run[s + 1 : s + 1 + BLOCK]
+            np.cumsum(BYTE[data[s : s + BLOCK]] * POW[s : s + len(part)], out=part)
+            part += self.run[s]
 
     def hashes(self, a: np.ndarray, z: np.ndarray) -> np.ndarray:
         return mix((self.run[z] - self.run[a]) * INV[a] + (z - a).astype(np.uint64))
@@ -53,18 +57,23 @@ class Piece:
         none = (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 2
         if n < length:
             return none
-        grams = mix((self.run[GRAM:] - self.run[:-GRAM]) * INV[: n - GRAM + 1])
-        least = grams & ~np.uint64((1 << 24) - 1) | np.arange(len(grams), dtype=np.uint64)
-        span = 1
-        while 2 * span <= w:
-            least = np.minimum(least[:-span], least[span:])
-            span *= 2
-        if span < w:
-            least = np.minimum(least[: len(least) - (w - span)], least[w - span :])
-        inside = np.ones(len(least), dtype=bool)  # windows that don't leave their row
+        inside = np.ones(n - length + 1, dtype=bool)  # windows that don't leave their row
         for e in self.bounds[1:-1].tolist():
             inside[max(0, e - length + 1) : e] = False
-        at = (least[inside] & np.uint64((1 << 24) - 1)).astype(np.int64)
+        low, found = np.uint64((1 << 24) - 1), []
+        for s in range(0, n - length + 1, BLOCK):
+            keep = inside[s : s + BLOCK]
+            e = s + len(keep) + w - 1
+            least = mix((self.run[s + GRAM : e + GRAM] - self.run[s:e]) * INV[s:e]) & ~low | np.arange(s, e, dtype=np.uint64)
+            span = 1
+            while 2 * span <= w:
+                least = np.minimum(least[:-span], least[span:])
+                span *= 2
+            if span < w:
+                least = np.minimum(least[: len(least) - (w - span)], least[w - span :])
+            at = least[keep] & low
+            found.append(at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at)
+        at = np.concatenate(found).astype(np.int64)
         if not len(at):
             return none
         at = at[np.concatenate([[True], at[1:] != at[:-1]])]
@@ -76,7 +85,8 @@ class Piece:
             keep &= left == length - GRAM
         if self.cut[1]:
             keep &= right == length
-        return row[keep], at[keep], grams[at[keep]], left[keep], right[keep]
+        at = at[keep]
+        return row[keep], at, mix((self.run[at + GRAM] - self.run[at]) * INV[at]), left[keep], right[keep]
 
 
 def pieces(col: pa.Array) -> Iterator[Piece]:
@@ -96,16 +106,23 @@ def pieces(col: pa.Array) -> Iterator[Piece]:
         i = j
 
 
-def prefix_lengths(texts: list[bytes]) -> np.ndarray:
-    """Longest common prefix of each text with the one before it; -1 for the first."""
-    if not texts:
-        return np.zeros(0, dtype=np.int64)
-    width = max(map(len, texts)) + 1
-    m = np.zeros((len(texts), width), dtype=np.int16) - 1
-    for i, t in enumerate(texts):
-        m[i, : len(t)] = np.frombuffer(t, dtype=np.uint8)
-    same = (m[1:] == m[:-1]) & (m[1:] >= 0)
-    return np.concatenate([[-1], np.where(same.all(axis=1), width, same.argmin(axis=1))])
+def byte_rows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Texts as rows of one array, with zeros behind them, and their lengths."""
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    out = np.zeros((len(texts), int(sizes.max(initial=0)) + 1), dtype=np.uint8)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    return out, sizes
+
+
+def common(rows: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Longest common prefix of each row in ``order`` with the one before it; -1 for the first."""
+    out = np.full(len(order), -1, dtype=np.int64)
+    for k in range(1, len(order), BLOCK):
+        x, y = order[k : k + BLOCK], order[k - 1 : k - 1 + BLOCK][: len(order) - k]
+        differ = rows[x] != rows[y]
+        at = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
+        out[k : k + BLOCK] = np.minimum(at, np.minimum(sizes[x], sizes[y]))
+    return out
 
 
 def intervals(lcp: list[int], least: int) -> Iterator[tuple[int, int, int]]:
@@ -122,31 +139,61 @@ def intervals(lcp: list[int], least: int) -> Iterator[tuple[int, int, int]]:
             stack.append([v, start])
 
 
+def ramps(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each first on, as many as its size, in a row."""
+    return np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+
+
+def repeat_groups(anchor: np.ndarray, contexts: list[tuple[bytes, bytes]], length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Maximal repeats of at least ``length`` bytes through the anchors of some contexts (bytes before, bytes from the
+    anchor on), in blocks: how far each reaches to the left and right, its number of members, and all members in a row."""
+    m, right_of, back = len(contexts), [c[1] for c in contexts], [c[0][::-1] for c in contexts]
+    order = np.array(sorted(range(m), key=right_of.__getitem__), dtype=np.int64)
+    order = order[np.argsort(anchor[order], kind="stable")]
+    lcp = common(*byte_rows(right_of), order)
+    lcp[1:][anchor[order[1:]] != anchor[order[:-1]]] = -1
+    rank = np.empty(m, dtype=np.int64)
+    rank[sorted(range(m), key=back.__getitem__)] = np.arange(m)
+    back_rows = byte_rows(back)
+    right, first, stop = np.array(list(intervals(lcp.tolist(), GRAM)), dtype=np.int64).reshape(-1, 3).T
+    block = np.cumsum(stop - first) // MEMBERS
+    for k in np.unique(block).tolist():
+        r, a, size = right[block == k], first[block == k], (stop - first)[block == k]
+        which, at = np.repeat(np.arange(len(r)), size), ramps(a, size)
+        child = np.cumsum(lcp[at] == r[which])  # parts of an interval that differ behind its prefix
+        i = np.lexsort((rank[order[at]], which))
+        own, child = order[at[i]], child[i]
+        lcs = common(*back_rows, own)
+        lcs[1:][which[1:] != which[:-1]] = -1
+        lcs[lcs < length - r[which]] = -1
+        keep = np.flatnonzero((lcs >= 0) | (np.append(lcs[1:], -1) >= 0))  # those that share enough with a neighbour
+        left, x, y = np.array(list(intervals(lcs[keep].tolist(), 0)), dtype=np.int64).reshape(-1, 3).T
+        n = y - x
+        if not len(n):
+            continue
+        member, begin = keep[ramps(x, n)], np.cumsum(n) - n
+        wide = np.minimum.reduceat(child[member], begin) != np.maximum.reduceat(child[member], begin)
+        yield left[wide], r[which[keep[x]]][wide], n[wide], own[member[np.repeat(wide, n)]]
+
+
 def maximal_repeats(contexts: list[tuple[bytes, bytes]], length: int) -> Iterator[tuple[int, int, list[int]]]:
-    """Maximal repeats through the anchor of some contexts (bytes before, bytes from the anchor on): how far each
-    reaches to the left and right, and the indices of all contexts that have it."""
-    order = sorted(range(len(contexts)), key=lambda i: contexts[i][1])
-    lcp = prefix_lengths([contexts[i][1] for i in order]).tolist()
-    back = [c[0][::-1] for c in contexts]
-    for right, a, z in intervals(lcp, GRAM):
-        members = sorted(order[a:z], key=back.__getitem__)
-        lcs = prefix_lengths([back[i] for i in members]).tolist()
-        need = max(0, length - right)
-        if need == 0 and min(lcs[1:]) == 0:
-            yield 0, right, members
-        for left, x, y in intervals(lcs, max(need, 1)):
-            yield left, right, members[x:y]
-
-
-def marked(contexts: list[tuple[bytes, bytes]], length: int) -> list[list[tuple[int, int]]]:
-    """Per context, in order of occurrence, the byte ranges around its anchor that repeat an earlier one."""
-    out: list[list[tuple[int, int]]] = [[] for _ in contexts]
-    for left, right, members in maximal_repeats(contexts, length):
-        first = min(members)
-        for i in members:
-            if i != first:
-                out[i].append((-left, right))
-    return out
+    """The maximal repeats through one anchor: reach to the left and right, and the indices of all contexts that have it."""
+    for left, right, n, members in repeat_groups(np.zeros(len(contexts), dtype=np.int64), contexts, length):
+        for x, y, part in zip(left.tolist(), right.tolist(), np.split(members, np.cumsum(n)[:-1]), strict=True):
+            yield x, y, part.tolist()
+
+
+def marked(anchor: np.ndarray, contexts: list[tuple[bytes, bytes]], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of contexts in order of occurrence those that repeat an earlier one of their anchor, and how far to its left and
+    right; the repeats of one context all hold the anchor, so together they are one run."""
+    to_left, to_right = np.zeros(len(contexts), dtype=np.int64), np.zeros(len(contexts), dtype=np.int64)
+    for left, right, n, members in repeat_groups(anchor, contexts, length):
+        if len(n):
+            later = members != np.repeat(np.minimum.reduceat(members, np.cumsum(n) - n), n)
+            np.maximum.at(to_left, members[later], np.repeat(left, n)[later])
+            np.maximum.at(to_right, members[later], np.repeat(right, n)[later])
+    i = np.flatnonzero(to_right)
+    return i, to_left[i], to_right[i]
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -214,7 +261,7 @@ def write_set(df: DataFrame, folder: str, n: int) -> None:
     df.mapInArrow(deal, "shard int, hashes binary").groupBy("shard").applyInPandas(put, "shard int").agg(F.count("*")).first()
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, crowd: int = 256, doc_id: str = "doc_id", text: str = "text", scope: str = "query") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, crowd: int = 8192, doc_id: str = "doc_id", text: str = "text", scope: str = "query") -> DataFrame:
     """Per row ``doc_id, n_bytes, spans, kept``: bytes of the text, the maximal runs (start, stop; byte offsets) covered
     by a string of ``length`` bytes that also starts earlier (smaller id, or earlier in the same text), and the bytes
     that are left. Strings are judged on the input and never cross texts.
@@ -293,13 +340,11 @@ def remove_repeats(docs: DataFrame, length: int = 100, crowd: int = 256, doc_id:
         return run
 
     def scan_arrays(group: pd.DataFrame) -> pd.DataFrame:
-        rows = []
         group = group.drop_duplicates(["h", "key", "pos"]).sort_values(["h", "doc_id", "key", "pos"])
-        for _, part in group.groupby("h", sort=False):
-            found = marked([(c[:x], c[x:]) for c, x in zip(part["context"], part["l"].tolist(), strict=True)], length)
-            for key, pos, ranges in zip(part["key"].tolist(), part["pos"].tolist(), found, strict=True):
-                rows += [(key, pos + a, pos + z) for a, z in merged(ranges)]
-        return pd.DataFrame(rows, columns=["key", "start", "stop"])
+        pairs = [(c[:x], c[x:]) for c, x in zip(group["context"], group["l"].tolist(), strict=True)]
+        i, left, right = marked(group["h"].to_numpy(), pairs, length)
+        pos = group["pos"].to_numpy()[i]
+        return pd.DataFrame({"key": group["key"].to_numpy()[i], "start": pos - left, "stop": pos + right})
 
     def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Hashes of all windows of crowded contexts, by their distance from the anchor."""
