@@ -347,11 +347,11 @@ def remove_repeats(docs: DataFrame, length: int = 100, crowd: int = 8192, doc_id
         return pd.DataFrame({"key": group["key"].to_numpy()[i], "start": pos - left, "stop": pos + right})
 
     def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Hashes of all windows of crowded contexts, by their distance from the anchor."""
+        """Hashes of all windows of crowded contexts, of their anchor and of their distance from it."""
         for b in batches:
             for k in range(0, b.num_rows, 4096):
                 part = b.slice(k, 4096)
-                raw, left = part.column(1).to_pylist(), part.column(2).to_numpy().astype(np.int64)
+                raw, left, h = part.column(1).to_pylist(), part.column(2).to_numpy().astype(np.int64), part.column(0).to_numpy().view(np.uint64)
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
                 data = np.frombuffer(b"".join(raw), dtype=np.uint8)
                 run = np.zeros(len(data) + 1, dtype=np.uint64)
@@ -359,9 +359,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, crowd: int = 8192, doc_id
                 for o in range(before + 1):
                     ok = np.flatnonzero((left >= o) & (offsets[1:] - offsets[:-1] - left >= length - o))
                     a = offsets[ok] + left[ok] - o
-                    win = mix((run[a + length] - run[a]) * INV[a] + np.uint64(o))
-                    own = part.take(pa.array(ok))
-                    yield pa.RecordBatch.from_arrays([own.column(0), pa.array(np.full(len(ok), o, np.int32)), pa.array(win.view(np.int64)), own.column(3), own.column(4), own.column(5)], ["h", "o", "win", "doc_id", "key", "pos"])
+                    win = mix(mix((run[a + length] - run[a]) * INV[a] + np.uint64(o)) + h[ok] * np.uint64(0xD6E8FEB86659FD93))
+                    yield pa.RecordBatch.from_arrays([pa.array(win.view(np.int64)), part.column(3).take(pa.array(ok)), pa.array(np.full(len(ok), o, np.int32))], ["win", "at", "o"])
 
     def put_marks(folder: str):
         def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -431,11 +430,13 @@ def remove_repeats(docs: DataFrame, length: int = 100, crowd: int = 8192, doc_id
     shown = staged(ordered.mapInArrow(contexts(chosen, crowds), "h long, doc_id long, key long, pos long, l int, context binary, crowded boolean"), "contexts", scope)
     part = F.pmod(F.xxhash64("h"), F.lit(4 * n)).alias("part")
     scanned = shown.filter("not crowded").groupBy(part).applyInPandas(scan_arrays, "key long, start long, stop long")
-    wins = shown.filter("crowded").select("h", "context", "l", "doc_id", "key", "pos").mapInArrow(windows_of, "h long, o int, win long, doc_id long, key long, pos long")
-    wins = staged(wins.distinct(), "windows", scope)
-    earliest = wins.groupBy("h", "o", "win").agg(first, F.count("*").alias("n")).filter("n > 1")
-    later = wins.join(earliest, ["h", "o", "win"]).filter("not (doc_id = first.doc_id and key = first.key and pos = first.pos)")
-    later = later.select("key", (F.col("pos") - F.col("o")).alias("start"), (F.col("pos") - F.col("o") + length).alias("stop"))
+    # Ids of crowded contexts rise with their order of occurrence; a context's windows that start earlier overlap.
+    crowded = shown.filter("crowded").dropDuplicates(["h", "key", "pos"]).orderBy("h", "doc_id", "key", "pos")
+    crowded = staged(crowded.select("h", "context", "l", F.monotonically_increasing_id().alias("at"), "key", "pos"), "crowded", scope)
+    wins = crowded.select("h", "context", "l", "at").mapInArrow(windows_of, "win long, at long, o int")
+    earliest = wins.groupBy("win").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").select("win", "first")
+    again = wins.join(earliest, "win").filter("at <> first").groupBy("at").agg(F.max("o").alias("far"), F.min("o").alias("near"))
+    later = crowded.select("at", "key", "pos").join(again, "at").select("key", (F.col("pos") - F.col("far")).alias("start"), (F.col("pos") - F.col("near") + length).alias("stop"))
     two64 = f"cast({1 << 64} as decimal(38,0))"
     shard = F.expr(f"cast((case when key < 0 then cast(key as decimal(38,0)) + {two64} else cast(key as decimal(38,0)) end) % {n} as int)").alias("shard")
     every = staged(scanned.unionByName(later).select(shard, "key", "start", "stop"), "marks", scope)
