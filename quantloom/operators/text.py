@@ -5,8 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Example domain terms and weights; any table ``term, weight`` can take their place.
-TERMS = {"beats": 2.0, "soars": 2.5, "upgrade": 2.0, "strong": 1.5, "growth": 1.5, "record": 1.0, "profit": 1.5, "weak": -1.5, "layoffs": -2.0, "hurt": -1.5, "misses": -2.0, "downgrade": -2.0, "lawsuit": -1.5}
+#: Domain terms and weights of the reference, complete; other terms can take their place.
+TERMS = {
+    "bullish": 3.0, "surge": 2.5, "soar": 2.5, "skyrocket": 3.0, "outperform": 2.0, "upgrade": 2.5, "beat": 2.0, "exceeds": 2.0, "exceeded": 2.0,
+    "record": 1.5, "breakthrough": 2.5, "rally": 2.0, "boom": 2.0, "gain": 1.5, "gains": 1.5, "profit": 1.5, "profitable": 1.5, "growth": 1.5,
+    "growing": 1.5, "strong": 1.0, "positive": 1.5, "optimistic": 2.0, "momentum": 1.0, "upside": 1.5, "buy": 1.5, "accumulate": 1.0,
+    "bearish": -3.0, "plunge": -2.5, "plummet": -3.0, "crash": -3.5, "collapse": -3.0, "underperform": -2.0, "downgrade": -2.5, "miss": -2.0, "missed": -2.0,
+    "misses": -2.0, "loss": -2.0, "losses": -2.0, "decline": -2.0, "declining": -2.0, "drop": -1.5, "drops": -1.5, "fall": -1.5, "falls": -1.5,
+    "weak": -1.5, "weakness": -1.5, "negative": -1.5, "pessimistic": -2.0, "sell": -1.5, "selloff": -2.5, "downturn": -2.0, "recession": -2.5, "bankruptcy": -3.5,
+    "default": -3.0, "fraud": -3.5, "scandal": -3.0, "investigation": -2.0, "lawsuit": -2.0, "layoffs": -2.0, "layoff": -2.0, "cuts": -1.5, "warning": -2.0,
+    "concern": -1.5, "concerns": -1.5, "risk": -1.0, "risky": -1.5, "volatile": -1.0, "volatility": -1.0, "uncertainty": -1.5, "headwind": -1.5, "headwinds": -1.5,
+    "stable": 0.5, "steady": 0.5, "flat": 0.0, "unchanged": 0.0, "hold": 0.0, "neutral": 0.0, "mixed": 0.0,
+}
 MIN_LENGTH = 5
 
 
