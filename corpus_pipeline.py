@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm import decontam, minhash, packing, pii, toxicity
-from quantloom.llm.common import new_folder, release, row_key
+from quantloom.llm.common import new_folder, release, row_key, staged
 from quantloom.session import ship
 
 SCOPE = "pipeline stage"
@@ -29,11 +29,21 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates, once if rows repeat; rows without id stay."""
+    """The document with the smallest id of each group of near duplicates, rows without id last; of rows that repeat both
+    id and text, one. A document is a row's id and text, so texts that share an id are compared as any others. Rows
+    without id and words are no copies of each other and stay."""
     _begin(spark)
-    gone = minhash.near_duplicates(docs, scope=SCOPE).filter("not kept").select("doc_id").distinct()
-    left = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return left.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    blank = F.col("doc_id").isNull() & F.coalesce(F.col("text"), F.lit("")).rlike(r"^[\x20\x09-\x0D]*\z")
+    keyed = docs.filter(~blank).withColumns({"_key": row_key("doc_id", "text"), "_rest": F.xxhash64(F.to_json(F.struct(F.lit(0), *others)))})
+    found = minhash.near_duplicates(keyed, doc_id="_key", scope=SCOPE).filter("not kept").select(F.col("doc_id").alias("_key"), F.col("component_id").alias("group")).distinct()
+    found = staged(found, "copies", SCOPE)
+    groups = found.unionByName(found.select(F.col("group").alias("_key"), "group").distinct())
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_key")
+    first = keyed.select("_key", "doc_id").join(groups, "_key").groupBy("group").agg(F.min(first)["_key"].alias("_key"))
+    left = keyed.join(groups.join(first, "_key", "left_anti").select("_key"), "_key", "left_anti")
+    one = left.groupBy("_key").agg(F.min_by(F.struct(*docs.columns), "_rest").alias("row")).select("row.*")
+    return one.unionByName(docs.filter(blank))
 
 
 def keep_unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
