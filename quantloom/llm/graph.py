@@ -12,15 +12,16 @@ def components(links: DataFrame, scope: str = "query") -> DataFrame:
     """``node, component`` (the smallest node reachable) of all nodes that ``links`` (``a, b`` long) mention.
 
     A step sends each node's neighbours to its smallest one, so stars stay stars and paths halve; edges never grow in
-    number. Minima are pre-aggregated and joined back, which Spark may split for a node with very many neighbours.
+    number. Minima are pre-aggregated and written before they are joined back: the join then has a plain scan on that side,
+    so that Spark can broadcast it where it is small and split a node with very many neighbours where it isn't.
     """
     edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges", scope)
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least", scope)
+        large = staged(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large", scope)
+        least = staged(large.groupBy("u").agg(F.min("v").alias("m")), "least", scope)
         joined = large.join(least, "u")
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = staged(small.filter("u <> v").distinct(), "edges", scope)

@@ -1,9 +1,14 @@
 """Best-fit packing of documents into fixed-length token sequences by hierarchical residual packing.
 
-Each partition encodes its documents and packs the pieces best-fit decreasing. Bins that are nearly full are final.
-The few underfull bins of each partition travel on as items of their summed length: groups of ``fan_in`` neighbours
-merge them best-fit again, and so on up the tree. A node hands on at most ``hand_on`` bins, the emptiest first, and
-closes the rest, so no task grows with the corpus whatever the lengths are.
+Each partition encodes its documents in blocks of bounded size and packs a block's pieces best-fit decreasing. The pieces
+are written once, with their ids and their place in a bin. Bins that are nearly full are final. The underfull ones travel
+on as items, by number and size alone: groups of ``fan_in`` neighbouring partitions merge them best-fit again, and so on up
+the tree. In the end the pieces of bins that were merged take the place of their bin in its sequence.
+
+After a best-fit step at most one bin of a node is not more than half full (a second one's first item would have fitted into
+the first), and two bins of more than half never go together. So at each later step at most ``fan_in`` bins look for room,
+and each needs one other: of the bins above half a node hands on the ``fan_in`` emptiest for each step that is left, and
+closes the others. That bounds the tasks of all upper levels and costs no sequence.
 """
 
 from __future__ import annotations
@@ -21,8 +26,9 @@ from pyspark.sql import functions as F
 from .common import staged
 from .tokens import encoded
 
-MEMBER = np.dtype([("doc_id", "<i8"), ("null_id", "u1"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4")])
-BIN = "node long, sequence_id long, size int, closed boolean, members binary, ids binary"
+BLOCK_IDS, EMIT_IDS = 1 << 21, 1 << 19
+NODE_BITS = 33
+MERGED = "node long, size int, closed boolean, bins array<long>, shifts array<int>"
 
 
 def best_fit(sizes: list[int], room: int) -> list[list[int]]:
@@ -49,77 +55,102 @@ def best_fit(sizes: list[int], room: int) -> list[list[int]]:
     return bins
 
 
-def packed(items: list[tuple[int, bytes, bytes]], node: int, level: int, room: int, slack: int, hand_on: int, last: bool) -> list[tuple]:
-    """One node's bins. items: size, members, ids."""
+def merged(items: list[tuple[int, list[int], list[int]]], room: int, slack: int, hand_on: int) -> list[tuple[int, bool, list[int], list[int]]]:
+    """One node's step. items: size, bins, and how far each bin lies from the item's start. Gives size, closed, bins and
+    shifts; ``hand_on`` emptiest bins above half and all others stay open."""
     out = []
-    for k, b in enumerate(best_fit([x[0] for x in items], room)):
-        size = sum(items[i][0] for i in b)
-        out.append([node, (level << 58) + (node << 30) + k, size, last or room - size <= slack, b"".join(items[i][1] for i in b), b"".join(items[i][2] for i in b)])
-    under = sorted((x for x in out if not x[3]), key=lambda x: x[2])
-    for x in under[hand_on:]:
-        x[3] = True
-    return [tuple(x) for x in out]
-
-
-def pack(
-    docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 0, slack: int = 4, fan_in: int = 16, hand_on: int = 4096, with_ids: bool = True, doc_id: str = "doc_id", text: str = "text", scope: str = "query"
-) -> DataFrame:
+    for b in best_fit([x[0] for x in items], room):
+        size, bins, shifts = 0, [], []
+        for i in b:
+            bins += items[i][1]
+            shifts += [size + s for s in items[i][2]]
+            size += items[i][0]
+        out.append((size, bins, shifts))
+    out.sort(key=lambda x: x[:2])
+    halves = sum(2 * x[0] <= room for x in out)
+    return [(size, room - size <= slack or k >= halves + hand_on, bins, shifts) for k, (size, bins, shifts) in enumerate(out)]
+
+
+def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 0, slack: int = 4, fan_in: int = 16, with_ids: bool = True, doc_id: str = "doc_id", text: str = "text", scope: str = "query") -> DataFrame:
     """Per piece ``doc_id, piece, start, length, ids_crc32, sequence_id, offset, ids`` (``ids``: little-endian uint32
     bytes, null unless ``with_ids``); a sequence is its pieces in order of ``offset``.
 
     A document is its ids and ``end_id``. Only documents longer than ``length`` are cut, from the back, so that all
-    pieces but the first are full. Null texts are documents of the end id alone; null ids stay null; repeated rows are
-    packed each; an empty table gives an empty one; other columns are not read.
+    pieces but the first are full. Null texts are documents of the end id alone; ids may be of any type and stay as they
+    are, nulls too; repeated rows are packed each; an empty table gives an empty one; other columns are not read.
     """
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset", "node", "size", "ids"]
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, end, items, out = TaskContext.get().partitionId(), np.uint32(end_id).tobytes(), [], []
+        node, end, bins = TaskContext.get().partitionId(), np.uint32(end_id).tobytes(), 0
+        cols: list[pa.Array] = []
+        items: list[tuple] = []
+        held: list[bytes] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal bins
+            row, piece, start, size, crc = (np.array(x, dtype=np.int64) for x in zip(*items, strict=True))
+            found = best_fit(size.tolist(), length)
+            order, counts = np.array([i for b in found for i in b]), np.array([len(b) for b in found])
+            row, piece, start, size, crc = row[order], piece[order], start[order], size[order], crc[order]
+            ends, first = np.cumsum(size), np.cumsum(counts) - counts
+            offset = ends - size - np.repeat((ends - size)[first], counts)
+            whole = np.repeat(np.add.reduceat(size, first), counts)
+            own = np.repeat((node << NODE_BITS) + bins + np.arange(len(found)), counts)
+            bins += len(found)
+            keys = pa.concat_arrays(cols).take(pa.array(row))
+            cut = np.unique(ends // EMIT_IDS, return_index=True)[1].tolist()
+            for a, z in zip(cut, [*cut[1:], len(order)], strict=True):
+                ids = pa.array([held[i] for i in order[a:z].tolist()], pa.binary()) if with_ids else pa.nulls(z - a, pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [keys.slice(a, z - a), pa.array(piece[a:z].astype(np.int32)), *[pa.array(x[a:z]) for x in (start, size, crc, own, offset)], pa.array(np.full(z - a, node)), pa.array(whole[a:z].astype(np.int32)), ids], names
+                )
+
         for b in batches:
-            for key, raw in zip(b.column(0).to_pylist(), encoded(b.column(1), tokenizer, True), strict=True):
+            cols, base, n_ids = [*cols, b.column(0)], sum(map(len, cols)), sum(x[3] for x in items)
+            for i, raw in enumerate(encoded(b.column(1), tokenizer, True)):
                 raw += end
                 n = len(raw) // 4
                 cuts = [0, n] if n <= length else sorted({0, *range(n, 0, -length)})
                 for piece, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     ids = raw[4 * a : 4 * z]
-                    member = np.array([(key or 0, key is None, piece, a, z - a, zlib.crc32(ids))], dtype=MEMBER).tobytes()
-                    items.append((z - a, member, ids if with_ids else b""))
-        out = packed(items, node, 0, length, slack, hand_on, False)
-        for i in range(0, len(out), 5000):
-            yield pa.RecordBatch.from_pylist([dict(zip(("node", "sequence_id", "size", "closed", "members", "ids"), x, strict=True)) for x in out[i : i + 5000]], schema=arrow)
-
-    def merge(level: int, last: bool):
+                    items.append((base + i, piece, a, z - a, zlib.crc32(ids)))
+                    if with_ids:
+                        held.append(ids)
+                n_ids += n
+                if n_ids >= BLOCK_IDS:
+                    yield from flush()
+                    cols, base, n_ids = [b.column(0)], 0, 0
+                    items.clear()
+                    held.clear()
+        if items:
+            yield from flush()
+
+    def merge(hand_on: int):
         def run(group: pd.DataFrame) -> pd.DataFrame:
-            group = group.sort_values("sequence_id")
-            node = int(group["node"].iloc[0]) // fan_in
-            items = list(zip(group["size"].tolist(), group["members"], group["ids"], strict=True))
-            return pd.DataFrame(packed(items, node, level, length, slack, hand_on, last), columns=["node", "sequence_id", "size", "closed", "members", "ids"])
+            group = group.sort_values("first")
+            items = list(zip(group["size"].tolist(), [list(x) for x in group["bins"]], [list(x) for x in group["shifts"]], strict=True))
+            found = [x for x in merged(items, length, slack, hand_on) if not x[1] or len(x[2]) > 1]  # a closed bin that stayed alone needs no row
+            return pd.DataFrame([(int(group["to"].iloc[0]), *x) for x in found], columns=["node", "size", "closed", "bins", "shifts"])
 
         return run
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts = [np.frombuffer(x, dtype=MEMBER) for x in b.column(1).to_pylist()]
-            if not parts:
-                continue
-            counts, m = [len(p) for p in parts], np.concatenate(parts)
-            size = m["length"].astype(np.int64)
-            before, firsts = np.cumsum(size) - size, np.concatenate([[0], np.cumsum(counts)[:-1]])
-            offset = before - np.repeat(before[firsts], counts)
-            ids = pa.nulls(len(m), pa.binary())
-            if with_ids:
-                raw, at = b"".join(b.column(2).to_pylist()), 4 * before
-                ids = pa.array([raw[a : a + 4 * n] for a, n in zip(at.tolist(), size.tolist(), strict=True)], pa.binary())
-            cols = [pa.array(m["doc_id"], mask=m["null_id"].astype(bool)), pa.array(m["piece"]), pa.array(m["start"]), pa.array(size), pa.array(m["crc"].astype(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), counts)), pa.array(offset), ids]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids"])
-
-    arrow = pa.schema([("node", pa.int64()), ("sequence_id", pa.int64()), ("size", pa.int32()), ("closed", pa.bool_()), ("members", pa.binary()), ("ids", pa.binary())])
-    bins = staged(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(pieces, BIN), "bins", scope)
-    done, level = bins.filter("closed"), 0
-    under = bins.filter("not closed")
-    nodes = 1 + (under.agg(F.max("node")).first()[0] or 0)
-    while True:
-        level, nodes = level + 1, -(-nodes // fan_in)
-        bins = staged(under.groupBy((F.col("node") / fan_in).cast("long").alias("to")).applyInPandas(merge(level, nodes == 1), BIN), "bins", scope)
-        done, under = done.unionByName(bins.filter("closed")), bins.filter("not closed")
-        if nodes == 1:
-            return done.select("sequence_id", "members", "ids").mapInArrow(rows, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, ids binary")
+    kind = docs.schema[doc_id].dataType.simpleString()
+    shape = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, bin long, offset long, node long, size int, ids binary"
+    packed = staged(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(pieces, shape), "pieces", scope)
+    full = F.col("size") >= length - slack
+    under = packed.filter(~full & (F.col("offset") == 0)).select("node", "size", F.array("bin").alias("bins"), F.array(F.lit(0)).alias("shifts"))
+    nodes, levels = 1 + (under.agg(F.max("node")).first()[0] or 0), 0
+    while fan_in**levels < nodes:
+        levels += 1
+    done = None
+    for left in range(max(levels, 1) - 1, -1, -1):
+        to = (F.col("node") / fan_in).cast("long").alias("to")
+        step = staged(under.select(to, "size", "bins", "shifts", F.col("bins")[0].alias("first")).groupBy("to").applyInPandas(merge(fan_in * left), MERGED), "bins", scope)
+        ended = step.filter("closed" if left else "size(bins) > 1").select("bins", "shifts")
+        done, under = ended if done is None else done.unionByName(ended), step.filter("not closed")
+    moved = done.select(F.col("bins")[0].alias("to"), F.explode(F.arrays_zip("bins", "shifts")).alias("m")).select(F.col("m.bins").alias("bin"), "to", F.col("m.shifts").alias("shift"))
+    out = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    final = packed.filter(full).select(*out, F.col("bin").alias("sequence_id"), "offset", "ids")
+    rest = packed.filter(~full).join(staged(moved, "moves", scope), "bin", "left")
+    return final.unionByName(rest.select(*out, F.coalesce("to", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"), "ids"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BATCH_BYTES = 1 << 20
-CACHE_PIECES = 1_000_000
+CACHE_BYTES, ENTRY_BYTES = 1 << 26, 180
 LONG_PIECE = 128
 
 
@@ -28,7 +28,7 @@ class Encoder:
 
     def __init__(self, path: str, ids: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.ids, self.cache, self.cut = ids, {}, False
+        self.ids, self.cache, self.size, self.cut = ids, {}, 0, False
         if path.endswith(".model"):
             import sentencepiece
 
@@ -129,12 +129,14 @@ class Encoder:
                 got.append(0 if not self.ids else b"")
                 got.insert(0, head)
             out[k] += b"".join(got) if self.ids else sum(got)
-        if len(self.cache) > CACHE_PIECES:
+        for w in new:
+            if len(w) > LONG_PIECE:
+                self.cache.pop(w, None)
+            else:
+                self.size += len(w) + ENTRY_BYTES
+        if self.size > CACHE_BYTES:
             self.cache.clear()
-        else:
-            for w in new:
-                if len(w) > LONG_PIECE:
-                    self.cache.pop(w, None)
+            self.size = 0
         return out
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .words import NON_WORD, mix, shingles, slices, spans, word_hashes
 
 BITS, HEAD = 20, 5
+BROADCAST_ROWS = 200_000
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,6 +84,7 @@ def fit(
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).filter("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = known.withColumn("at", F.xxhash64("doc_id")).orderBy("at", "doc_id").limit(sample_rows)
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    chosen = F.broadcast(chosen) if sample_rows <= BROADCAST_ROWS else chosen  # rows of an id and two numbers
     rows = texts.join(chosen, "doc_id").select("at", "text", "y").mapInArrow(examples, "at long, x array<int>, y int")
     found = rows.groupBy(F.lit("all").alias("part")).applyInPandas(train, "i long, w double").toPandas()  # at most 2**BITS + 1 rows
     out = np.zeros((1 << BITS) + 1)

@@ -1,5 +1,6 @@
 """Language model, personal data, toxicity, Hamming search and the pipeline."""
 
+import itertools
 import pickle
 import random
 import re
@@ -76,7 +77,7 @@ def test_long_runs_take_linear_time():
 
 def test_gradients_are_right():
     r = np.random.default_rng(0)
-    t = pii.Tagger()
+    t = pii.Tagger(dtype=np.float64)
     ids, tags = r.integers(1, 60, (2, 7)), r.integers(0, pii.TAGS, (2, 7))
 
     def loss():
@@ -86,7 +87,7 @@ def test_gradients_are_right():
         return float((z - s).mean())
 
     grads = t.gradients(ids, tags)
-    for name, at in (("Wo", (3, 2)), ("T", (1, 2)), ("Wf", (5, 7)), ("Wb", (20, 60)), ("bf", (4,)), ("E", (int(ids[0, 3]), 2))):
+    for name, at in (("Wo", (3, 2)), ("T", (1, 2)), ("Wx", (0, 5, 7)), ("Wh", (1, 20, 60)), ("b", (0, 0, 4)), ("bo", (3,)), ("E", (int(ids[0, 3]), 2))):
         kept = t.p[name][at]
         t.p[name][at] = kept + 1e-5
         up = loss()
@@ -96,29 +97,83 @@ def test_gradients_are_right():
         assert grads[name][at] == pytest.approx((up - down) / 2e-5, rel=1e-3, abs=1e-7), name
 
 
+def test_decoding_equals_all_paths():
+    r, t = np.random.default_rng(1), pii.Tagger(dtype=np.float64)
+    t.p["T"] = r.normal(0, 1, (pii.TAGS, pii.TAGS))
+    e = r.normal(0, 1, (4, 3, pii.TAGS))
+    for w in range(3):
+        paths = np.array(list(itertools.product(range(pii.TAGS), repeat=4)))
+        score = sum(e[i, w, paths[:, i]] for i in range(4)) + sum(t.p["T"][paths[:, i], paths[:, i + 1]] for i in range(3))
+        assert (t.path(e)[w] == paths[score.argmax()]).all()
+        share = np.exp(score - score.max()) / np.exp(score - score.max()).sum()
+        want = [[share[paths[:, i] == k].sum() for k in range(pii.TAGS)] for i in range(4)]
+        assert np.allclose(t.marginals(e)[0][:, w], want)
+
+
+def test_reconciled_spans_equal_brute_force():
+    r = random.Random(4)
+    for _ in range(500):
+        found = [(r.randint(0, 4), r.choice([0.8, 0.9, 1.0]), r.choice(pii.KINDS), a, a + r.randint(1, 6)) for a in (r.randint(0, 30) for _ in range(r.randint(0, 8)))]
+        base = [("email", a, a + r.randint(1, 4)) for a in (r.randint(0, 30) for _ in range(r.randint(0, 2)))]
+        left, want = {x for x in found if x[0] > 0}, []
+        cells = lambda s: set(range(s[-2], s[-1]))
+        while left:  # the best one that is left goes in, what it overlaps goes out
+            best = min(left, key=lambda x: (-x[0], -x[1], x[2:]))
+            left.discard(best)
+            if all(not cells(best) & cells(b) or cells(b) < cells(best) for b in base):
+                want.append(best[2:])
+                left = {x for x in left if not cells(x) & cells(best)}
+        assert pii.reconciled(found, base) == want
+
+
 @pytest.fixture(scope="module")
-def tagger(docs):
-    return pii.fit(docs, sample_windows=400, generated_windows=1500, epochs=5)
+def tagger(spark):
+    """With production parameters, over the documents of sf0.01."""
+    return pii.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
 
 
-def test_tagger_finds_held_out_spans(tagger):
+def test_tagger_finds_planted_spans(tagger, spark):
+    """Precision and recall of added spans, planted in held-out documents at the production threshold."""
+    t = pii.Tagger()
+    t.p = pickle.loads(tagger)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("doc_id >= 5000 and length(text) between 300 and 3000").orderBy("doc_id").limit(400).collect()]
+    r, hit, want_all, got_all = random.Random(8), 0, 0, 0
+    made = [(x, s) for x, spans in pii.generated(6000, seed=77) for k, a, z in spans if 0 < a and z < len(x) for s in [(k, x[a:z], x[max(0, a - 14) : a] if k == "secret" else " ")] if not pii.pattern_spans(x[a:z])]
+    for text in texts:
+        if pii.windows(text):
+            continue
+        _, (kind, value, lead) = r.choice(made)
+        at = r.choice([m.start() for m in re.finditer(" ", text)][3:-3])
+        lead = text[:at] + " " + lead.lstrip()
+        quote = lead[-1] if lead[-1] in "'\"" else ""
+        planted = lead + value + quote + text[at:]
+        got = {s for s in pii.reconciled(pii.decoded(t, [planted], 0.8)[0], pii.pattern_spans(planted))}
+        want_all, got_all, hit = want_all + 1, got_all + len(got), hit + ((kind, len(lead), len(lead) + len(value)) in got)
+    assert want_all > 200 and hit >= 0.9 * want_all and hit >= 0.9 * got_all, (hit, want_all, got_all)
+
+
+def test_windows_without_triggers_hold_no_spans(tagger, spark):
     t = pii.Tagger()
     t.p = pickle.loads(tagger)
-    made = pii.generated(300, seed=99)
-    found = pii.added_spans(t, [x for x, _ in made], [[] for _ in made], 0.9)
-    want = [{s for s in spans if s[2] < pii.WIDTH} for _, spans in made]
-    hits = sum(len(set(f) & w) for f, w in zip(found, want, strict=True))
-    assert hits >= 0.75 * sum(map(len, want)) and hits >= 0.8 * sum(map(len, found))
+    parts = [x[i : i + pii.WIDTH] for x in (r.text or "" for r in spark.read.parquet(f"{helpers.SF}/documents.parquet").collect()) for i in range(0, min(len(x), 4000), pii.WIDTH)]
+    parts = [x for x in parts if not pii._TRIGGER.search(x)]
+    tags, prob = t.decode(pii.padded(parts[:4000]))
+    assert len(parts) > 1000 and ((tags > 0) & (prob > 0.8)).any(axis=1).mean() < 0.003
 
 
 def test_personal_data(tagger, docs, spark):
-    got = pii.personal_data(docs.withColumns({"spans": F.lit(1), "base": F.lit("x")}), tagger, passes=("spans", "text")).collect()
-    assert len(got) == docs.count()
+    more = spark.createDataFrame([(80001, "ask joe.doe [at] mail [dot] com for it"), (80002, 'the token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" is old')], "doc_id long, text string")
+    both = docs.select("doc_id", "text").unionByName(more)
+    texts = {r.doc_id: r.text for r in both.collect()}
+    got = pii.personal_data(both.withColumns({"spans": F.lit(1), "base": F.lit("x")}), tagger).collect()
+    assert len(got) == len(texts) + 1  # one row is there twice
+    added = {}
     for r in got:
         base, spans = [(s.kind, s.start, s.stop) for s in r.base], [(s.kind, s.start, s.stop) for s in r.spans]
-        assert base == pii.pattern_spans(r.in_1 or "") and set(base) <= set(spans) and r.in_0 == 1
-        extra = [s for s in spans if s not in base]
-        assert all(z <= x or y <= a for _, a, z in extra for _, x, y in base)
+        assert base == pii.pattern_spans(texts[r.doc_id] or "") and set(base) <= set(spans)
+        added[r.doc_id] = extra = [s for s in spans if s not in base]
+        assert all(z <= x or y <= a or a <= x and y <= z for _, a, z in extra for _, x, y in base)
+    assert added[80001] == [("email", 4, 30)] and added[80002] == [("secret", 13, 53)]
     assert pii.personal_data(empty(spark), tagger).count() == 0
 
 

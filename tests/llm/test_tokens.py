@@ -1,5 +1,6 @@
 """Token counts, packing and token files against the tokenizer library itself."""
 
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -93,10 +94,48 @@ def test_packing(docs, rows, want, spark):
 
 def test_packing_of_items_that_never_fit_together(spark):
     df = spark.createDataFrame([(i, "a b c") for i in range(300)], "doc_id long, text string").repartition(20)
-    got = packing.pack(df, PATH, length=6, slack=0, fan_in=2, hand_on=3).collect()
+    got = packing.pack(df, PATH, length=6, slack=0, fan_in=2).collect()
     assert len(got) == 300 and len({r.sequence_id for r in got}) == 300
 
 
+def test_packing_in_blocks_with_text_ids(docs, rows, want, spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_IDS", 3000)
+    monkeypatch.setattr(packing, "EMIT_IDS", 700)
+    some = [(f"k{k}", t) for k, t in rows[:150]]
+    got = packing.pack(spark.createDataFrame(some, "doc_id string, text string").repartition(9), PATH, length=128, fan_in=2).collect()
+    own, sequences = defaultdict(list), defaultdict(list)
+    for r in sorted(got, key=lambda r: r.piece):
+        own[r.doc_id] += np.frombuffer(r.ids, "<u4").tolist()
+        sequences[r.sequence_id].append((r.offset, r.length))
+    assert own == {k: [*want[int(k[1:]), t or ""], 0] for k, t in some}
+    for s in sequences.values():
+        assert [a for a, _ in sorted(s)] == np.cumsum([0, *[n for _, n in sorted(s)]]).tolist()[:-1] and sum(n for _, n in s) <= 128
+
+
+def test_closing_bins_early_costs_no_sequence():
+    """The tree with early closing ends in as many bins as one in which every underfull bin travels on."""
+    r = random.Random(6)
+    for _ in range(200):
+        room, fan_in, n = 40, r.choice([2, 3]), r.choice([5, 9, 16])
+        nodes = [[([r.randint(*r.choice([(1, 12), (14, 30), (21, 40)])) for _ in range(r.randint(1, 25))])] for _ in range(n)]
+        first = [[sum(own[0][i] for i in b) for b in packing.best_fit(own[0], room)] for own in nodes]
+
+        def run(early):
+            level, closed, left = first, 0, 0
+            while fan_in**left < n:
+                left += 1
+            while left:
+                left, after = left - 1, []
+                for k in range(0, len(level), fan_in):
+                    found = packing.merged([(s, [i], [0]) for i, s in enumerate(x for own in level[k : k + fan_in] for x in own)], room, 0, fan_in * left if early else 10**9)
+                    closed += sum(x[1] for x in found)
+                    after.append([x[0] for x in found if not x[1]])
+                level = after
+            return closed + sum(map(len, level))
+
+        assert run(True) == run(False)
+
+
 def test_best_fit_is_exact_where_it_can_be():
     bins = packing.best_fit([5, 5, 3, 3, 2, 2], 10)
     assert sorted(sum([5, 5, 3, 3, 2, 2][i] for i in b) for b in bins) == [10, 10]
