@@ -1,90 +1,6 @@
 """Corpus pipeline: toxic documents go, near duplicates go, benchmark passages go, personal data is masked, the rest is
 packed into training sequences. Each stage's result is written as Parquet and read again by the next."""
 
-from __future__ import annotations
+from quantloom.llm.pipeline import ORACLE_SQL, STAGES, keep_civil, keep_distinct, keep_unleaked, mask_personal, pack_sequences, run
 
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from quantloom.llm import decontam, minhash, packing, pii, toxicity
-from quantloom.llm.common import new_folder, release, row_key, staged
-from quantloom.session import ship
-
-SCOPE = "pipeline stage"
-
-
-def _begin(spark: SparkSession) -> None:
-    """What the stage before kept in the shared folder isn't needed once its result is written."""
-    ship(spark)
-    release(SCOPE)
-
-
-def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score, learnt from all labels, is below one half; rows without text are scored too."""
-    _begin(spark)
-    weights = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score(docs, weights, passes=tuple(docs.columns))
-    return scored.filter("score < 0.5").select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(docs.columns)])
-
-
-def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates, rows without id last; of rows that repeat both
-    id and text, one. A document is a row's id and text, so texts that share an id are compared as any others. Rows
-    without id and words are no copies of each other and stay."""
-    _begin(spark)
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    blank = F.col("doc_id").isNull() & F.coalesce(F.col("text"), F.lit("")).rlike(r"^[\x20\x09-\x0D]*\z")
-    keyed = docs.filter(~blank).withColumns({"_key": row_key("doc_id", "text"), "_rest": F.xxhash64(F.to_json(F.struct(F.lit(0), *others)))})
-    found = minhash.near_duplicates(keyed, doc_id="_key", scope=SCOPE).filter("not kept").select(F.col("doc_id").alias("_key"), F.col("component_id").alias("group")).distinct()
-    found = staged(found, "copies", SCOPE)
-    groups = found.unionByName(found.select(F.col("group").alias("_key"), "group").distinct())
-    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_key")
-    first = keyed.select("_key", "doc_id").join(groups, "_key").groupBy("group").agg(F.min(first)["_key"].alias("_key"))
-    left = keyed.join(groups.join(first, "_key", "left_anti").select("_key"), "_key", "left_anti")
-    one = left.groupBy("_key").agg(F.min_by(F.struct(*docs.columns), "_rest").alias("row")).select("row.*")
-    return one.unionByName(docs.filter(blank))
-
-
-def keep_unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
-    _begin(spark)
-    found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), scope=SCOPE)
-    leaked = found.filter("n_hit > 0").select(F.col("key").alias("_leaked")).distinct()
-    return docs.join(leaked, row_key("doc_id", "text") == F.col("_leaked"), "left_anti")
-
-
-def mask_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data in their texts masked and ``n_chars`` counted again."""
-    _begin(spark)
-    out = pii.redacted(docs, pii.fit(docs))
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
-
-
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their ids and places in sequences of at most 2048 tokens."""
-    _begin(spark)
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), length=2048, scope=SCOPE)
-
-
-STAGES = [
-    ("toxicity", keep_civil),
-    ("near_duplicates", keep_distinct),
-    ("decontamination", keep_unleaked),
-    ("personal_data", mask_personal),
-    ("packing", pack_sequences),
-]
-
-#: Tokens, sketches and trained models have no SQL; tests hold the stages against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        path = new_folder(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    release(SCOPE)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "keep_civil", "keep_distinct", "keep_unleaked", "mask_personal", "pack_sequences", "run"]
