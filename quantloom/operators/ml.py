@@ -101,13 +101,14 @@ def in_folds(df: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def classification_metrics(df: DataFrame, by: str, label: str = "label", score: str = "score") -> DataFrame:
-    """``accuracy, precision, recall, f1`` (0 where undefined) and ``auc`` (ties averaged, 0.5 for one class)."""
-    y, hit = F.col(label), (F.col(score) > 0.5).cast("int")
-    w, ties = Window.partitionBy(by).orderBy(score), Window.partitionBy(by, score)
-    df = df.withColumns({"_y": y, "_p": hit, "_r": F.rank().over(w) + (F.count("*").over(ties) - 1) / 2})
-    out = df.groupBy(by).agg(
-        F.avg((F.col("_y") == F.col("_p")).cast("double")).alias("accuracy"),
-        F.sum(F.col("_y") * F.col("_p")).alias("_tp"), F.sum("_p").alias("_pp"), F.sum("_y").alias("_pos"), F.count("*").alias("_n"), F.sum(F.col("_y") * F.col("_r")).alias("_ranks"),
+    """``accuracy, precision, recall, f1`` (0 where undefined) and ``auc`` (ties averaged, 0.5 for one class). Rows are
+    counted by score before they are ranked, so a window holds distinct scores alone."""
+    same = df.groupBy(by, score).agg(F.count("*").alias("_c"), F.sum(label).alias("_y"), F.sum((F.col(label) == (F.col(score) > 0.5).cast("int")).cast("int")).alias("_hits"))
+    before = F.sum("_c").over(Window.partitionBy(by).orderBy(score)) - F.col("_c")
+    same = same.withColumns({"_p": (F.col(score) > 0.5).cast("int"), "_r": before + (F.col("_c") + 1) / 2})  # equal scores share their mean rank
+    out = same.groupBy(by).agg(
+        (F.sum("_hits") / F.sum("_c")).alias("accuracy"), F.sum(F.col("_y") * F.col("_p")).alias("_tp"), F.sum(F.col("_c") * F.col("_p")).alias("_pp"),
+        F.sum("_y").alias("_pos"), F.sum("_c").alias("_n"), F.sum(F.col("_y") * F.col("_r")).alias("_ranks"),
     )
     safe = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     neg = F.col("_n") - F.col("_pos")
@@ -132,24 +133,29 @@ def fold_summary(df: DataFrame, metrics: list[str]) -> DataFrame:
     return df.select(rows.alias("r")).select("r.*").groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
 
 
-def _trees(kind: str, trees: int, depth: int):
+def _trees(kind: str, trees: int, depth: int, early_stopping: bool):
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.regression import GBTRegressor
 
     same = {"maxIter": trees, "maxDepth": depth, "stepSize": 0.1, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": 42, "featuresCol": "features", "labelCol": "label"}
+    if early_stopping:
+        same["validationIndicatorCol"] = "held_back"
     return GBTClassifier(weightCol="weight", **same) if kind == "classifier" else GBTRegressor(**same)
 
 
-def fit_model(df: DataFrame, names: list[str], kind: str = "classifier", trees: int = 100, depth: int = 5):
-    """A pipeline of assembled features and boosted trees over ``target``; rows of class 1 weigh negatives / positives."""
+def fit_model(df: DataFrame, names: list[str], kind: str = "classifier", trees: int = 100, depth: int = 5, early_stopping: bool = False):
+    """A pipeline of assembled features and boosted trees over ``target``; rows of class 1 weigh negatives / positives.
+    With ``early_stopping`` the last fifth of each symbol's rows is held back, and trees end where it gains no more."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
 
     rows = df.withColumn("label", F.col("target").cast("double"))
+    if early_stopping:
+        rows = rows.withColumn("held_back", F.percent_rank().over(Window.partitionBy("symbol").orderBy("date")) > 0.8)
     if kind == "classifier":
         pos, n = rows.agg(F.sum("label"), F.count("*")).first()
         rows = rows.withColumn("weight", F.when(F.col("label") == 1, F.lit((n - pos) / pos if pos else 1.0)).otherwise(F.lit(1.0)))
-    return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), _trees(kind, trees, depth)]).fit(rows)
+    return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), _trees(kind, trees, depth, early_stopping)]).fit(rows)
 
 
 def scored(model, df: DataFrame, kind: str = "classifier") -> DataFrame:
@@ -159,8 +165,9 @@ def scored(model, df: DataFrame, kind: str = "classifier") -> DataFrame:
     return out.withColumn("score", vector_to_array("probability")[1] if kind == "classifier" else F.col("prediction"))
 
 
-def walk_forward(df: DataFrame, kind: str = "classifier", n_splits: int = 5, gap: int = 1, min_train: int = 50, trees: int = 100, depth: int = 5) -> DataFrame:
-    """A model per fold over all symbols' training rows, and its figures on their test rows. ``df`` has ``target``."""
+def out_of_fold(df: DataFrame, kind: str = "classifier", n_splits: int = 5, gap: int = 1, min_train: int = 50, trees: int = 100, depth: int = 5) -> DataFrame | None:
+    """``symbol, date, fold, label, score`` of all test rows, each scored by the model of its fold, which is trained on all
+    symbols' rows before; None without any fold. ``df`` has ``target``."""
     names, plan = feature_names(df), folds(df, n_splits, min_train, gap)
     rows, out = in_folds(df, plan).persist(), None
     for fold in range(n_splits):
@@ -168,12 +175,19 @@ def walk_forward(df: DataFrame, kind: str = "classifier", n_splits: int = 5, gap
         train = own.filter("part = 'train'")
         if train.isEmpty():
             continue
-        tested = scored(fit_model(train, names, kind, trees, depth), own.filter("part = 'test'"), kind).withColumn("label", F.col("target").cast("double"))
-        part = (classification_metrics if kind == "classifier" else regression_metrics)(tested, "fold")
+        tested = scored(fit_model(train, names, kind, trees, depth), own.filter("part = 'test'"), kind)
+        part = tested.select(*KEYS, "fold", F.col("target").cast("double").alias("label"), "score")
         out = part if out is None else out.unionByName(part)
+    rows.unpersist()
     return out
 
 
+def walk_forward(df: DataFrame, kind: str = "classifier", n_splits: int = 5, gap: int = 1, min_train: int = 50, trees: int = 100, depth: int = 5) -> DataFrame | None:
+    """Each fold's figures on its out-of-fold rows."""
+    found = out_of_fold(df, kind, n_splits, gap, min_train, trees, depth)
+    return None if found is None else (classification_metrics if kind == "classifier" else regression_metrics)(found, "fold")
+
+
 def walk_forward_horizons(bars: DataFrame, features: DataFrame, horizons: tuple[int, ...] = (1, 5, 21), **options) -> DataFrame:
     """``walk_forward`` for the direction over several horizons, with a ``horizon`` column."""
     out = None

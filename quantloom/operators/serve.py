@@ -31,6 +31,56 @@ def recent(df: DataFrame, days: int, time: str = "date") -> DataFrame:
     return df.filter(F.col(time) >= F.date_sub(F.lit(newest), days))
 
 
+def active(symbols: DataFrame) -> DataFrame:
+    """Active symbols in order of ticker; a null flag counts as inactive."""
+    return symbols.filter("is_active").orderBy("ticker")
+
+
+def lookup(symbols: DataFrame, ticker: str) -> DataFrame:
+    """The row of one ticker, in any case, or none."""
+    return symbols.filter(F.col("ticker") == ticker.strip().upper()).limit(1)
+
+
+def enough_history(bars: DataFrame, least: int, positive: bool = True) -> DataFrame:
+    """Rows of symbols with at least ``least`` rows; with ``positive`` those whose closes are all above 0."""
+    ok = bars.groupBy("symbol").agg(F.count("close").alias("n"), F.min("close").alias("lowest")).filter(F.col("n") >= least)
+    return bars.join((ok.filter("lowest > 0") if positive else ok).select("symbol"), "symbol", "left_semi")
+
+
+def signal_markers(signals: DataFrame, bars: DataFrame) -> DataFrame:
+    """``symbol, date, signal, price``: bullish and bearish days with the close of just that day; days without a bar, as
+    weekends, have a null price."""
+    marked = signals.filter(F.col("signal").isin("bullish", "bearish", "1", "-1"))
+    side = F.when(F.col("signal").isin("bullish", "1"), "bullish").otherwise("bearish")
+    return marked.select("symbol", "date", side.alias("signal")).join(bars.select("symbol", "date", F.col("close").alias("price")), ["symbol", "date"], "left")
+
+
+def page_kpis(sentiment: DataFrame, bars: DataFrame, risk: DataFrame) -> DataFrame:
+    """One row over the symbols' latest rows: mean score, mean risk score, total volume, bullish symbols."""
+    parts = [
+        latest(sentiment).agg(F.avg("sentiment_score").alias("avg_score"), F.count_if(F.col("sentiment_score") > 0.1).alias("bullish")),
+        latest(bars).agg(F.sum("volume").alias("total_volume")), risk.agg(F.avg("risk_score").alias("avg_risk")),
+    ]
+    one = parts[0].withColumn("_k", F.lit(1))
+    for p in parts[1:]:
+        one = one.join(p.withColumn("_k", F.lit(1)), "_k")
+    return one.select("avg_score", "avg_risk", "total_volume", "bullish")
+
+
+def export_sentiment(daily: DataFrame, days: int = 90) -> DataFrame:
+    """Each symbol's latest day and its last days, rounded to four places, nulls as 0."""
+    four = lambda c: F.round(F.coalesce(F.col(c), F.lit(0.0)), 4).alias(c)
+    clean = daily.select("symbol", "date", *[four(c) for c in ("sentiment_score", "sentiment_confidence", "bullish_ratio", "bearish_ratio")], F.coalesce("article_count", F.lit(0)).cast("long").alias("article_count"))
+    history = last_rows(clean, days).groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("date", "sentiment_score", "article_count"))).alias("history"))
+    return latest(clean).join(history, "symbol")
+
+
+def export_predictions(about: DataFrame) -> DataFrame:
+    """Model figures by symbol for publication; what is missing is 0."""
+    figures = ["samples", "features", "accuracy", "auc", "r2", "direction_accuracy"]
+    return about.select("symbol", *[F.coalesce(F.col(c).cast("double") if c in about.columns else F.lit(None).cast("double"), F.lit(0.0)).alias(c) for c in figures])
+
+
 def sentiment_summary(daily: DataFrame) -> DataFrame:
     return daily.groupBy("symbol").agg(
         *[F.avg(c).alias(f"avg_{c}") for c in ("sentiment_score", "sentiment_confidence", "bullish_ratio", "bearish_ratio")],
@@ -104,6 +154,20 @@ class Watchlist:
     def intersection(self, other: Watchlist) -> Watchlist:
         return Watchlist(self.frame.intersect(other.frame))
 
+    def add(self, *symbols: str) -> Watchlist:
+        new = self.frame.sparkSession.createDataFrame([(s,) for s in symbols], "symbol string")
+        return Watchlist(self.frame.union(new))
+
+    def remove(self, *symbols: str) -> Watchlist:
+        return Watchlist(self.frame.filter(~F.col("symbol").isin([s.strip().upper() for s in symbols])))
+
+    def clear(self) -> Watchlist:
+        return Watchlist(self.frame.limit(0))
+
+    def valid(self, known: DataFrame) -> Watchlist:
+        """Those that ``known`` (a frame with ``symbol``) has."""
+        return Watchlist(self.frame.join(Watchlist(known).frame, "symbol", "left_semi"))
+
     def members_of(self, df: DataFrame) -> DataFrame:
         return df.join(self.frame, "symbol", "left_semi")
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.windows import lag
-from ..operators import drawdown, ml, price, report, risk, sentiment, serve, text
+from ..operators import drawdown, ml, predict, price, report, risk, sentiment, serve, text
 from ..sources.adapters import ARTICLES_SQL, BARS_SQL, articles, bars, headlines
 
 YEAR = "sqrt(252.0)"
@@ -540,6 +540,60 @@ add(
     keys="n_name", r3="avg_price", longs="orders",
 )
 
+_UPSERTED = QUERIES["upsert_symbols"]
+add("active_symbols", lambda s, d: serve.active(_symbols(s, d)), _UPSERTED.sql + " WHERE n.ticker IS NULL", keys="ticker is_active", r6="sector")
+add("symbol_lookup", lambda s, d: serve.lookup(_symbols(s, d), " machinery"), _UPSERTED.sql + " WHERE coalesce(o.ticker, n.ticker) = 'MACHINERY'", keys="ticker is_active", r6="sector")
+add("enough_history", on_bars(lambda df: serve.enough_history(df, 1000)), BARS_ + "\nFINAL SELECT * FROM bars WHERE symbol IN (SELECT symbol FROM bars GROUP BY symbol HAVING count(close) >= 1000 AND min(close) > 0)", r3="close volume")
+
+
+def _markers(spark, sf_dir):
+    signals = sentiment.signals_absolute(daily(spark, sf_dir), 0.1, -0.1).withColumn("symbol", F.lit(_PRIORITY)).dropDuplicates(["date", "signal"])
+    return serve.signal_markers(signals, bars(spark, sf_dir).select("symbol", F.add_months("date", 12 * 24).alias("date"), "close"))
+
+
+add(
+    "signal_markers", _markers,
+    DAILY_.replace("WITH RECURSIVE ", f"WITH RECURSIVE {BARS_SQL},\n") + """,
+m AS (SELECT DISTINCT '1-URGENT' AS symbol, date, CASE WHEN sentiment_score > 0.1 THEN 'bullish' ELSE 'bearish' END AS signal FROM daily WHERE sentiment_score > 0.1 OR sentiment_score < -0.1),
+b AS (SELECT symbol, CAST(date + INTERVAL 24 YEAR AS DATE) AS day, close FROM bars)
+FINAL SELECT m.symbol, m.date, m.signal, b.close AS price FROM m LEFT JOIN b ON b.symbol = m.symbol AND b.day = m.date""",
+    keys="symbol date signal", r3="price",
+)
+
+
+def _page(spark, sf_dir):
+    b = bars(spark, sf_dir)
+    return serve.page_kpis(daily(spark, sf_dir), b, serve.latest(b).select("symbol", (50 * (F.col("high") - F.col("low")) / F.col("high")).alias("risk_score")))
+
+
+add(
+    "page_kpis", _page,
+    DAILY_.replace("WITH RECURSIVE ", f"WITH RECURSIVE {BARS_SQL},\n") + """,
+l AS (SELECT * FROM daily QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1),
+p AS (SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1)
+FINAL SELECT (SELECT avg(sentiment_score) FROM l) AS avg_score, (SELECT avg(50 * (high - low) / high) FROM p) AS avg_risk, (SELECT sum(volume) FROM p) AS total_volume, (SELECT count(*) FROM l WHERE sentiment_score > 0.1) AS bullish""",
+    keys="", r6="avg_score avg_risk total_volume", longs="bullish",
+)
+add("export_sentiment", on_daily(lambda df: serve.export_sentiment(df).withColumn("days", F.size("history"))), DAILY_ + ",\nx AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS k, least(90, count(*) OVER (PARTITION BY symbol)) AS days FROM daily)\nFINAL SELECT symbol, date, round(coalesce(sentiment_score, 0), 4) AS sentiment_score, round(coalesce(bullish_ratio, 0), 4) AS bullish_ratio, article_count, days FROM x WHERE k = 1", r4="sentiment_score bullish_ratio", longs="article_count days")
+add("export_predictions", lambda s, d: serve.export_predictions(ml.classification_metrics(_scores(s, d).withColumn("score", F.col("probability")), "symbol")), QUERIES["clf_metrics"].sql.replace("FINAL SELECT *,", "FINAL SELECT symbol, accuracy, auc, 0.0 AS samples, 0.0 AS r2, 0.0 AS unused,"), keys="symbol", r6="accuracy auc samples r2")
+add("watchlist_edit", lambda s, d: _lists(s, d)[0].add(" new one ", "NATION_3").remove("nation_1").valid(s.read.parquet(f"{d}/nation.parquet").select(F.col("n_name").alias("symbol")).unionByName(s.createDataFrame([("New One",)], "symbol string"))).frame, "SELECT upper(n_name) AS symbol FROM nation WHERE n_nationkey < 15 AND upper(n_name) <> 'NATION_1' UNION SELECT 'NEW ONE' UNION SELECT 'NATION_3'")
+add("standard_scaled", on_bars(lambda df: predict.Scaler.fit(df, ["close", "volume"]).transform(df)), BARS_ + "\nFINAL SELECT symbol, date, (close - avg(close) OVER ()) / stddev_pop(close) OVER () AS close, (volume - avg(volume) OVER ()) / stddev_pop(volume) OVER () AS volume FROM bars", r6="close volume")
+add("return_confidence", lambda s, d: predict.return_confidence(_scores(s, d)), _SC_ + "\nFINAL SELECT *, CASE WHEN expected_return IS NOT NULL THEN coalesce(1 / (1 + abs((expected_return - avg(expected_return) OVER w) / nullif(stddev_pop(expected_return) OVER w, 0))), 0.5) END AS return_confidence FROM sc WINDOW w AS (PARTITION BY symbol)", keys="l_orderkey l_linenumber", r6="return_confidence")
+add("ensemble_signal", lambda s, d: ml.ensemble(_scores(s, d).withColumn("direction", (F.col("probability") > 0.5).cast("int"))), _SC_ + "\nFINAL SELECT *, (2 * CAST(probability > 0.5 AS INTEGER) - 1) * probability * abs(expected_return) AS ensemble_signal FROM sc", keys="l_orderkey l_linenumber", r6="ensemble_signal")
+
+
+def _models(spark, sf_dir):
+    """Both models over the small feature set; production settings are ``predict.train``'s defaults."""
+    rows, b = _small(spark, sf_dir), bars(spark, sf_dir)
+    names = ml.feature_names(rows)
+    returns = rows.drop("target").join(ml.targets(b, 1, "return").select("symbol", "date", "target").na.drop(), ["symbol", "date"])
+    return predict.Models(names, ml.fit_model(rows, names, trees=10, depth=3, early_stopping=True), ml.fit_model(returns, names, "regressor", 10, 3)), rows
+
+
+add("out_of_fold", lambda s, d: ml.out_of_fold(_small(s, d), trees=10, depth=3, n_splits=3))
+add("predictions", lambda s, d: (lambda m, rows: m.predict(rows))(*_models(s, d)))
+add("predictions_latest", lambda s, d: (lambda m, rows: m.predict_latest(rows))(*_models(s, d)))
+
 # --- text
 _TERMS = ", ".join(f"('{k}', {v})" for k, v in text.TERMS.items())
 _HEAD = "h AS (SELECT event_id AS article_id, CASE WHEN value >= 120 THEN 'Company beats estimates, stock soars after upgrade' WHEN value >= 60 THEN 'Strong growth and record profit for the quarter' WHEN value >= 30 THEN 'Shares hold steady before results' WHEN value >= 10 THEN 'Weak guidance and layoffs hurt shares' ELSE 'ok' END AS headline FROM events)"

@@ -77,3 +77,26 @@ def export(df: DataFrame, path: str, kind: str = "json") -> None:
         raise ValueError(f"unknown export format: {kind}")
     writer = df.write.mode("overwrite")
     writer.json(path) if kind == "json" else writer.option("header", True).csv(path)
+
+
+SIGNALS = "symbol STRING, date DATE, signal STRING, signal_strength DOUBLE, sentiment_score DOUBLE"
+
+
+def append_signals(df: DataFrame, path: str) -> None:
+    """Add signals to those at ``path``; rows there stay."""
+    df.select(*[F.col(c).cast(t) for c, t in (x.split() for x in SIGNALS.split(", "))]).write.mode("append").parquet(path)
+
+
+def sentiment_signals(spark: SparkSession, path: str, symbol: str | None = None) -> DataFrame:
+    """Saved signals, of one symbol if asked for; none where nothing was saved."""
+    df = _or_empty(lambda: spark.read.schema(SIGNALS).parquet(path), spark, SIGNALS)
+    return df if symbol is None else df.filter(F.col("symbol") == symbol.upper())
+
+
+def table(spark: SparkSession, path: str, kind: str | None = None, schema: str | None = None) -> DataFrame:
+    """A table by its format, taken from the ending of its path where not given: csv (with a header), json, parquet, orc."""
+    kind = kind or path.rstrip("/").rpartition(".")[2].lower()
+    if kind not in ("csv", "json", "parquet", "orc"):
+        raise ValueError(f"unknown source format: {kind}")
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return (reader.option("header", True) if kind == "csv" else reader).format(kind).load(path)
