@@ -51,9 +51,15 @@ def ewm_mean(df: DataFrame, means: dict[str, tuple[str, int]]) -> DataFrame:
     """Add exponential means ``out: (column, span)`` with y0 = x0 and y = (1 - a) y' + a x, a = 2 / (span + 1).
 
     Within a block of EWM_BLOCK values y is a running sum of x scaled by the powers of 1 / q; what earlier blocks hold
-    reaches a row as the last values at their ends, each a factor q ** EWM_BLOCK smaller than the one after it. Leading
-    nulls are skipped; a null has a null mean.
+    reaches a row as the last values at their ends, each a factor q ** EWM_BLOCK smaller than the one after it. Nulls are
+    skipped: one has a null mean and no weight, so that the values beside it are neighbours. A span of 1 is the column
+    itself.
     """
+    if min(span for _, span in means.values()) < 1:
+        raise ValueError("a span is 1 at least")
+    df = df.withColumns({name: F.col(c) for name, (c, span) in means.items() if span == 1})
+    if not (means := {name: m for name, m in means.items() if m[1] > 1}):
+        return df
     names = sorted({c for c, _ in means.values()})
     out = df.withColumns({f"_i_{c}": F.when(F.col(c).isNotNull(), F.count(c).over(running()) - 1) for c in names})
     ends: dict[str, Column] = {}

@@ -70,3 +70,14 @@ def test_scaler_of_constant_and_empty_columns(spark):
     df = spark.createDataFrame([(1.0, 5.0, None), (3.0, 5.0, None)], "a double, b double, c double")
     assert [tuple(r) for r in predict.Scaler.fit(df, ["a", "b", "c"]).transform(df).collect()] == [(-1.0, 0.0, None), (1.0, 0.0, None)]
     assert serve.Watchlist(spark.createDataFrame([("a",)], "symbol string")).clear().frame.count() == 0
+
+
+def test_exponential_means_of_span_one_and_with_gaps(spark):
+    from quantloom.functions.windows import ewm_mean
+
+    values = [1.0, 2.0, None, None, 5.0, 6.0]
+    df = spark.createDataFrame([("a", i, x) for i, x in enumerate(values)], "symbol string, date int, x double")
+    got = ewm_mean(df, {"one": ("x", 1), "three": ("x", 3)}).orderBy("date").collect()
+    assert [r.one for r in got] == values and [r.three for r in got] == [1.0, 1.5, None, None, 3.25, 4.625]
+    with pytest.raises(ValueError):
+        ewm_mean(df, {"none": ("x", 0)})
