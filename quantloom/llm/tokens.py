@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BATCH_BYTES = 1 << 20
-CACHE_BYTES, ENTRY_BYTES = 1 << 26, 180
+CACHE_BYTES, ENTRY_BYTES = 1 << 27, 180
 LONG_PIECE = 128
 
 
