@@ -19,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("a cluster needs a shared folder: set spark.checkpoint.dir")
         found = "file://" + tempfile.mkdtemp(prefix="quantloom-")
         sc.setCheckpointDir(found)
         atexit.register(shutil.rmtree, found.removeprefix("file://"), ignore_errors=True)
