@@ -1,11 +1,13 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, kept as sorted hash arrays, mapped by workers.
-
-Words are 48-bit hashes (0 begins a text, 1 ends it). Partitions count their bigrams; arrays of distinct bigrams go to
-shards by word and a part of the word before, so that no frequent word makes a large shard. A shard adds up its
-bigrams and writes them, sorted by 64-bit hash, with their counts; what it knows of each word (count, distinct words
-before it, and words after it that were seen once, twice or more often) goes on to shards of words, which are written
-the same way. Workers map the files and look all bigrams of a batch up in sorted order. Nothing but a few sums of each
-shard reaches the driver, and the model's files grow with the corpus.
+"""Interpolated modified Kneser-Ney n-gram model: counted in Spark, kept as sorted hash arrays, mapped by workers.
+
+Words are 48-bit hashes (0 begins a text, 1 ends it). Partitions count their n-grams of the highest order; arrays of
+distinct ones go to shards by their middle words and a part of the first word, so that no frequent word makes a large
+shard. A shard adds up its n-grams and writes them, sorted by 64-bit hash: those seen once as hashes alone, the others
+with their counts; the same for its contexts, which are whole there. What is left without the first word goes on as
+n-grams of the next order, each with the number of its first words, and so down to pairs, whose shards are by the last
+word and a part of the first; what they know of each word goes on to shards of words. Workers map the files and look
+all n-grams of a batch up in sorted order. Nothing but a few sums of each shard reaches the driver, the model's files
+grow with the corpus, and so does the number of shards.
 """
 
 from __future__ import annotations
@@ -20,32 +22,55 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mounted, staged
+from .common import mounted
 from .words import SPACES, mix, slices, spans, word_hashes
 
 BEGIN, END, FLUSH = 0, 1, 1 << 21
+_STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
-def token_pairs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each token's word before, its word, and the first token of each row (one more entry at the end)."""
+def token_grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Each token with the ``order - 1`` words before it, the farthest first, and the first token of each row (one more
+    entry at the end)."""
     starts, ends, at = spans(data, offsets, SPACES)
     h = np.maximum(word_hashes(data, starts, ends) >> np.uint64(16), np.uint64(2))
     n = len(at) - 1
     out = np.full(len(h) + n, END, dtype=np.uint64)
     out[np.arange(len(h)) + np.repeat(np.arange(n), np.diff(at))] = h
     first = at + np.arange(n + 1)
-    before = np.concatenate([[np.uint64(BEGIN)], out[:-1]]) if len(out) else out
-    before[first[:-1]] = BEGIN
-    return before, out, first
+    place = np.arange(len(out)) - np.repeat(first[:-1], np.diff(first))
+    return [*[np.where(place >= j, np.roll(out, j), np.uint64(BEGIN)) for j in range(order - 1, 0, -1)], out], first
 
 
-def pair_key(b: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return mix(b * np.uint64(0xD6E8FEB86659FD93) + c)
+def gram_key(grams: list[np.ndarray]) -> np.ndarray:
+    h = grams[0]
+    for w in grams[1:]:
+        h = h * _STEP + w
+    return mix(h)
 
 
-def pair_shard(b: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
-    parts = max(8, n // 8)
-    return (mix(c * np.uint64(0x9E3779B97F4A7C15) + b % np.uint64(parts)) % np.uint64(n)).astype(np.int32)
+def gram_shard(grams: list[np.ndarray], n: int) -> np.ndarray:
+    """Pairs go by the last word, longer ones by the middle words, either with a part of the first word. So a context of
+    two words or more is whole in one shard."""
+    parts = np.uint64(max(8, n // 8))
+    middle = gram_key(grams[1:-1]) if len(grams) > 2 else grams[-1]
+    return (mix(middle * np.uint64(0x9E3779B97F4A7C15) + grams[0] % parts) % np.uint64(n)).astype(np.int32)
+
+
+def packed(grams: list[np.ndarray]) -> tuple[bytes, bytes]:
+    """The distinct words, and the n-grams as places among them."""
+    words, at = np.unique(np.concatenate(grams), return_inverse=True)
+    return six(words), at.astype(np.uint16 if len(words) <= 1 << 16 else np.uint32).tobytes()
+
+
+def unpacked(words: bytes, at: bytes, order: int) -> np.ndarray:
+    words = wide(words)
+    return words[np.frombuffer(at, dtype=np.uint16 if len(words) <= 1 << 16 else np.uint32).reshape(order, -1)]
+
+
+def firsts(keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
 
 
 def word_shard(w: np.ndarray, n: int) -> np.ndarray:
@@ -67,7 +92,7 @@ def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys in order, each with the sums of its values."""
     order = np.argsort(keys)
     keys = keys[order]
-    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
+    at = firsts(keys)
     return keys[at], *[np.add.reduceat(v[order], at) if len(at) else v for v in values]
 
 
@@ -75,14 +100,16 @@ def by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     if not len(shard):
         return
     order = np.argsort(shard, kind="stable")
-    at = np.flatnonzero(np.concatenate([[True], np.diff(shard[order]) != 0]))
+    at = firsts(shard[order])
     for a, z in zip(at, [*at[1:], len(order)], strict=True):
         yield int(shard[order[a]]), order[a:z]
 
 
 def save(folder: str, name: str, **arrays: np.ndarray) -> None:
-    """One file for each array, put in place at one stroke."""
+    """One file for each array that isn't empty, put in place at one stroke."""
     for k, a in arrays.items():
+        if not len(a):
+            continue
         part = f"{folder}/{name}.{k}.{uuid.uuid4().hex}.part"
         with open(part, "wb") as f:
             np.save(f, a)
@@ -97,122 +124,196 @@ def discounts(n: list[int]) -> list[float]:
     return [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.1 * k), float(k)) for k in (1, 2, 3)]
 
 
-def train(docs: DataFrame, folder: str, text: str = "text", scope: str = "query") -> dict:
-    """Count ``docs`` and write the model's files into ``folder``, a shared folder that workers have mounted; gives its
-    constants. Null texts are empty: their one token is the end. An empty table gives a model that knows no word."""
+def classes(counts: np.ndarray, most: int) -> list[int]:
+    """How many counts are 1, 2 and so on, the last of them ``most`` or more."""
+    return np.bincount(np.minimum(counts, most), minlength=most + 1)[1:].tolist()
+
+
+def by_count(keys: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
+    """Arrays of sorted keys: those seen once have no counts."""
+    more = counts > 1
+    return {"once": keys[~more], "keys": keys[more], "counts": counts[more]}
+
+
+GRAMS = "shard int, words binary, at binary, counts binary, raw binary, stats array<long>"
+
+
+def rows_of(grams: list[np.ndarray], counts: np.ndarray, raw: np.ndarray | None, shard: np.ndarray) -> list[tuple]:
+    """A row for each shard; ``raw``, the counts of tokens, is None where ``counts`` are just these."""
+    return [(s, *packed([g[i] for g in grams]), counts[i].tobytes(), b"" if raw is None else raw[i].tobytes(), []) for s, i in by_shard(shard)]
+
+
+def train(docs: DataFrame, folder: str, text: str = "text", order: int = 3, shard_bytes: int = 1 << 25) -> dict:
+    """Count the n-grams of ``docs`` up to ``order`` (2 or more) and write the model's files into ``folder``, a shared
+    folder that workers have mounted; gives its constants. There is a shard for each ``shard_bytes`` of text, and no fewer
+    than shuffle partitions. Null texts are empty: their one token is the end. An empty table gives a model that knows no
+    word."""
+    if order < 2:
+        raise ValueError(f"order {order}: pairs are the smallest n-grams")
     to = mounted(folder)
     os.makedirs(to, exist_ok=True)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = docs.select(F.col(text).cast("string").alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush():
-            b, c = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-            _, at, counts = np.unique(pair_key(b, c), return_index=True, return_counts=True)
-            b, c = b[at], c[at]
-            order = np.argsort(c, kind="stable")
-            b, c, counts = b[order], c[order], counts[order].astype(np.uint32)
-            rows = []
-            for s, i in by_shard(pair_shard(b, c, n)):
-                words, runs = np.unique(c[i], return_counts=True)
-                rows.append((s, six(words), runs.astype(np.uint32).tobytes(), six(b[i]), counts[i].tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), *[pa.binary()] * 4))], ["shard", "words", "runs", "before", "counts"])
-
+            g = [np.concatenate(x) for x in zip(*held, strict=True)]
+            _, at, counts = np.unique(gram_key(g), return_index=True, return_counts=True)
+            g = [w[at] for w in g]
+            by = np.lexsort((g[0], g[-2]))  # equal words side by side
+            g, counts = [w[by] for w in g], counts[by].astype(np.int64)
+            rows = rows_of(g, counts, None, gram_shard(g, n))
+            return pa.RecordBatch.from_pylist([dict(zip(("shard", "words", "at", "counts", "raw", "stats"), r, strict=True)) for r in rows], kinds)
+
+        kinds = pa.schema([("shard", pa.int32()), *[(c, pa.binary()) for c in ("words", "at", "counts", "raw")], ("stats", pa.list_(pa.int64()))])
         held, size = [], 0
         for _, data, offsets in slices(batches, 0):
-            b, c, _ = token_pairs(data, offsets)
-            held.append((b, c))
-            size += len(c)
+            held.append(token_grams(data, offsets, order)[0])
+            size += len(held[-1][0])
             if size >= FLUSH:
                 yield flush()
                 held, size = [], 0
         if size:
             yield flush()
 
+    def gathered(group: pd.DataFrame, k: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """A shard's distinct n-grams of k words, sorted by key: words, keys, counts and counts of tokens."""
+        g = np.concatenate([unpacked(w, a, k) for w, a in zip(group["words"], group["at"], strict=True)], axis=1)
+        counts = np.concatenate([np.frombuffer(c, dtype=np.int64) for c in group["counts"]])
+        raw = np.concatenate([np.frombuffer(r or c, dtype=np.int64) for r, c in zip(group["raw"], group["counts"], strict=True)])
+        key = gram_key(list(g))
+        by = np.argsort(key)
+        at = firsts(key[by])
+        return list(g[:, by[at]]), key[by[at]], np.add.reduceat(counts[by], at), np.add.reduceat(raw[by], at)
+
+    def known(counts: np.ndarray, k: int) -> list[int]:
+        """Numbers of n-grams counted once to four times, in the place of this order."""
+        return [0] * 4 * (order - k) + classes(counts, 5)[:4] + [0] * 4 * (k - 1)
+
+    def passed(group: pd.DataFrame, like: list[str]) -> pd.DataFrame:
+        total = np.sum([np.array(x) for x in group["stats"]], axis=0).tolist()
+        return pd.DataFrame([(-1, *[b""] * (len(like) - 2), total)], columns=like)
+
+    def add_grams(k: int):
+        def add(group: pd.DataFrame) -> pd.DataFrame:
+            shard, like = int(group["shard"].iloc[0]), ["shard", "words", "at", "counts", "raw", "stats"]
+            if shard < 0:
+                return passed(group, like)
+            g, key, counts, raw = gathered(group, k)
+            ctx, total, one, two, more = summed(gram_key(g[:-1]), counts, (counts == 1) * 1, (counts == 2) * 1, (counts > 2) * 1)
+            alone = total == 1
+            save(to, f"grams{k}-{shard:06d}", **by_count(key, counts))
+            save(to, f"contexts{k}-{shard:06d}", once=ctx[alone], keys=ctx[~alone], total=total[~alone], after=np.stack([one, two, more], axis=1)[~alone].astype(np.uint32))
+            # Without the first word: distinct n-grams here have other first words in all other shards.
+            low = gram_key(g[1:])
+            by = np.argsort(low)
+            at = firsts(low[by])
+            left, seen, g = np.diff([*at, len(by)]).astype(np.int64), np.add.reduceat(raw[by], at), [w[by[at]] for w in g[1:]]
+            return pd.DataFrame([*rows_of(g, left, seen, gram_shard(g, n)), (-1, b"", b"", b"", b"", known(counts, k))], columns=like)
+
+        return add
+
     def add_pairs(group: pd.DataFrame) -> pd.DataFrame:
-        shard = int(group["shard"].iloc[0])
-        c = np.concatenate([np.repeat(wide(w), np.frombuffer(r, dtype=np.uint32)) for w, r in zip(group["words"], group["runs"], strict=True)])
-        b = np.concatenate([wide(x) for x in group["before"]])
-        counts = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in group["counts"]]).astype(np.int64)
-        key = pair_key(b, c)
-        order = np.argsort(key)
-        at = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
-        counts = np.add.reduceat(counts[order], at)
-        b, c, key = b[order[at]], c[order[at]], key[order[at]]
-        save(to, f"pairs-{shard:06d}", keys=key, counts=counts.astype(np.uint32))
-        words, seen, left = summed(c, counts, np.ones_like(counts))
-        before, one, two, more = summed(b, (counts == 1) * 1, (counts == 2) * 1, (counts > 2) * 1)
-        stats = np.bincount(np.minimum(counts, 5), minlength=6)[1:5].tolist()
-        rows = [(s, six(words[i]), np.stack([seen[i], left[i]]).astype(np.int64).tobytes(), b"", []) for s, i in by_shard(word_shard(words, n))]
-        rows += [(s, six(before[i]), b"", np.stack([one[i], two[i], more[i]]).astype(np.uint32).tobytes(), []) for s, i in by_shard(word_shard(before, n))]
-        return pd.DataFrame([*rows, (-1, b"", b"", b"", stats)], columns=["shard", "words", "seen", "after", "stats"])
+        shard, like = int(group["shard"].iloc[0]), ["shard", "words", "seen", "after", "stats"]
+        if shard < 0:
+            return passed(group, like)
+        (b, c), key, counts, raw = gathered(group, 2)
+        save(to, f"grams2-{shard:06d}", **by_count(key, counts))
+        words, seen, left = summed(c, raw, np.ones_like(raw))
+        before, *after = summed(b, counts, (counts == 1) * 1, (counts == 2) * 1, (counts > 2) * 1)
+        rows = [(s, six(words[i]), np.stack([seen[i], left[i]]).tobytes(), b"", []) for s, i in by_shard(word_shard(words, n))]
+        rows += [(s, six(before[i]), b"", np.stack([x[i] for x in after]).astype(np.int64).tobytes(), []) for s, i in by_shard(word_shard(before, n))]
+        return pd.DataFrame([*rows, (-1, b"", b"", b"", known(counts, 2))], columns=like)
 
     def add_words(group: pd.DataFrame) -> pd.DataFrame:
-        shard, w, v = int(group["shard"].iloc[0]), [], []
+        shard, w, v, like = int(group["shard"].iloc[0]), [], [], ["v", "n", "types", "stats", "classes"]
+        if shard < 0:
+            return pd.DataFrame([(0, 0, 0, np.sum([np.array(x) for x in group["stats"]], axis=0).tolist(), [0] * 3)], columns=like)
         for raw, seen, after in zip(group["words"], group["seen"], group["after"], strict=True):
             x = wide(raw)
-            part = np.zeros((5, len(x)), dtype=np.int64)
+            part = np.zeros((6, len(x)), dtype=np.int64)
             if seen:
                 part[:2] = np.frombuffer(seen, dtype=np.int64).reshape(2, -1)
             else:
-                part[2:] = np.frombuffer(after, dtype=np.uint32).reshape(3, -1)
+                part[2:] = np.frombuffer(after, dtype=np.int64).reshape(4, -1)
             w.append(x)
             v.append(part)
-        words, seen, left, one, two, more = summed(np.concatenate(w), *np.concatenate(v, axis=1))
-        save(to, f"words-{shard:06d}", keys=words, seen=seen, left=left, after=np.stack([one, two, more], axis=1).astype(np.uint32))
-        known = left > 0
-        return pd.DataFrame([(int(known.sum()), int(seen.sum()), int(left.sum()), int(seen[words == END].sum()), np.bincount(np.minimum(left[known], 5), minlength=6)[1:5].tolist(), np.bincount(np.minimum(left[known], 3), minlength=4)[1:].tolist())], columns=["v", "n", "types", "texts", "stats", "classes"])
-
-    counted = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(pairs, "shard int, words binary, runs binary, before binary, counts binary")
-    first = staged(counted.groupBy("shard").applyInPandas(add_pairs, "shard int, words binary, seen binary, after binary, stats array<long>"), "pairs", scope)
-    last = first.filter("shard >= 0").groupBy("shard").applyInPandas(add_words, "v long, n long, types long, texts long, stats array<long>, classes array<long>")
-    add = [F.sum(F.element_at("stats", k)).alias(f"s{k}") for k in range(1, 5)]
-    one = first.filter("shard < 0").agg(*add).first()
-    two = last.agg(*[F.sum(c).alias(c) for c in ("v", "n", "types", "texts")], *add, *[F.sum(F.element_at("classes", k)).alias(f"c{k}") for k in range(1, 4)]).first()
-    d2, d1 = discounts([x or 0 for x in one]), discounts([two[f"s{k}"] or 0 for k in range(1, 5)])
-    classes = [two[f"c{k}"] or 0 for k in range(1, 4)]
-    return {"folder": folder, "shards": n, "vocabulary": two.v or 0, "tokens": two.n or 0, "types": two["types"] or 0, "texts": two.texts or 0, "d2": d2, "d1": d1, "spread": sum(d * k for d, k in zip(d1, classes, strict=True))}
+        words, seen, left, total, one, two, more = summed(np.concatenate(w), *np.concatenate(v, axis=1))
+        save(to, f"words-{shard:06d}", keys=words, seen=seen, left=left, total=total, after=np.stack([one, two, more], axis=1))
+        here = left[left > 0]
+        return pd.DataFrame([(len(here), int(seen.sum()), int(left.sum()), known(here, 1), classes(here, 3))], columns=like)
+
+    counted = texts.mapInArrow(grams, GRAMS)
+    for k in range(order, 2, -1):
+        counted = counted.groupBy("shard").applyInPandas(add_grams(k), GRAMS)
+    paired = counted.groupBy("shard").applyInPandas(add_pairs, "shard int, words binary, seen binary, after binary, stats array<long>")
+    last = paired.groupBy("shard").applyInPandas(add_words, "v long, n long, types long, stats array<long>, classes array<long>")
+    add = [F.sum(F.element_at("stats", k)).alias(f"s{k}") for k in range(1, 4 * order + 1)] + [F.sum(F.element_at("classes", k)).alias(f"c{k}") for k in range(1, 4)]
+    sums = last.agg(*[F.sum(c).alias(c) for c in ("v", "n", "types")], *add).first()
+    d = {order - i: discounts([sums[f"s{4 * i + k}"] or 0 for k in range(1, 5)]) for i in range(order)}
+    spread = sum(x * (sums[f"c{k}"] or 0) for k, x in enumerate(d[1], 1))
+    return {"folder": folder, "order": order, "shards": n, "vocabulary": sums.v or 0, "tokens": sums.n or 0, "types": sums["types"] or 0, "discounts": d, "spread": spread}
 
 
 class Mapped:
     """A model's files, mapped. Missing shards have no entries."""
 
-    def __init__(self, model: dict):
-        self.model, self.to = model, mounted(model["folder"])
+    def __init__(self, model: dict, most: int = 8192):
+        self.model, self.to, self.most = model, mounted(model["folder"]), most
         self.files: dict[str, np.ndarray | None] = {}
 
     def array(self, name: str) -> np.ndarray | None:
         if name not in self.files:
+            if len(self.files) >= self.most:
+                self.files.clear()
             path = f"{self.to}/{name}.npy"
             self.files[name] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
         return self.files[name]
 
     def find(self, kind: str, shard: np.ndarray, keys: np.ndarray, **columns: np.ndarray) -> None:
-        """Fill the columns for the keys (in ascending order) that the shards have."""
+        """Fill the columns for the keys (in ascending order) that the shards have. Keys that were seen once have 1 as
+        count or total and as the first of their classes."""
         for s, i in by_shard(shard):
-            have = self.array(f"{kind}-{s:06d}.keys")
-            if have is None:
-                continue
-            at = np.minimum(np.searchsorted(have, keys[i]), len(have) - 1)
-            ok = have[at] == keys[i]
-            for k, out in columns.items():
-                out[i[ok]] = self.array(f"{kind}-{s:06d}.{k}")[at[ok]]
-
-    def scores(self, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            for part in ("keys", "once"):
+                have = self.array(f"{kind}-{s:06d}.{part}")
+                if have is None:
+                    continue
+                at = np.minimum(np.searchsorted(have, keys[i]), len(have) - 1)
+                ok = have[at] == keys[i]
+                for k, out in columns.items():
+                    if part == "keys":
+                        out[i[ok]] = self.array(f"{kind}-{s:06d}.{k}")[at[ok]]
+                    elif out.ndim == 1:
+                        out[i[ok]] = 1
+                    else:
+                        out[i[ok], 0] = 1
+
+    def scores(self, grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Each token's log10 probability, log10 base probability and whether it was seen in training."""
         m = self.model
-        words, at = np.unique(np.concatenate([b, c]), return_inverse=True)
-        seen, left, after = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), np.zeros((len(words), 3))
-        self.find("words", word_shard(words, m["shards"]), words, seen=seen, left=left, after=after)
-        d1, d2 = np.array([0.0, *m["d1"]]), np.array([0.0, *m["d2"]])
-        p1 = (np.maximum(left - d1[np.minimum(left, 3)], 0) + m["spread"] / (m["vocabulary"] + 1)) / m["types"] if m["types"] else np.full(len(words), 1 / (m["vocabulary"] + 1))
-        total = np.where(words == BEGIN, m["texts"], np.where(words == END, 0, seen)).astype(float)
-        back = np.where(total > 0, after @ d2[1:] / np.maximum(total, 1), 1.0)
-        bi, ci = at[: len(b)], at[len(b) :]
-        keys, first, inverse = np.unique(pair_key(b, c), return_index=True, return_inverse=True)
-        counts = np.zeros(len(keys), np.int64)
-        self.find("pairs", pair_shard(b[first], c[first], m["shards"]), keys, counts=counts)
-        n = counts[inverse]
-        p = np.maximum(n - d2[np.minimum(n, 3)], 0) / np.maximum(total[bi], 1) + back[bi] * p1[ci]
+        n, d = m["shards"], {k: np.array([0.0, *x]) for k, x in m["discounts"].items()}
+        words, at = np.unique(np.concatenate(grams[-2:]), return_inverse=True)
+        seen, left, total = (np.zeros(len(words), np.int64) for _ in range(3))
+        after = np.zeros((len(words), 3))
+        self.find("words", word_shard(words, n), words, seen=seen, left=left, total=total, after=after)
+        bi, ci = at[: len(grams[-1])], at[len(grams[-1]) :]
+        p = ((np.maximum(left - d[1][np.minimum(left, 3)], 0) + m["spread"] / (m["vocabulary"] + 1)) / m["types"] if m["types"] else np.full(len(words), 1 / (m["vocabulary"] + 1)))[ci]
+        total, after = total[bi], after[bi]
+        for k in range(2, m["order"] + 1):
+            g = grams[-k:]
+            shard = gram_shard(g, n)
+            if k > 2:
+                keys, first, inverse = np.unique(gram_key(g[:-1]), return_index=True, return_inverse=True)
+                total, after = np.zeros(len(keys), np.int64), np.zeros((len(keys), 3))
+                self.find(f"contexts{k}", shard[first], keys, total=total, after=after)
+                total, after = total[inverse], after[inverse]
+            keys, first, inverse = np.unique(gram_key(g), return_index=True, return_inverse=True)
+            counts = np.zeros(len(keys), np.int64)
+            self.find(f"grams{k}", shard[first], keys, counts=counts)
+            c = counts[inverse]
+            whole = np.maximum(total, 1)
+            p = np.where(total > 0, np.maximum(c - d[k][np.minimum(c, 3)], 0) / whole + after @ d[k][1:] / whole * p, p)
         base = np.log10((seen + 0.5) / (m["tokens"] + 0.5 * (m["vocabulary"] + 1)))
         return np.log10(p), base[ci], seen[ci] > 0
 
@@ -230,8 +331,8 @@ def score(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "tex
             _MAPPED[model["folder"]] = Mapped(model)
         mapped = _MAPPED[model["folder"]]
         for part, data, offsets in slices(batches):
-            b, c, first = token_pairs(data, offsets)
-            p, base, known = mapped.scores(b, c)
+            grams, first = token_grams(data, offsets, model["order"])
+            p, base, known = mapped.scores(grams)
             n, at = np.diff(first), first[:-1]
             p, base, known = np.add.reduceat(p, at), np.add.reduceat(base, at), np.add.reduceat(known.astype(np.int64), at)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(known), pa.array(base), pa.array(p), pa.array(10 ** (-p / n))], ["doc_id", "n_tokens", "n_known", "base_score", "score", "perplexity"])

@@ -76,23 +76,25 @@ def repeats(rows, length=100):
     return out
 
 
-class BigramModel:
-    """Interpolated modified Kneser-Ney over plain dictionaries."""
+class KneserNey:
+    """Interpolated modified Kneser-Ney of an order over plain dictionaries."""
 
-    def __init__(self, texts):
-        self.pairs = Counter()
+    def __init__(self, texts, order):
+        self.order, self.uni, top = order, Counter(), Counter()
         for t in texts:
-            w = words(t) + ["</s>"]
-            self.pairs.update(zip(["<s>", *w], w, strict=False))
-        self.uni, self.left, self.after, self.total = Counter(), Counter(), defaultdict(lambda: [0, 0, 0]), Counter()
-        for (b, c), n in self.pairs.items():
-            self.uni[c] += n
-            self.left[c] += 1
-            self.after[b][min(n, 3) - 1] += 1
-            self.total[b] += n
-        self.d2, self.d1 = self.discount(self.pairs.values()), self.discount(self.left.values())
-        self.v, self.n, self.types = len(self.uni), sum(self.uni.values()), len(self.pairs)
-        self.spread = sum(self.d1[min(x, 3)] for x in self.left.values())
+            w = ["<s>"] * (order - 1) + words(t) + ["</s>"]
+            self.uni.update(w[order - 1 :])
+            top.update(tuple(w[i : i + order]) for i in range(len(w) - order + 1))
+        self.counts = {order: top}
+        for k in range(order - 1, 0, -1):
+            self.counts[k] = Counter(g[1:] for g in self.counts[k + 1])
+        self.after, self.total, self.d = defaultdict(lambda: [0, 0, 0]), Counter(), {}
+        for k, grams in self.counts.items():
+            self.d[k] = self.discount(grams.values())
+            for g, n in grams.items():
+                self.after[k, g[:-1]][min(n, 3) - 1] += 1
+                self.total[k, g[:-1]] += n
+        self.v, self.n, self.types = len(self.uni), sum(self.uni.values()), len(self.counts[2])
 
     @staticmethod
     def discount(counts):
@@ -102,16 +104,17 @@ class BigramModel:
         y = n[1] / (n[1] + 2 * n[2])
         return [0, *[min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.1 * k), k) for k in (1, 2, 3)]]
 
-    def p1(self, c):
-        return (max(self.left[c] - self.d1[min(self.left[c], 3)], 0) + self.spread / (self.v + 1)) / self.types
-
-    def p(self, b, c):
-        if not self.total[b]:
-            return self.p1(c)
-        n = self.pairs[b, c]
-        return max(n - self.d2[min(n, 3)], 0) / self.total[b] + sum(self.d2[k + 1] * self.after[b][k] for k in range(3)) / self.total[b] * self.p1(c)
+    def p(self, gram):
+        k = len(gram)
+        if not k:
+            return 1 / (self.v + 1)
+        if not (total := self.total[k, gram[:-1]]):
+            return self.p(gram[1:])
+        n, d = self.counts[k][gram], self.d[k]
+        return max(n - d[min(n, 3)], 0) / total + sum(d[i + 1] * self.after[k, gram[:-1]][i] for i in range(3)) / total * self.p(gram[1:])
 
     def score(self, text):
-        w = words(text) + ["</s>"]
-        base = sum(math.log10((self.uni[c] + 0.5) / (self.n + 0.5 * (self.v + 1))) for c in w)
-        return len(w), sum(self.uni[c] > 0 for c in w), base, sum(math.log10(self.p(b, c)) for b, c in zip(["<s>", *w], w, strict=False))
+        w = ["<s>"] * (self.order - 1) + words(text) + ["</s>"]
+        own = w[self.order - 1 :]
+        base = sum(math.log10((self.uni[c] + 0.5) / (self.n + 0.5 * (self.v + 1))) for c in own)
+        return len(own), sum(self.uni[c] > 0 for c in own), base, sum(math.log10(self.p(tuple(w[i : i + self.order]))) for i in range(len(own)))

@@ -31,10 +31,12 @@ def test_fold_is_crc32(docs):
     assert all(r.f == (zlib.crc32(str(r.doc_id).encode()) % 5 if r.doc_id is not None else 0) for r in docs.select("doc_id", fold().alias("f")).collect())
 
 
-def test_language_model(docs, spark):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model(docs, spark, order):
     train = docs.filter(fold() != 1)
-    model = ngram.train(train, new_folder(spark, "ngram"))
-    brute = helpers.BigramModel([r.text for r in train.collect()])
+    model = ngram.train(train, new_folder(spark, "ngram"), order=order, shard_bytes=1 << 15)
+    assert order > 2 or model["shards"] > 8
+    brute = helpers.KneserNey([r.text for r in train.collect()], order)
     assert (model["tokens"], model["vocabulary"], model["types"]) == (brute.n, brute.v, brute.types)
     texts = {r.doc_id: r.text for r in docs.collect()}
     held = base = 0.0
