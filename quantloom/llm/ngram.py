@@ -2,10 +2,14 @@
 
 Words are 48-bit hashes (0 begins a text, 1 ends it). Partitions count their n-grams of the highest order; arrays of
 distinct ones go to shards by their middle words and a part of the first word, so that no frequent word makes a large
-shard. A shard adds up its n-grams and writes them, sorted by 64-bit hash: those seen once as hashes alone, the others
-with their counts; the same for its contexts, which are whole there. What is left without the first word goes on as
-n-grams of the next order, each with the number of its first words, and so down to pairs, whose shards are by the last
-word and a part of the first; what they know of each word goes on to shards of words. Workers map the files and look
+shard. A shard adds up its n-grams and writes them as sorted arrays of hashes: those seen once as hashes alone, the others with
+their counts; so also its contexts, which are whole there, but for those with one continuation seen once: any context
+that was seen is an n-gram of the next lower order, and one without an entry of its own must be such. What is left
+without the first word goes on as n-grams of that order, each with the number of its first words, and so down to pairs,
+whose shards are by the last word and a part of the first; what they know of each word goes on to shards of words.
+
+A sorted array keeps 32 bits of each hash below those that its directory of leading bits tells, some 8 to 16 hashes to
+an entry: 44 bits or more, so that one in 3e8 n-grams never seen is taken for a seen one. Workers map the files and look
 all n-grams of a batch up in sorted order. Nothing but a few sums of each shard reaches the driver, the model's files
 grow with the corpus, and so does the number of shards.
 """
@@ -19,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,15 +62,32 @@ def gram_shard(grams: list[np.ndarray], n: int) -> np.ndarray:
     return (mix(middle * np.uint64(0x9E3779B97F4A7C15) + grams[0] % parts) % np.uint64(n)).astype(np.int32)
 
 
-def packed(grams: list[np.ndarray]) -> tuple[bytes, bytes]:
-    """The distinct words, and the n-grams as places among them."""
-    words, at = np.unique(np.concatenate(grams), return_inverse=True)
-    return six(words), at.astype(np.uint16 if len(words) <= 1 << 16 else np.uint32).tobytes()
+def squeezed(a: np.ndarray) -> bytes:
+    """Compressed planes of bytes: the high ones of small numbers cost next to nothing."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes())
+
+
+def loosened(raw: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+
+
+def packed_words(words: np.ndarray) -> bytes:
+    """Ascending words by their differences."""
+    return squeezed(np.diff(words, prepend=np.uint64(0)))
+
+
+def unpacked_words(raw: bytes) -> np.ndarray:
+    return np.cumsum(loosened(raw, np.uint64), dtype=np.uint64)
+
+
+def place_kind(words: np.ndarray) -> type:
+    return np.uint16 if len(words) <= 1 << 16 else np.uint32
 
 
 def unpacked(words: bytes, at: bytes, order: int) -> np.ndarray:
-    words = wide(words)
-    return words[np.frombuffer(at, dtype=np.uint16 if len(words) <= 1 << 16 else np.uint32).reshape(order, -1)]
+    words = unpacked_words(words)
+    return words[loosened(at, place_kind(words)).reshape(order, -1)]
 
 
 def firsts(keys: np.ndarray) -> np.ndarray:
@@ -77,17 +99,6 @@ def word_shard(w: np.ndarray, n: int) -> np.ndarray:
     return (mix(w) % np.uint64(n)).astype(np.int32)
 
 
-def six(w: np.ndarray) -> bytes:
-    return np.ascontiguousarray(w).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def wide(raw: bytes) -> np.ndarray:
-    part = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
-    out = np.zeros((len(part), 8), dtype=np.uint8)
-    out[:, :6] = part
-    return out.view(np.uint64).reshape(-1)
-
-
 def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys in order, each with the sums of its values."""
     order = np.argsort(keys)
@@ -129,18 +140,53 @@ def classes(counts: np.ndarray, most: int) -> list[int]:
     return np.bincount(np.minimum(counts, most), minlength=most + 1)[1:].tolist()
 
 
+def narrow(a: np.ndarray) -> np.ndarray:
+    """The same numbers (0 or more) in as few bytes as the largest needs."""
+    return a.astype(np.min_scalar_type(int(a.max()))) if len(a) else a
+
+
+def directory(name: str, keys: np.ndarray) -> dict[str, np.ndarray]:
+    """Sorted keys as the places where each value of their leading bits begins, and the 32 bits below."""
+    if not len(keys):
+        return {}
+    bits = max(1, len(keys).bit_length() - 4)
+    top = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+    return {f"{name}_top": narrow(top), f"{name}_low": (keys >> np.uint64(32 - bits)).astype(np.uint32)}
+
+
+def look_up(top: np.ndarray, low: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the keys in a directory, and whether they are there."""
+    bits = (len(top) - 1).bit_length() - 1
+    lead, rest = (keys >> np.uint64(64 - bits)).astype(np.int64), (keys >> np.uint64(32 - bits)).astype(np.uint32)
+    at, end = top[lead].astype(np.int64), top[lead + 1].astype(np.int64)
+    stop = end.copy()
+    while (at < stop).any():
+        half = (at + stop) >> 1
+        less = (at < stop) & (low[np.minimum(half, len(low) - 1)] < rest)
+        stop = np.where(less, stop, half)
+        at = np.where(less, half + 1, at)
+    return at, (at < end) & (low[np.minimum(at, len(low) - 1)] == rest)
+
+
 def by_count(keys: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
     """Arrays of sorted keys: those seen once have no counts."""
     more = counts > 1
-    return {"once": keys[~more], "keys": keys[more], "counts": counts[more]}
+    return directory("once", keys[~more]) | directory("keys", keys[more]) | {"counts": narrow(counts[more])}
 
 
 GRAMS = "shard int, words binary, at binary, counts binary, raw binary, stats array<long>"
 
 
 def rows_of(grams: list[np.ndarray], counts: np.ndarray, raw: np.ndarray | None, shard: np.ndarray) -> list[tuple]:
-    """A row for each shard; ``raw``, the counts of tokens, is None where ``counts`` are just these."""
-    return [(s, *packed([g[i] for g in grams]), counts[i].tobytes(), b"" if raw is None else raw[i].tobytes(), []) for s, i in by_shard(shard)]
+    """A row for each shard, equal words side by side: the distinct words, the n-grams as places among them, counts, and
+    ``raw``, the counts of tokens (None where ``counts`` are just these)."""
+    out = []
+    for s, i in by_shard(shard):
+        words, at = np.unique(np.stack([g[i] for g in grams]), return_inverse=True)
+        at = at.reshape(len(grams), -1).astype(place_kind(words))
+        by = np.lexsort((at[-1], at[-2]))
+        out.append((s, packed_words(words), squeezed(at[:, by]), squeezed(counts[i[by]]), b"" if raw is None else squeezed(raw[i[by]]), []))
+    return out
 
 
 def train(docs: DataFrame, folder: str, text: str = "text", order: int = 3, shard_bytes: int = 1 << 25) -> dict:
@@ -161,9 +207,7 @@ def train(docs: DataFrame, folder: str, text: str = "text", order: int = 3, shar
             g = [np.concatenate(x) for x in zip(*held, strict=True)]
             _, at, counts = np.unique(gram_key(g), return_index=True, return_counts=True)
             g = [w[at] for w in g]
-            by = np.lexsort((g[0], g[-2]))  # equal words side by side
-            g, counts = [w[by] for w in g], counts[by].astype(np.int64)
-            rows = rows_of(g, counts, None, gram_shard(g, n))
+            rows = rows_of(g, counts.astype(np.int64), None, gram_shard(g, n))
             return pa.RecordBatch.from_pylist([dict(zip(("shard", "words", "at", "counts", "raw", "stats"), r, strict=True)) for r in rows], kinds)
 
         kinds = pa.schema([("shard", pa.int32()), *[(c, pa.binary()) for c in ("words", "at", "counts", "raw")], ("stats", pa.list_(pa.int64()))])
@@ -180,8 +224,8 @@ def train(docs: DataFrame, folder: str, text: str = "text", order: int = 3, shar
     def gathered(group: pd.DataFrame, k: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
         """A shard's distinct n-grams of k words, sorted by key: words, keys, counts and counts of tokens."""
         g = np.concatenate([unpacked(w, a, k) for w, a in zip(group["words"], group["at"], strict=True)], axis=1)
-        counts = np.concatenate([np.frombuffer(c, dtype=np.int64) for c in group["counts"]])
-        raw = np.concatenate([np.frombuffer(r or c, dtype=np.int64) for r, c in zip(group["raw"], group["counts"], strict=True)])
+        counts = np.concatenate([loosened(c, np.int64) for c in group["counts"]])
+        raw = np.concatenate([loosened(r or c, np.int64) for r, c in zip(group["raw"], group["counts"], strict=True)])
         key = gram_key(list(g))
         by = np.argsort(key)
         at = firsts(key[by])
@@ -201,10 +245,10 @@ def train(docs: DataFrame, folder: str, text: str = "text", order: int = 3, shar
             if shard < 0:
                 return passed(group, like)
             g, key, counts, raw = gathered(group, k)
-            ctx, total, one, two, more = summed(gram_key(g[:-1]), counts, (counts == 1) * 1, (counts == 2) * 1, (counts > 2) * 1)
-            alone = total == 1
+            ctx, total, one, two, more, begin = summed(gram_key(g[:-1]), counts, (counts == 1) * 1, (counts == 2) * 1, (counts > 2) * 1, (g[-2] == BEGIN) * 1)
+            own = (total > 1) | (begin > 0)
             save(to, f"grams{k}-{shard:06d}", **by_count(key, counts))
-            save(to, f"contexts{k}-{shard:06d}", once=ctx[alone], keys=ctx[~alone], total=total[~alone], after=np.stack([one, two, more], axis=1)[~alone].astype(np.uint32))
+            save(to, f"contexts{k}-{shard:06d}", **directory("keys", ctx[own]), total=narrow(total[own]), after=narrow(np.stack([one, two, more], axis=1)[own]))
             # Without the first word: distinct n-grams here have other first words in all other shards.
             low = gram_key(g[1:])
             by = np.argsort(low)
@@ -222,8 +266,8 @@ def train(docs: DataFrame, folder: str, text: str = "text", order: int = 3, shar
         save(to, f"grams2-{shard:06d}", **by_count(key, counts))
         words, seen, left = summed(c, raw, np.ones_like(raw))
         before, *after = summed(b, counts, (counts == 1) * 1, (counts == 2) * 1, (counts > 2) * 1)
-        rows = [(s, six(words[i]), np.stack([seen[i], left[i]]).tobytes(), b"", []) for s, i in by_shard(word_shard(words, n))]
-        rows += [(s, six(before[i]), b"", np.stack([x[i] for x in after]).astype(np.int64).tobytes(), []) for s, i in by_shard(word_shard(before, n))]
+        rows = [(s, packed_words(words[i]), squeezed(np.stack([seen[i], left[i]])), b"", []) for s, i in by_shard(word_shard(words, n))]
+        rows += [(s, packed_words(before[i]), b"", squeezed(np.stack([x[i] for x in after]).astype(np.int64)), []) for s, i in by_shard(word_shard(before, n))]
         return pd.DataFrame([*rows, (-1, b"", b"", b"", known(counts, 2))], columns=like)
 
     def add_words(group: pd.DataFrame) -> pd.DataFrame:
@@ -231,16 +275,16 @@ def train(docs: DataFrame, folder: str, text: str = "text", order: int = 3, shar
         if shard < 0:
             return pd.DataFrame([(0, 0, 0, np.sum([np.array(x) for x in group["stats"]], axis=0).tolist(), [0] * 3)], columns=like)
         for raw, seen, after in zip(group["words"], group["seen"], group["after"], strict=True):
-            x = wide(raw)
+            x = unpacked_words(raw)
             part = np.zeros((6, len(x)), dtype=np.int64)
             if seen:
-                part[:2] = np.frombuffer(seen, dtype=np.int64).reshape(2, -1)
+                part[:2] = loosened(seen, np.int64).reshape(2, -1)
             else:
-                part[2:] = np.frombuffer(after, dtype=np.int64).reshape(4, -1)
+                part[2:] = loosened(after, np.int64).reshape(4, -1)
             w.append(x)
             v.append(part)
         words, seen, left, total, one, two, more = summed(np.concatenate(w), *np.concatenate(v, axis=1))
-        save(to, f"words-{shard:06d}", keys=words, seen=seen, left=left, total=total, after=np.stack([one, two, more], axis=1))
+        save(to, f"words-{shard:06d}", keys=words, seen=narrow(seen), left=narrow(left), total=narrow(total), after=narrow(np.stack([one, two, more], axis=1)))
         here = left[left > 0]
         return pd.DataFrame([(len(here), int(seen.sum()), int(left.sum()), known(here, 1), classes(here, 3))], columns=like)
 
@@ -272,25 +316,34 @@ class Mapped:
         return self.files[name]
 
     def find(self, kind: str, shard: np.ndarray, keys: np.ndarray, **columns: np.ndarray) -> None:
-        """Fill the columns for the keys (in ascending order) that the shards have. Keys that were seen once have 1 as
-        count or total and as the first of their classes."""
+        """Fill the columns for the keys (in ascending order) that the shards have."""
         for s, i in by_shard(shard):
-            for part in ("keys", "once"):
-                have = self.array(f"{kind}-{s:06d}.{part}")
+            name = f"{kind}-{s:06d}"
+            if kind == "words":
+                have = self.array(f"{name}.keys")
                 if have is None:
                     continue
                 at = np.minimum(np.searchsorted(have, keys[i]), len(have) - 1)
                 ok = have[at] == keys[i]
-                for k, out in columns.items():
-                    if part == "keys":
-                        out[i[ok]] = self.array(f"{kind}-{s:06d}.{k}")[at[ok]]
-                    elif out.ndim == 1:
-                        out[i[ok]] = 1
-                    else:
-                        out[i[ok], 0] = 1
+            elif (top := self.array(f"{name}.keys_top")) is not None:
+                at, ok = look_up(top, self.array(f"{name}.keys_low"), keys[i])
+            else:
+                continue
+            for k, out in columns.items():
+                out[i[ok]] = self.array(f"{name}.{k}")[at[ok]]
+
+    def counts(self, order: int, shard: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Counts of n-grams by their keys, in ascending order."""
+        out = np.zeros(len(keys), np.int64)
+        self.find(f"grams{order}", shard, keys, counts=out)
+        for s, i in by_shard(shard):
+            if (top := self.array(f"grams{order}-{s:06d}.once_top")) is not None:
+                left = i[out[i] == 0]
+                out[left[look_up(top, self.array(f"grams{order}-{s:06d}.once_low"), keys[left])[1]]] = 1
+        return out
 
     def scores(self, grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each token's log10 probability, log10 base probability and whether it was seen in training."""
+        """For the n-grams that end at successive tokens: each token's log10 probability, log10 base probability and whether it was seen in training."""
         m = self.model
         n, d = m["shards"], {k: np.array([0.0, *x]) for k, x in m["discounts"].items()}
         words, at = np.unique(np.concatenate(grams[-2:]), return_inverse=True)
@@ -308,10 +361,10 @@ class Mapped:
                 total, after = np.zeros(len(keys), np.int64), np.zeros((len(keys), 3))
                 self.find(f"contexts{k}", shard[first], keys, total=total, after=after)
                 total, after = total[inverse], after[inverse]
+                alone = np.flatnonzero((total == 0) & (np.concatenate([[0], c[:-1]]) > 0) & (g[-2] != BEGIN))  # the token before ends this context
+                total[alone], after[alone, 0] = 1, 1
             keys, first, inverse = np.unique(gram_key(g), return_index=True, return_inverse=True)
-            counts = np.zeros(len(keys), np.int64)
-            self.find(f"grams{k}", shard[first], keys, counts=counts)
-            c = counts[inverse]
+            c = self.counts(k, shard[first], keys)[inverse]
             whole = np.maximum(total, 1)
             p = np.where(total > 0, np.maximum(c - d[k][np.minimum(c, 3)], 0) / whole + after @ d[k][1:] / whole * p, p)
         base = np.log10((seen + 0.5) / (m["tokens"] + 0.5 * (m["vocabulary"] + 1)))

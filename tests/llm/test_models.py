@@ -49,6 +49,23 @@ def test_language_model(docs, spark, order):
     assert held > base
 
 
+def test_language_model_of_one_text(spark):
+    one = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    model, brute = ngram.train(one, new_folder(spark, "ngram")), helpers.KneserNey(["a b"], 3)
+    some = ["a b", "", "b a", "a", "a b a b", "c"]
+    for r in ngram.score(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string"), model).collect():
+        assert r.score == pytest.approx(brute.score(some[r.doc_id])[3], rel=1e-9)
+
+
+def test_directories_find_what_they_hold():
+    for n in (1, 2, 15, 16, 1000, 70_000):
+        keys = np.unique(np.random.default_rng(n).integers(0, 1 << 64, n, dtype=np.uint64))
+        parts = ngram.directory("x", keys)
+        at, ok = ngram.look_up(parts["x_top"], parts["x_low"], keys)
+        assert ok.all() and (at == np.arange(len(keys))).all()
+        assert not ngram.look_up(parts["x_top"], parts["x_low"], keys ^ np.uint64(1 << 40))[1].any()
+
+
 def test_language_model_of_nothing(spark):
     model = ngram.train(empty(spark), new_folder(spark, "ngram"))
     assert [r.n_known for r in ngram.score(spark.createDataFrame([(1, None), (None, "a b")], "doc_id long, text string"), model).collect()] == [0, 0]
