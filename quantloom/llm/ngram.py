@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import mounted
 from .words import SPACES, mix, slices, spans, word_hashes
 
-BEGIN, END, FLUSH = 0, 1, 1 << 21
+BEGIN, END, FLUSH = 0, 1, 1 << 22
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -73,7 +73,7 @@ def loosened(raw: bytes, kind: type) -> np.ndarray:
 
 
 def packed_words(words: np.ndarray) -> bytes:
-    """Ascending words by their differences."""
+    """Words by their differences, which are small where words ascend."""
     return squeezed(np.diff(words, prepend=np.uint64(0)))
 
 
@@ -178,12 +178,15 @@ GRAMS = "shard int, words binary, at binary, counts binary, raw binary, stats ar
 
 
 def rows_of(grams: list[np.ndarray], counts: np.ndarray, raw: np.ndarray | None, shard: np.ndarray) -> list[tuple]:
-    """A row for each shard, equal words side by side: the distinct words, the n-grams as places among them, counts, and
-    ``raw``, the counts of tokens (None where ``counts`` are just these)."""
+    """A row for each shard, equal words side by side: the distinct words, frequent ones first, the n-grams as places
+    among them, counts, and ``raw``, the counts of tokens (None where ``counts`` are just these)."""
     out = []
     for s, i in by_shard(shard):
-        words, at = np.unique(np.stack([g[i] for g in grams]), return_inverse=True)
-        at = at.reshape(len(grams), -1).astype(place_kind(words))
+        words, at, often = np.unique(np.stack([g[i] for g in grams]), return_inverse=True, return_counts=True)
+        rank = np.lexsort((words, -often))
+        place = np.empty(len(words), dtype=place_kind(words))
+        place[rank] = np.arange(len(words))
+        words, at = words[rank], place[at].reshape(len(grams), -1)
         by = np.lexsort((at[-1], at[-2]))
         out.append((s, packed_words(words), squeezed(at[:, by]), squeezed(counts[i[by]]), b"" if raw is None else squeezed(raw[i[by]]), []))
     return out
@@ -204,7 +207,8 @@ def train(docs: DataFrame, folder: str, text: str = "text", order: int = 3, shar
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush():
-            g = [np.concatenate(x) for x in zip(*held, strict=True)]
+            g = [np.concatenate([x.pop(0) for x in held]) for _ in range(order)]
+            held.clear()
             _, at, counts = np.unique(gram_key(g), return_index=True, return_counts=True)
             g = [w[at] for w in g]
             rows = rows_of(g, counts.astype(np.int64), None, gram_shard(g, n))
@@ -217,7 +221,7 @@ def train(docs: DataFrame, folder: str, text: str = "text", order: int = 3, shar
             size += len(held[-1][0])
             if size >= FLUSH:
                 yield flush()
-                held, size = [], 0
+                size = 0
         if size:
             yield flush()
 
