@@ -81,6 +81,14 @@ def on_daily(*steps) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def joined(*names: str, join: str = "JOIN") -> dict[str, str]:
+    """SQL and columns of a query that has the columns of several others side by side."""
+    parts = [QUERIES[n] for n in names]
+    sql = "\nFINAL SELECT * FROM " + f" {join} ".join(f"({q.oracle()}) p{i}" + " USING (symbol, date)" * (i > 0) for i, q in enumerate(parts))
+    every = lambda k: " ".join(dict.fromkeys(" ".join(getattr(q, k) for q in parts).split()))
+    return {"sql": sql} | {k: every(k) for k in ("keys", "r6", "r3", "r4", "r9", "longs", "ints")}
+
+
 W = "(PARTITION BY symbol ORDER BY date)"
 
 
@@ -213,7 +221,7 @@ _PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 add("combined_prices", on_bars(lambda df: price.combined(df, "close", _PRIORITIES)), BARS_ + " SELECT date, " + ", ".join(f"max(close) FILTER (symbol = '{p}') AS \"{p}\"" for p in _PRIORITIES) + " FROM bars GROUP BY date")
 
 
-add("price_features_all", on_bars(price.build_all))
+add("price_features_all", on_bars(price.build_all), **joined("returns", "log_returns", "rolling_volatility", "momentum_roc", "sma_ema", "ma_crossover", "rsi", "macd", "stochastic", "bollinger", "atr", "volume_obv"))
 
 # --- sentiment
 _DCOLS = "sentiment_score sentiment_confidence bullish_ratio bearish_ratio sentiment_std"
@@ -263,7 +271,7 @@ _C = "sentiment_confidence"
 add("confidence_features", on_daily(sentiment.confidence), DAILY_ + f"\nFINAL SELECT *, {full(f'avg({_C})', _C, 5)} AS confidence_sma_5, {_S} * {_C} AS weighted_sentiment, CASE WHEN {_C} > quantile_cont({_C}, 0.5) OVER {RUN} THEN 1 ELSE 0 END AS high_confidence FROM daily", r9="sentiment_confidence confidence_sma_5 weighted_sentiment", ints="high_confidence")
 add("signal_features", on_daily(sentiment.signal_flags), DAILY_ + f"\nFINAL SELECT symbol, date, CAST(signal_valid AS INTEGER) AS signal_valid, CASE WHEN {_S} > 0.1 THEN 1 ELSE 0 END AS bullish_signal, CASE WHEN {_S} < -0.1 THEN 1 ELSE 0 END AS bearish_signal, CASE WHEN abs({_S}) <= 0.1 THEN 1 ELSE 0 END AS neutral_signal FROM daily", ints="signal_valid bullish_signal bearish_signal neutral_signal")
 add("interaction_features", on_daily(sentiment.interactions), DAILY_ + f"\nFINAL SELECT *, {_S} * {_C} AS sent_x_conf, {_S} * ({_A} / ({full(f'avg({_A})', 'article_count', 21)} + 1)) AS sent_x_attention, ({_S} - lag({_S}) OVER {W}) - (lag({_S}) OVER {W} - lag({_S}, 2) OVER {W}) AS sentiment_acceleration FROM daily", r6="sent_x_conf sent_x_attention sentiment_acceleration")
-add("sentiment_features_all", on_daily(sentiment.build_all))
+add("sentiment_features_all", on_daily(sentiment.build_all), **joined("sentiment_lags", "sentiment_changes", "sentiment_ma", "sentiment_disagreement", "sentiment_zscore", "article_counts", "confidence_features", "signal_features", "interaction_features"))
 
 # --- risk
 _H = {"95%": 0.05, "99%": 0.01}
@@ -286,8 +294,11 @@ add(
     "var_backtest", on_bars(risk.var_backtest),
     with_(BARS_SQL, RET_SQL, f"v AS (SELECT *, -({full('quantile_cont(ret, 0.05)', 'ret', 63)}) AS v FROM ret)", "c AS (SELECT symbol, count(*) AS n, count(*) FILTER (-ret > v) AS violations FROM v WHERE v IS NOT NULL GROUP BY symbol)")
     + """
-FINAL SELECT *, n * 0.05 AS expected, violations / (n * 0.05) AS ratio, CASE WHEN violations > 0 AND violations < n THEN greatest(0, -2 * (n * ln(0.95) + violations * ln(0.05 / 0.95) - (n - violations) * ln(1 - violations / n) - violations * ln(violations / n))) END AS lr_statistic FROM c""",
-    keys="symbol", r6="expected ratio lr_statistic", longs="n violations",
+FINAL SELECT *, p_value > 0.05 AS passed FROM (
+ SELECT *, CASE WHEN lr_statistic IS NULL THEN CASE WHEN violations / n > 0.05 THEN 0 ELSE 1 END WHEN lr_statistic = 0 THEN 1
+  ELSE 1 - list_sum(list_transform(range(0, 400), lambda k: exp((k + 0.5) * ln(lr_statistic / 2) - lr_statistic / 2 - lgamma(k + 1.5)))) END AS p_value
+ FROM (SELECT *, n * 0.05 AS expected, violations / (n * 0.05) AS ratio, CASE WHEN violations > 0 AND violations < n THEN greatest(0, -2 * (n * ln(0.95) + violations * ln(0.05 / 0.95) - (n - violations) * ln(1 - violations / n) - violations * ln(violations / n))) END AS lr_statistic FROM c) l) p""",
+    keys="symbol passed", r6="expected ratio lr_statistic p_value", longs="n violations",
 )
 add("realized_volatility", on_bars(risk.daily, risk.realized_volatility, risk.vol_ratios), RET_ + f",\nv AS (SELECT *, {', '.join(f'({full('stddev_samp(ret)', 'ret', n)}) * {YEAR} AS realized_vol_{n}' for n in _WIN)} FROM ret)\nFINAL SELECT *, {', '.join(f'realized_vol_{a} / (realized_vol_{b} + 1e-6) AS vol_ratio_{a}_{b}' for a, b in ((5, 10), (10, 21), (21, 63)))} FROM v", r6=" ".join(f"realized_vol_{n}" for n in _WIN) + " vol_ratio_5_10 vol_ratio_10_21 vol_ratio_21_63")
 _q21 = "(1 - 2.0 / 22)"
@@ -337,7 +348,6 @@ add(
 )
 add("garch_forecast", on_bars(risk.garch))
 add("garch_features", on_bars(risk.garch_features))
-add("risk_features_all", on_bars(ml.risk_features))
 
 # --- drawdowns
 add("drawdown_series", on_bars(drawdown.series), DD_ + "\nFINAL SELECT * FROM dd", r6="drawdown", r3="peak")
@@ -347,6 +357,7 @@ add(
     + f"\nFINAL SELECT *, drawdown AS current_drawdown, CASE WHEN drawdown > 0 THEN 1 ELSE 0 END AS underwater, rn - max(CASE WHEN close >= peak THEN rn END) OVER {RUN} AS days_since_peak, (drawdown - {full('avg(drawdown)', 'drawdown', 63)}) / ({full('stddev_samp(drawdown)', 'drawdown', 63)} + 1e-6) AS drawdown_zscore FROM n",
     r6="current_drawdown drawdown_zscore", longs="days_since_peak", ints="underwater",
 )
+add("risk_features_all", on_bars(ml.risk_features), **joined("drawdown_features", "rolling_var", "rolling_es", "realized_volatility", "ewma_volatility", "vol_regime", "tail_risk", "risk_adjusted", join="LEFT JOIN"))
 _EP = f"""u AS (SELECT *, lag(date) OVER {W} AS before, lead(date) OVER {W} AS after, max(date) OVER (PARTITION BY symbol) AS final, sum(CASE WHEN drawdown > 0 THEN 0 ELSE 1 END) OVER {RUN} AS island FROM dd),
 ep AS (SELECT symbol, arg_min(before, date) AS start_date, max(peak) AS peak_value, arg_min(date, (-drawdown, date)) AS trough_date, arg_min(close, (-drawdown, date)) AS trough_value, max(drawdown) AS drawdown,
  (list(after ORDER BY date DESC))[1] AS end_date, any_value(final) AS final FROM u WHERE drawdown > 0 GROUP BY symbol, island HAVING max(drawdown) >= 0.01),
@@ -391,7 +402,14 @@ def _all_targets(spark, sf_dir):
 
 _LEAD = f"lead(close) OVER {W}"
 add("targets", _all_targets, BARS_ + f"\nFINAL SELECT *, {_LEAD} / close - 1 AS t_return, ln({_LEAD} / close) AS t_log_return, coalesce(CAST({_LEAD} > close AS INTEGER), 0) AS t_direction, coalesce(CAST(sign({_LEAD} - close) AS INTEGER), 0) AS t_direction_signed FROM bars", r6="t_return t_log_return", ints="t_direction t_direction_signed")
-add("ml_dataset", on_bars(ml.ml_dataset))
+_ALL = [QUERIES[n] for n in ("price_features_all", "risk_features_all")]
+_COLS = {k: " ".join(getattr(q, k) for q in _ALL) for k in ("r6", "r3", "r4", "longs", "ints")}
+add(
+    "ml_dataset", on_bars(ml.ml_dataset),
+    with_(*[f"p{i} AS ({q.oracle()})" for i, q in enumerate([*_ALL, QUERIES["targets"]])])
+    + f"\nFINAL SELECT *, t_direction AS target FROM p0 JOIN p1 USING (symbol, date) JOIN p2 USING (symbol, date) WHERE {' AND '.join(f'{c} IS NOT NULL' for c in ' '.join(_COLS.values()).split())}",
+    **_COLS | {"ints": _COLS["ints"] + " target"},
+)
 add(
     "feature_summary", on_bars(lambda df: ml.feature_summary(price.returns(df).drop("open", "high", "low", "close", "volume"))),
     BARS_ + f",\nf AS (SELECT {', '.join(f'{change('close', p)} AS return_{p}d' for p in (1, 5, 21))} FROM bars)\nFINAL " + " UNION ALL ".join(f"SELECT 'return_{p}d' AS feature, count(return_{p}d) AS present, count(*) - count(return_{p}d) AS missing, round(100.0 * (count(*) - count(return_{p}d)) / count(*), 2) AS missing_pct, avg(return_{p}d) AS mean, stddev_samp(return_{p}d) AS std, min(return_{p}d) AS lowest, max(return_{p}d) AS highest FROM f" for p in (1, 5, 21)),
