@@ -118,3 +118,33 @@ class KneserNey:
         own = w[self.order - 1 :]
         base = sum(math.log10((self.uni[c] + 0.5) / (self.n + 0.5 * (self.v + 1))) for c in own)
         return len(own), sum(self.uni[c] > 0 for c in own), base, sum(math.log10(self.p(tuple(w[i : i + self.order]))) for i in range(len(own)))
+
+
+class Ftrl:
+    """FTRL-proximal logistic regression over named features, a coordinate at a time; None is the bias, without L1."""
+
+    def __init__(self, alpha, beta, l1, l2):
+        self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
+        self.z, self.n = defaultdict(float), defaultdict(float)
+
+    @staticmethod
+    def features(text):
+        w = re.findall("[0-9a-z]+", lower(text or ""))
+        out = {None, *((x,) for x in w), *(("head", x[:5]) for x in w if len(x) > 5)}
+        return out | {(gap, a, b) for gap in (1, 2) for a, b in zip(w, w[gap:], strict=False)}
+
+    def weight(self, f):
+        z, l1 = self.z[f], 0.0 if f is None else self.l1
+        if abs(z) <= l1:
+            return 0.0
+        return -(z - math.copysign(l1, z)) / ((self.beta + math.sqrt(self.n[f])) / self.alpha + self.l2)
+
+    def score(self, text):
+        return 1 / (1 + math.exp(-sum(self.weight(f) for f in self.features(text))))
+
+    def learn(self, text, label):
+        g = self.score(text) - label
+        for f in self.features(text):
+            rate = (math.sqrt(self.n[f] + g * g) - math.sqrt(self.n[f])) / self.alpha
+            self.z[f] += g - rate * self.weight(f)
+            self.n[f] += g * g

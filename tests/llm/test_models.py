@@ -221,6 +221,22 @@ def test_toxicity(spark):
     assert all(0 <= r.score <= 1 for r in toxicity.score(odd, weights).collect())
 
 
+def test_toxicity_equals_plain_ftrl(spark):
+    r = random.Random(3)
+    some = ["idiot", "stupidity", "garden", "morning", "wonderful", "hate", "bread", "window"]
+    texts = {i: " ".join(r.choice(some) for _ in range(r.randrange(1, 9))) for i in range(60)}
+    toxic = {i: int("idiot" in t or "hate" in t) for i, t in texts.items()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    how = {"alpha": 0.5, "beta": 1.0, "l1": 0.2, "l2": 0.1}
+    weights = toxicity.fit(docs, spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int"), epochs=3, **how)
+    brute = helpers.Ftrl(**how)
+    for k in [x.doc_id for x in docs.select("doc_id", F.xxhash64("doc_id").alias("at")).orderBy("at").collect()] * 3:
+        brute.learn(texts[k], toxic[k])
+    assert sorted(weights[weights != 0]) == pytest.approx(sorted(w for f in brute.z if (w := brute.weight(f))), rel=1e-9)
+    for x in toxicity.score(docs, weights).collect():
+        assert x.score == pytest.approx(brute.score(texts[x.doc_id]), abs=1e-5)
+
+
 def test_toxicity_of_nothing(spark):
     none = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
     weights = toxicity.fit(empty(spark), none)
