@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from urllib.parse import unquote, urlparse
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _ROOTS: dict[str, list[tuple[SparkSession, str]]] = {}
@@ -66,3 +66,19 @@ def row_key(*cols: str) -> Column:
 def fold(doc_id: str = "doc_id", of: int = 5) -> Column:
     """crc32(doc_id as text) mod ``of``; null ids are in fold 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % of, F.lit(0)).cast("int")
+
+
+def ranked(df: DataFrame, group: tuple[str, ...], *order: Column, scope: str = "query") -> DataFrame:
+    """Add ``idx``, each row's place from 0 in its group by ``order``, and ``size``, the group's rows.
+
+    Rows are range-partitioned by group and order, so that a group of any size is spread over tasks. A row's place is its
+    place in its partition and the sizes of the partitions before. ``group`` columns must not be null (there may be none).
+    """
+    rows = df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order).withColumn("_at", F.monotonically_increasing_id())
+    rows = staged(rows.withColumn("_part", F.shiftright("_at", 33)), "ordered", scope)
+    parts = rows.groupBy(*group, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    each = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))  # as many rows as partitions
+    before = F.sum("_n").over(each.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select(*group, "_part", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"), F.sum("_n").over(each).alias("size"))
+    rows = rows.join(staged(parts, "places", scope), [*group, "_part"])
+    return rows.withColumn("idx", F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import codes, decontam, hamming, minhash, ngram, packing, pii, repeats, tokens, toxicity
+from . import codes, contentsort, decontam, hamming, merkle, minhash, ngram, packing, pii, repeats, resample, tokens, toxicity
 from .common import fold, new_folder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -82,6 +82,23 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.read_tokens(spark, shards, digest=True)
 
 
+def op11_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contentsort.exact_groups(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forged = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    n_chars = F.when(forged, F.col("n_chars").cast("decimal(20,0)") + 1).otherwise(F.col("n_chars"))
+    out = merkle.manifest(table(spark, sf_dir, "documents"), tampered={"n_chars": n_chars})
+    proof = F.array_join(F.transform("proof", lambda x: F.lower(F.hex(x))), "")
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(proof, 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, least_words=20, seed=2024, longest=1, buckets=10_000)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP1_SQL = """
@@ -121,7 +138,79 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, d
 FROM d LEFT JOIN n USING (doc_id) JOIN m USING (doc_id)
 """
 
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER w = 1 AS kept, sha256(t) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY t ORDER BY n DESC, doc_id NULLS LAST)
+"""
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a string's UTF-8 bytes, bit by bit."""
+    code = f"hex(encode({text}))"
+    half = lambda at: f"(strpos('0123456789ABCDEF', substr({code}, CAST({at} AS BIGINT), 1)) - 1)"
+    octets = f"list_transform(range(0, strlen({text})), lambda i: 16 * {half('2 * i + 1')} + {half('2 * i + 2')})"
+    bit = "lambda a, i: xor(a >> 1, 3988292384 * (a & 1))"
+    return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda c, o: list_reduce(list_prepend(xor(c, o), range(8)), {bit})), 4294967295)"
+
+
+def _code(value: str) -> str:
+    return f"coalesce(CAST(strlen(CAST({value} AS VARCHAR)) AS VARCHAR) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    return f"sha256({' || '.join(map(_code, ('doc_id', 'source', 'lang', n_chars, 'text')))})"
+
+
+def _tree_sql(name: str, base: str) -> str:
+    return f"{name} AS (SELECT g, 0 AS level, idx, n, h FROM {base} UNION ALL SELECT g, level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM {name} WHERE n > 1 GROUP BY g, level, idx // 2, n)"
+
+
+def _fold_sql(name: str, base: str, tree: str) -> str:
+    return f"""{name} AS (SELECT doc_id, g, 0 AS level, idx, n, h FROM {base}
+      UNION ALL SELECT f.doc_id, f.g, f.level + 1, f.idx // 2, (f.n + 1) // 2, sha256(CASE WHEN f.idx % 2 = 0 THEN f.h || coalesce(t.h, '') ELSE t.h || f.h END)
+      FROM {name} f LEFT JOIN {tree} t ON t.g = f.g AND t.level = f.level AND t.idx = xor(f.idx, 1) WHERE f.n > 1)"""
+
+
+OP12_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(':' || lang, '') AS g, {_leaf_sql('n_chars')} AS h,
+      CASE WHEN {_crc32('CAST(doc_id AS VARCHAR)')} % 7 = 0 THEN {_leaf_sql('(n_chars + 1)')} ELSE {_leaf_sql('n_chars')} END AS start FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS idx, count(*) OVER (PARTITION BY g) AS n FROM d),
+{_tree_sql('t', 'leaves')},
+tops AS (SELECT g AS name, h FROM t WHERE n = 1),
+groups AS (SELECT name, '' AS g, h, row_number() OVER (ORDER BY name) - 1 AS idx, count(*) OVER () AS n FROM tops),
+{_tree_sql('u', 'groups')},
+{_fold_sql('f', '(SELECT doc_id, g, idx, n, start AS h FROM leaves)', 't')},
+{_fold_sql('r', "(SELECT f.doc_id, '' AS g, s.idx, s.n, f.h FROM f JOIN groups s ON s.name = f.g WHERE f.n = 1)", 'u')},
+side AS (SELECT l.doc_id, 0 AS tier, t.level, t.h FROM leaves l JOIN t ON t.g = l.g AND t.idx = xor(l.idx >> t.level, 1)
+      UNION ALL SELECT l.doc_id, 1, u.level, u.h FROM leaves l JOIN groups s ON s.name = l.g JOIN u ON u.idx = xor(s.idx >> u.level, 1)),
+p AS (SELECT doc_id, string_agg(h, '' ORDER BY tier, level) AS proof FROM side GROUP BY doc_id)
+SELECT l.doc_id, l.h AS leaf, s.h AS subroot, top.h AS root, sha256(coalesce(proof, '')) AS proof_sha256, r.h AS folded_root, r.h = top.h AS verified
+FROM leaves l JOIN groups s ON s.name = l.g JOIN u top ON top.n = 1 JOIN r ON r.doc_id = l.doc_id AND r.n = 1 LEFT JOIN p ON p.doc_id = l.doc_id
+"""
+
+
+def _features_sql(table: str) -> str:
+    return rf"SELECT {{}}, unnest(list_filter(regexp_split_to_array({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS w FROM {table}"
+
+
+OP13_SQL = f"""
+WITH a AS (SELECT doc_id, w, count(*) AS n FROM ({_features_sql('documents').format('doc_id')}) GROUP BY ALL),
+b AS (SELECT w, count(*) AS n FROM ({_features_sql('benchmark').format('item_id')}) GROUP BY w),
+words AS (SELECT w, {_crc32('w')} % 10000 AS k FROM (SELECT DISTINCT w FROM (SELECT w FROM a UNION ALL SELECT w FROM b))),
+s AS (SELECT k, sum(n) AS s FROM a JOIN words USING (w) GROUP BY k),
+t AS (SELECT k, sum(n) AS t FROM b JOIN words USING (w) GROUP BY k),
+total AS (SELECT (SELECT CAST(coalesce(sum(n), 0) AS DOUBLE) FROM a) AS s_all, (SELECT CAST(coalesce(sum(n), 0) AS DOUBLE) FROM b) AS t_all),
+gains AS (SELECT s.k, CAST(floor(1000 * ln((CAST(coalesce(t, 0) AS DOUBLE) + 1) * (s_all + 10000) / ((CAST(s AS DOUBLE) + 1) * (t_all + 10000)))) AS BIGINT) AS gain FROM s LEFT JOIN t ON s.k = t.k, total),
+w AS (SELECT doc_id, sum(n) AS n_features, sum(n * gain) AS weight FROM a JOIN words USING (w) JOIN gains USING (k) GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM documents LEFT JOIN w USING (doc_id)),
+x AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((CAST(h AS DOUBLE) + 0.5) / 4294967296))) AS BIGINT) AS score FROM d),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM x WHERE n_features >= 20)
+SELECT x.doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score, CASE WHEN rank <= n * 10 // 100 THEN rank END AS rank
+FROM x LEFT JOIN r ON r.doc_id = x.doc_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_hamming_top_k, op2_best_fit_packing, op3_lm_scores, op4_token_counts, op5_repeated_substrings, op6_decontamination, op7_personal_data, op8_minhash_near_duplicates, op9_toxicity, op10_token_files)
+    f.__name__: f for f in (op1_hamming_top_k, op2_best_fit_packing, op3_lm_scores, op4_token_counts, op5_repeated_substrings, op6_decontamination, op7_personal_data, op8_minhash_near_duplicates, op9_toxicity, op10_token_files, op11_exact_duplicates, op12_merkle_manifest, op13_importance_resampling)
 }
-ORACLE: dict[str, str] = {"op1_hamming_top_k": OP1_SQL, "op6_decontamination": OP6_SQL, "op8_minhash_near_duplicates": OP8_SQL}
+ORACLE: dict[str, str] = {"op1_hamming_top_k": OP1_SQL, "op6_decontamination": OP6_SQL, "op8_minhash_near_duplicates": OP8_SQL, "op11_exact_duplicates": OP11_SQL, "op12_merkle_manifest": OP12_SQL, "op13_importance_resampling": OP13_SQL}
