@@ -23,7 +23,7 @@ def components(links: DataFrame, scope: str = "query") -> DataFrame:
         if least.filter("m < u and n > 1").isEmpty():
             break
         large = both.join(least.select("u", "m"), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))  # after the step above nodes have few smaller neighbours
+        least = staged(large.groupBy("u").agg(F.min("v").alias("m")), "least", scope)  # a hub may be larger than its neighbours, too
         joined = large.join(least, "u")
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = staged(small.filter("u <> v").distinct(), "edges", scope)

@@ -6,8 +6,8 @@ Equal coordinates of two sketches estimate the Jaccard similarity with the conce
 
 Bands of equal coordinates give buckets of candidates. Each bucket is first a star: its members meet one pivot, chosen
 by hash, and the links that hold on full sets are joined to components. Buckets that still hold several components
-(documents that are alike but not alike enough) form families. A family is cut into blocks of bounded size; a task
-gets two blocks with their sets and checks all their pairs that share a band and are not yet connected, by counting
+(documents that are alike but not alike enough) form families. A family, or each bucket of it where that sends fewer sets, is
+cut into blocks of bounded size; a task gets two blocks with their sets and checks all their pairs that share a band and are not yet connected, by counting
 common shingles in bit rows. It returns links alone. So no candidate is given up, no pairs are written out, groups of
 copies cost a star, and no task holds more than two blocks.
 """
@@ -167,14 +167,21 @@ def near_duplicates(
     # Families: classes that share a bucket with another component.
     owned = members.select("band", "node", "n").join(comp, "node", "left").withColumn("own", F.coalesce("component", "node"))
     mixed = owned.groupBy("band").agg(F.min("own").alias("p"), F.max("own").alias("q"), F.min("node").alias("head")).filter("p <> q").select("band", "head")
-    kin = staged(owned.join(mixed, "band").select("node", "n", "own", "head").distinct(), "kin", scope)
-    family = components(kin.filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")), scope).select("node", F.col("component").alias("family"))
-    kin = kin.select("node", "n", "own").distinct().join(family, "node")
-    blocks = kin.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks"))
-    dealt = kin.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    kin = staged(owned.join(mixed, "band").select("band", "node", "n", "own", "head"), "kin", scope)
+    family = components(kin.filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), scope).select("node", F.col("component").alias("family"))
+    kin = staged(kin.drop("head").join(family, "node"), "kin", scope)
+    # A family is checked as one, or bucket by bucket, by which of the two sends fewer sets.
+    cut = F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks")
+    whole = kin.select("family", "node", "n").distinct().groupBy("family").agg(cut, F.count("*").alias("size"))
+    apart = kin.groupBy("family", "band").agg(cut, F.count("*").alias("size"))
+    cheaper = apart.groupBy("family").agg(F.sum(F.col("size") * F.col("blocks")).alias("apart")).join(whole, "family")
+    cheaper = staged(cheaper.select("family", "blocks", (F.col("apart") < F.col("size") * F.col("blocks")).alias("split")), "families", scope)
+    as_one = kin.select("family", "node", "own").distinct().join(cheaper.filter("not split"), "family").select(F.lit(None).cast("long").alias("band"), "family", "node", "own", "blocks")
+    by_bucket = kin.select("family", "band", "node", "own").join(staged(apart.join(cheaper.filter("split").select("family"), "family").select("family", "band", "blocks"), "buckets", scope), ["family", "band"]).select("band", "family", "node", "own", "blocks")
+    dealt = as_one.unionByName(by_bucket).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.join(full, "node").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = dealt.select("family", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "own", "set", "low")
-    more = staged(dealt.groupBy("family", "x", "y").applyInPandas(check_blocks, "a long, b long"), "links", scope)
+    dealt = dealt.select("band", "family", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "own", "set", "low")
+    more = staged(dealt.groupBy("band", "family", "x", "y").applyInPandas(check_blocks, "a long, b long"), "links", scope)
     comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), scope)
     whole = classes.select("print", "node").join(comp, "node", "left").select("print", F.coalesce("component", "node").alias("component"))
     out = signs.join(whole, "print", "left")

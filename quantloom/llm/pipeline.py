@@ -34,20 +34,23 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates, rows without id last; of rows that repeat both
-    id and text, one. A document is a row's id and text, so texts that share an id are compared as any others. Rows
+    id and text, one. Rows are told apart by numbers of their own, so texts that share an id are compared as any others. Rows
     without id and words are no copies of each other and stay."""
     _begin(spark)
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    blank = F.col("doc_id").isNull() & F.coalesce(F.col("text"), F.lit("")).rlike(r"^[\x20\x09-\x0D]*\z")
-    keyed = docs.filter(~blank).withColumns({"_key": row_key("doc_id", "text"), "_rest": F.xxhash64(F.to_json(F.struct(F.lit(0), *others)))})
-    found = minhash.near_duplicates(keyed, doc_id="_key", scope=SCOPE).filter("not kept").select(F.col("doc_id").alias("_key"), F.col("component_id").alias("group")).distinct()
+    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "rows", SCOPE)
+    blank = F.coalesce(F.col("text"), F.lit("")).rlike(r"^[\x20\x09-\x0D]*\z")
+    found = minhash.near_duplicates(rows.filter(~blank), doc_id="_row", scope=SCOPE).filter("not kept").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("group"))
     found = staged(found, "copies", SCOPE)
-    groups = found.unionByName(found.select(F.col("group").alias("_key"), "group").distinct())
-    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_key")
-    first = keyed.select("_key", "doc_id").join(groups, "_key").groupBy("group").agg(F.min(first)["_key"].alias("_key"))
-    left = keyed.join(groups.join(first, "_key", "left_anti").select("_key"), "_key", "left_anti")
-    one = left.groupBy("_key").agg(F.min_by(F.struct(*docs.columns), "_rest").alias("row")).select("row.*")
-    return one.unionByName(docs.filter(blank))
+    groups = found.unionByName(found.select(F.col("group").alias("_row"), "group").distinct())
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text", F.to_json(F.struct(F.lit(0), *others))).alias("tie"), "_row")
+    known = rows.select("_row", "doc_id", order.alias("order")).join(groups, "_row")
+    first = staged(known.groupBy("group").agg(F.min("order")["_row"].alias("_row")), "first", SCOPE)
+    dropped = groups.join(first, ["group", "_row"], "left_anti").select("_row")
+    repeated = rows.filter(blank & F.col("doc_id").isNotNull()).select("_row", "doc_id", "text", order.alias("order"))
+    one = repeated.groupBy("doc_id", "text").agg(F.min("order")["_row"].alias("_row"), F.count("*").alias("n")).filter("n > 1").select("doc_id", "text", F.col("_row").alias("stays"))
+    dropped = dropped.unionByName(repeated.join(one, (repeated["doc_id"] == one["doc_id"]) & repeated["text"].eqNullSafe(one["text"])).filter("_row <> stays").select("_row"))
+    return rows.join(staged(dropped, "dropped", SCOPE), "_row", "left_anti").select(*docs.columns)
 
 
 def keep_unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
