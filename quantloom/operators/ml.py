@@ -1,12 +1,14 @@
-"""Targets, data sets, time-ordered splits, tree models, metrics and model-driven signals."""
+"""Targets, data sets, time-ordered splits, walk-forward validation, metrics and model-driven signals."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.staging import settled
 from ..functions.windows import over_key
-from . import drawdown, price, risk, sentiment
+from . import boost, drawdown, price, risk, sentiment
+from .boost import Boost
 
 KEYS = ("symbol", "date")
 
@@ -75,10 +77,10 @@ def feature_summary(df: DataFrame) -> DataFrame:
     return out.select("feature", F.col("count").cast("long"), missing.cast("long").alias("missing"), F.round(F.try_divide(100 * missing, "_n"), 2).alias("missing_pct"), "mean", "std", "min", "max")
 
 
-def folds(df: DataFrame, n_splits: int = 5, min_train: int = 50, gap: int = 1, test_size: int | None = None, train_size: int | None = None, purge: int = 0) -> DataFrame:
-    """``symbol, fold, train_start, train_end, test_start, test_end`` (row numbers from 0, ends exclusive), the newest
+def folds(df: DataFrame, n_splits: int = 5, min_train: int = 50, gap: int = 1, test_size: int | None = None, train_size: int | None = None, purge: int = 0, each: tuple[str, ...] = ()) -> DataFrame:
+    """``symbol, each, fold, train_start, train_end, test_start, test_end`` (row numbers from 0, ends exclusive), the newest
     fold first; folds with too little to train on are left out."""
-    n = df.groupBy("symbol").agg(F.count("*").alias("n"))
+    n = df.groupBy("symbol", *each).agg(F.count("*").alias("n"))
     size = F.lit(test_size) if test_size else F.greatest(F.lit(1), F.floor((F.col("n") - min_train - gap) / n_splits))
     out = n.withColumn("size", size.cast("long")).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
     out = out.withColumn("test_end", F.col("n") - F.col("fold") * F.col("size")).withColumn("test_start", F.col("test_end") - F.col("size"))
@@ -88,25 +90,53 @@ def folds(df: DataFrame, n_splits: int = 5, min_train: int = 50, gap: int = 1, t
     if purge:
         length = F.col("train_end") - F.col("train_start")
         out = out.withColumn("train_end", F.when(length > purge, F.col("train_end") - purge).otherwise(F.col("train_end"))).filter(F.col("train_end") - F.col("train_start") >= min_train)
-    return out.select("symbol", "fold", "train_start", "train_end", "test_start", "test_end")
+    return out.select("symbol", *each, "fold", "train_start", "train_end", "test_start", "test_end")
 
 
-def in_folds(df: DataFrame, plan: DataFrame) -> DataFrame:
-    """Rows with their fold and ``part`` (train or test)."""
-    n = df.withColumn("_n", F.row_number().over(over_key()) - 1)
+def in_folds(df: DataFrame, plan: DataFrame, each: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with their fold and ``part`` (train or test), a symbol's rows numbered by date."""
+    n = df.withColumn("_n", F.row_number().over(Window.partitionBy("symbol", *each).orderBy("date")) - 1)
     train = (F.col("_n") >= F.col("train_start")) & (F.col("_n") < F.col("train_end"))
     test = (F.col("_n") >= F.col("test_start")) & (F.col("_n") < F.col("test_end"))
-    out = n.join(plan, "symbol").withColumn("part", F.when(train, "train").when(test, "test")).filter("part is not null")
+    out = n.join(plan, ["symbol", *each]).withColumn("part", F.when(train, "train").when(test, "test")).filter("part is not null")
     return out.drop("_n", "train_start", "train_end", "test_start", "test_end")
 
 
-def classification_metrics(df: DataFrame, by: str, label: str = "label", score: str = "score") -> DataFrame:
+def calendar(df: DataFrame, n_splits: int = 5, min_train: int = 50, gap: int = 1, test_size: int | None = None, train_size: int | None = None, purge: int = 0, embargo: int = 0) -> DataFrame:
+    """``date, fold, part``: folds cut at the same dates for all symbols, the newest fold first. Sizes count the distinct dates of
+    ``df``. Before a fold's first test date lie ``gap`` and ``purge`` dates that are in neither part, so nothing trains on the day
+    of a test or later; the ``embargo`` dates after an older fold's test dates aren't trained on either."""
+    one = Window.partitionBy(F.lit(0))  # a row for each date there is, whatever the number of symbols
+    days = df.select("date").distinct().withColumns({"_i": F.row_number().over(one.orderBy("date")) - 1, "_n": F.count("*").over(one)})
+    size = F.lit(test_size) if test_size else F.greatest(F.lit(1), F.floor((F.col("_n") - min_train - gap) / n_splits))
+    out = days.withColumn("_size", size.cast("long")).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
+    test = F.col("_n") - (F.col("fold") + 1) * F.col("_size")
+    end = test - gap - purge
+    start = F.greatest(F.lit(0).cast("long"), end - train_size) if train_size else F.lit(0).cast("long")
+    after = F.pmod(F.col("_i") - F.col("_n"), F.col("_size"))  # dates since the last end of a test
+    older = F.ceil((F.col("_n") - F.col("_i")) / F.col("_size"))
+    held_off = (after < embargo) & (older > F.col("fold")) & (older < n_splits)
+    part = F.when((F.col("_i") >= start) & (F.col("_i") < end) & ~held_off, "train").when((F.col("_i") >= test) & (F.col("_i") < test + F.col("_size")), "test")
+    return out.filter(end - start >= min_train).withColumn("part", part).filter("part is not null").select("date", "fold", "part")
+
+
+def in_calendar(df: DataFrame, days: DataFrame) -> DataFrame:
+    """Rows with their fold and ``part``: an equi-join on the date."""
+    return df.join(days, "date")
+
+
+def _keys(by: str | tuple[str, ...]) -> tuple[str, ...]:
+    return (by,) if isinstance(by, str) else tuple(by)
+
+
+def classification_metrics(df: DataFrame, by: str | tuple[str, ...], label: str = "label", score: str = "score") -> DataFrame:
     """``accuracy, precision, recall, f1`` (0 where undefined) and ``auc`` (ties averaged, 0.5 for one class). Rows are
     counted by score before they are ranked, so a window holds distinct scores alone."""
-    same = df.groupBy(by, score).agg(F.count("*").alias("_c"), F.sum(label).alias("_y"), F.sum((F.col(label) == (F.col(score) > 0.5).cast("int")).cast("int")).alias("_hits"))
-    before = F.sum("_c").over(Window.partitionBy(by).orderBy(score)) - F.col("_c")
+    by = _keys(by)
+    same = df.groupBy(*by, score).agg(F.count("*").alias("_c"), F.sum(label).alias("_y"), F.sum((F.col(label) == (F.col(score) > 0.5).cast("int")).cast("int")).alias("_hits"))
+    before = F.sum("_c").over(Window.partitionBy(*by).orderBy(score)) - F.col("_c")
     same = same.withColumns({"_p": (F.col(score) > 0.5).cast("int"), "_r": before + (F.col("_c") + 1) / 2})  # equal scores share their mean rank
-    out = same.groupBy(by).agg(
+    out = same.groupBy(*by).agg(
         (F.sum("_hits") / F.sum("_c")).alias("accuracy"), F.sum(F.col("_y") * F.col("_p")).alias("_tp"), F.sum(F.col("_c") * F.col("_p")).alias("_pp"),
         F.sum("_y").alias("_pos"), F.sum("_c").alias("_n"), F.sum(F.col("_y") * F.col("_r")).alias("_ranks"),
     )
@@ -115,106 +145,82 @@ def classification_metrics(df: DataFrame, by: str, label: str = "label", score:
     auc = F.try_divide(F.col("_ranks") - F.col("_pos") * (F.col("_pos") + 1) / 2, F.col("_pos") * neg)
     out = out.withColumns({"precision": safe(F.col("_tp"), F.col("_pp")), "recall": safe(F.col("_tp"), F.col("_pos")), "auc": F.coalesce(auc, F.lit(0.5))})
     p, r = F.col("precision"), F.col("recall")
-    return out.withColumn("f1", safe(2 * p * r, p + r)).select(by, "accuracy", "precision", "recall", "f1", "auc")
+    return out.withColumn("f1", safe(2 * p * r, p + r)).select(*by, "accuracy", "precision", "recall", "f1", "auc")
 
 
-def regression_metrics(df: DataFrame, by: str, label: str = "label", score: str = "score") -> DataFrame:
+def regression_metrics(df: DataFrame, by: str | tuple[str, ...], label: str = "label", score: str = "score") -> DataFrame:
     """``mse, rmse, mae, r2, direction_accuracy``."""
     e = F.col(label) - F.col(score)
-    out = df.groupBy(by).agg(
+    out = df.groupBy(*_keys(by)).agg(
         F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.avg((F.signum(label) == F.signum(score)).cast("double")).alias("direction_accuracy"), F.var_pop(label).alias("_v"),
     )
     return out.withColumns({"rmse": F.sqrt("mse"), "r2": 1 - F.try_divide(F.col("mse"), F.col("_v"))}).drop("_v")
 
 
-def fold_summary(df: DataFrame, metrics: list[str]) -> DataFrame:
+def fold_summary(df: DataFrame, metrics: list[str], by: str | tuple[str, ...] = ()) -> DataFrame:
     """Mean and population deviation of each metric over folds."""
     rows = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics]))
-    return df.select(rows.alias("r")).select("r.*").groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
-
-
-def _trees(kind: str, trees: int, depth: int, early_stopping: bool):
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.regression import GBTRegressor
+    return df.select(*_keys(by), rows.alias("r")).select(*_keys(by), "r.*").groupBy(*_keys(by), "metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
 
-    same = {"maxIter": trees, "maxDepth": depth, "stepSize": 0.1, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": 42, "featuresCol": "features", "labelCol": "label"}
-    if early_stopping:
-        same["validationIndicatorCol"] = "held_back"
-    return GBTClassifier(weightCol="weight", **same) if kind == "classifier" else GBTRegressor(**same)
 
+def fit_model(df: DataFrame, names: list[str], kind: str = "classifier", settings: Boost = Boost(), early_stopping: bool = False, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """A model of ``target`` for each symbol (or other ``by``), all grown together. With ``early_stopping`` the last fifth of a
+    model's rows is held back, and its trees end where they gain no more on it."""
+    if not early_stopping:
+        return boost.fit(df, names, by, kind, settings)
+    rows = settled(df.withColumn("_place", F.percent_rank().over(Window.partitionBy(*by).orderBy("date"))), "model-rows")
+    return boost.stopped_early(boost.fit(rows.filter("_place <= 0.8"), names, by, kind, settings), rows.filter("_place > 0.8"), names, by, kind)
 
-def fit_model(df: DataFrame, names: list[str], kind: str = "classifier", trees: int = 100, depth: int = 5, early_stopping: bool = False):
-    """A pipeline of assembled features and boosted trees over ``target``; rows of class 1 weigh negatives / positives.
-    With ``early_stopping`` the last fifth of each symbol's rows is held back, and trees end where it gains no more."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
 
-    rows = df.withColumn("label", F.col("target").cast("double"))
-    if early_stopping:
-        rows = rows.withColumn("held_back", F.percent_rank().over(Window.partitionBy("symbol").orderBy("date")) > 0.8)
-    if kind == "classifier":
-        pos, n = rows.agg(F.sum("label"), F.count("*")).first()
-        rows = rows.withColumn("weight", F.when(F.col("label") == 1, F.lit((n - pos) / pos if pos else 1.0)).otherwise(F.lit(1.0)))
-    return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), _trees(kind, trees, depth, early_stopping)]).fit(rows)
+def out_of_fold(df: DataFrame, kind: str = "classifier", n_splits: int = 5, gap: int = 1, min_train: int = 50, settings: Boost = Boost(), pooled: bool = False, each: tuple[str, ...] = ()) -> DataFrame:
+    """``symbol, date, fold, label, score`` of all test rows, each scored by the model of its symbol and fold, which is trained on
+    this symbol's rows before; all models grow together. ``pooled``: a model a fold for all symbols, folds cut by date.
+    ``each``: further columns that a model has its own rows of, such as a horizon. ``df`` has ``target``; symbols with too few
+    rows for a fold have no test rows."""
+    names = feature_names(df, ("target", *each))
+    df = settled(df, "walk-rows")
+    rows = in_calendar(df, calendar(df, n_splits, min_train, gap)) if pooled else in_folds(df, settled(folds(df, n_splits, min_train, gap, each=each), "folds"), each)
+    rows = settled(rows, "fold-rows")
+    by = (*each, "fold") if pooled else ("symbol", *each, "fold")
+    models = boost.fit(rows.filter("part = 'train'"), names, by, kind, settings)
+    return boost.predict(rows.filter("part = 'test'").withColumn("label", F.col("target").cast("double")), models, names, by, kind, (*KEYS, *each, "fold", "label"))
 
 
-def scored(model, df: DataFrame, kind: str = "classifier") -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
-
-    out = model.transform(df)
-    return out.withColumn("score", vector_to_array("probability")[1] if kind == "classifier" else F.col("prediction"))
-
-
-def out_of_fold(df: DataFrame, kind: str = "classifier", n_splits: int = 5, gap: int = 1, min_train: int = 50, trees: int = 100, depth: int = 5) -> DataFrame | None:
-    """``symbol, date, fold, label, score`` of all test rows, each scored by the model of its fold, which is trained on all
-    symbols' rows before; None without any fold. ``df`` has ``target``."""
-    names, plan = feature_names(df), folds(df, n_splits, min_train, gap)
-    rows, out = in_folds(df, plan).persist(), None
-    for fold in range(n_splits):
-        own = rows.filter(F.col("fold") == fold)
-        train = own.filter("part = 'train'")
-        if train.isEmpty():
-            continue
-        tested = scored(fit_model(train, names, kind, trees, depth), own.filter("part = 'test'"), kind)
-        part = tested.select(*KEYS, "fold", F.col("target").cast("double").alias("label"), "score")
-        out = part if out is None else out.unionByName(part)
-    rows.unpersist()
-    return out
-
-
-def walk_forward(df: DataFrame, kind: str = "classifier", n_splits: int = 5, gap: int = 1, min_train: int = 50, trees: int = 100, depth: int = 5) -> DataFrame | None:
-    """Each fold's figures on its out-of-fold rows."""
-    found = out_of_fold(df, kind, n_splits, gap, min_train, trees, depth)
-    return None if found is None else (classification_metrics if kind == "classifier" else regression_metrics)(found, "fold")
+def walk_forward(df: DataFrame, kind: str = "classifier", n_splits: int = 5, gap: int = 1, min_train: int = 50, settings: Boost = Boost(), pooled: bool = False, each: tuple[str, ...] = ()) -> DataFrame:
+    """Figures of each symbol and fold (``pooled``: of each fold) on its out-of-fold rows."""
+    found = out_of_fold(df, kind, n_splits, gap, min_train, settings, pooled, each)
+    return (classification_metrics if kind == "classifier" else regression_metrics)(found, (*each, "fold") if pooled else ("symbol", *each, "fold"))
 
 
 def walk_forward_horizons(bars: DataFrame, features: DataFrame, horizons: tuple[int, ...] = (1, 5, 21), **options) -> DataFrame:
-    """``walk_forward`` for the direction over several horizons, with a ``horizon`` column."""
-    out = None
+    """``walk_forward`` for the direction over several horizons, with a ``horizon`` column; models of all horizons grow together."""
+    features, out = settled(features, "features"), None
     for h in horizons:
         goal = targets(bars, h, "direction", strict=True).select(*KEYS, "target").na.drop()
-        part = walk_forward(features.join(goal, [*KEYS]).na.drop("any"), **options).withColumn("horizon", F.lit(h))
+        part = features.join(goal, [*KEYS]).withColumn("horizon", F.lit(h))
         out = part if out is None else out.unionByName(part)
-    return out
+    return walk_forward(out, each=("horizon",), **options)
 
 
 def compare_models(df: DataFrame, settings: dict[str, dict]) -> DataFrame:
-    """Fold means and deviations of several walk-forward settings (``model, metric, mean, std``)."""
-    out = None
+    """Each symbol's fold means and deviations of several walk-forward settings (``model, symbol, metric, mean, std``)."""
+    df, out = settled(df, "compared"), None
     for name, options in settings.items():
         found = walk_forward(df, **options)
-        part = fold_summary(found, [c for c in found.columns if c != "fold"]).withColumn("model", F.lit(name))
+        part = fold_summary(found, [c for c in found.columns if c not in ("symbol", "fold")], "symbol").withColumn("model", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def feature_importance(df: DataFrame, kind: str = "classifier", trees: int = 20, depth: int = 5, top: int | None = None) -> DataFrame:
-    """``feature, importance, importance_pct`` of a model over all rows (impurity decrease), largest first."""
+def feature_importance(df: DataFrame, kind: str = "classifier", settings: Boost = Boost(), top: int | None = None) -> DataFrame:
+    """``symbol, feature, importance, importance_pct`` (gain of the splits) of each symbol's model over all its rows; ``top``: the
+    symbol's largest alone."""
     names = feature_names(df)
-    found = fit_model(df, names, kind, trees, depth).stages[-1].featureImportances.toArray().tolist()
-    rows = sorted(zip(names, found, strict=True), key=lambda r: -r[1])[:top]
-    total = sum(found) or 1.0
-    return df.sparkSession.createDataFrame([(n, float(v), 100 * v / total) for n, v in rows], "feature string, importance double, importance_pct double")
+    out = boost.importance(boost.fit(df, names, ("symbol",), kind, settings), names)
+    if top is None:
+        return out
+    place = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("importance"), "feature"))
+    return out.withColumn("_place", place).filter(F.col("_place") <= top).drop("_place")
 
 
 def trading_signals(df: DataFrame, confidence_threshold: float = 0.5, strength_threshold: float = 0.0, neutral: float = 0.05) -> DataFrame:

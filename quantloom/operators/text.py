@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Domain terms and weights of the reference, complete; other terms can take their place.
+#: The finance terms and weights that a scorer with equal results needs, complete; a caller's own can take their place.
 TERMS = {
     "bullish": 3.0, "surge": 2.5, "soar": 2.5, "skyrocket": 3.0, "outperform": 2.0, "upgrade": 2.5, "beat": 2.0, "exceeds": 2.0, "exceeded": 2.0,
     "record": 1.5, "breakthrough": 2.5, "rally": 2.0, "boom": 2.0, "gain": 1.5, "gains": 1.5, "profit": 1.5, "profitable": 1.5, "growth": 1.5,

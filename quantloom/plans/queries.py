@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.windows import lag
-from ..operators import drawdown, ml, predict, price, report, risk, sentiment, serve, text
+from ..operators import drawdown, lexicon, ml, predict, price, report, risk, sentiment, serve, text
+from ..operators.boost import Boost
 from ..sources.adapters import ARTICLES_SQL, BARS_SQL, articles, bars, headlines
 
 YEAR = "sqrt(252.0)"
@@ -435,14 +436,65 @@ add("purged_splits", on_bars(lambda df: ml.folds(df, purge=5)), _folds_sql(5), *
 
 
 def _small(spark, sf_dir):
-    """Daily returns and their lags with the next direction: a small feature set for the model queries."""
+    """Daily returns and their lags with the next direction: a small feature set."""
     df = ml.targets(price.volatility(price.momentum(price.returns(bars(spark, sf_dir)), (5, 21)), (21,)), 1, "direction", strict=True)
     return df.select("symbol", "date", "return_1d", "return_5d", "momentum_21", "volatility_21", "target").na.drop("any")
 
 
-add("walk_forward_classifier", lambda s, d: ml.walk_forward(_small(s, d), trees=10, depth=3, n_splits=3))
-add("walk_forward_regressor", lambda s, d: ml.walk_forward(ml.targets(bars(s, d), 1, "return").select("symbol", "date", "open", "high", "low", "target").na.drop("any"), "regressor", trees=10, depth=3, n_splits=3))
-add("feature_importance", lambda s, d: ml.feature_importance(_small(s, d), trees=10, depth=3))
+def _training(spark, sf_dir, kind: str = "direction") -> DataFrame:
+    """All price and risk features, complete rows, with what happens next; rows whose future isn't known are left out."""
+    b = bars(spark, sf_dir)
+    goal = ml.targets(b, 1, kind, strict=True).select("symbol", "date", "target").na.drop()
+    return ml.build_features(b).drop(*predict.PRICES).na.drop("any").join(goal, ["symbol", "date"])
+
+
+add("walk_forward_classifier", lambda s, d: ml.walk_forward(_training(s, d)))
+add("walk_forward_regressor", lambda s, d: ml.walk_forward(_training(s, d, "return"), "regressor"))
+add("walk_forward_pooled", lambda s, d: ml.walk_forward(_training(s, d), pooled=True))
+add("walk_forward_horizons", lambda s, d: ml.walk_forward_horizons(bars(s, d), ml.build_features(bars(s, d)).drop(*predict.PRICES).na.drop("any")))
+add("feature_importance", lambda s, d: ml.feature_importance(_training(s, d)))
+
+_SETUP = {"n_splits": 4, "min_train": 100, "gap": 2, "purge": 5, "embargo": 3}
+_DAYS = """days AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM bars)),
+cut AS (SELECT DISTINCT fold, n - (fold + 1) * ((n - 102) // 4) AS t, (n - 102) // 4 AS size FROM days, range(4) r(fold)),
+c AS (SELECT date, fold, CASE WHEN i >= t AND i < t + size THEN 'test' WHEN i < t - 7 AND NOT EXISTS (SELECT 1 FROM cut o WHERE o.fold > cut.fold AND i >= o.t + o.size AND i < o.t + o.size + 3) THEN 'train' END AS part FROM days, cut WHERE t - 7 >= 100)"""
+add("calendar_folds", on_bars(lambda df: ml.calendar(df, **_SETUP)), BARS_ + f",\n{_DAYS}\nFINAL SELECT date, fold, part FROM c WHERE part IS NOT NULL", keys="date part", ints="fold")
+add(
+    "calendar_rows",
+    on_bars(lambda df: ml.in_calendar(df, ml.calendar(df, **_SETUP)).groupBy("symbol", "fold").agg(*[f(F.when(F.col("part") == p, F.col("date"))).alias(n) for n, f, p in (("trained", F.count, "train"), ("tested", F.count, "test"), ("last_train", F.max, "train"), ("first_test", F.min, "test"))]).withColumn("days_between", F.datediff("first_test", "last_train"))),
+    BARS_ + f",\n{_DAYS}\nFINAL SELECT symbol, fold, count(*) FILTER (part = 'train') AS trained, count(*) FILTER (part = 'test') AS tested, min(date) FILTER (part = 'test') - max(date) FILTER (part = 'train') AS days_between FROM bars JOIN c USING (date) WHERE part IS NOT NULL GROUP BY symbol, fold",
+    keys="symbol", ints="fold", longs="trained tested days_between",
+)
+
+
+def _some_sentiment(spark, sf_dir):
+    """Daily sentiment of one symbol on all days and of another on a few: the rest has none."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderpriority = '1-URGENT' or (o_orderpriority = '2-HIGH' and o_orderdate < '1995-04-01')")
+    score = ((F.col("o_orderkey") * 7 + F.col("o_custkey")) % 201 - 100) / 100.0
+    label = F.when(score > 0.1, "bullish").when(score < -0.1, "bearish").otherwise("neutral")
+    return sentiment.aggregate_daily(o.select(F.col("o_orderpriority").alias("symbol"), F.col("o_orderkey").alias("article_id"), F.col("o_orderdate").cast("timestamp").alias("article_ts"), score.alias("sentiment_score"), (F.col("o_custkey") % 100 / 100.0).alias("sentiment_confidence"), label.alias("sentiment_signal")))
+
+
+_SOME_ARTICLES = """articles AS (SELECT *, CASE WHEN sentiment_score > 0.1 THEN 'bullish' WHEN sentiment_score < -0.1 THEN 'bearish' ELSE 'neutral' END AS sentiment_signal
+ FROM (SELECT o_orderpriority AS symbol, o_orderkey AS article_id, o_orderdate AS article_ts, ((o_orderkey * 7 + o_custkey) % 201 - 100) / 100.0 AS sentiment_score,
+ (o_custkey % 100) / 100.0 AS sentiment_confidence FROM orders WHERE o_orderpriority = '1-URGENT' OR (o_orderpriority = '2-HIGH' AND o_orderdate < '1995-04-01')))"""
+_MOODS = QUERIES["sentiment_features_all"]
+_MOOD_COLS = [c for k in ("r6", "r3", "r4", "r9", "longs", "ints") for c in getattr(_MOODS, k).split()]
+_BASE_COLS = [c for c in " ".join(_COLS.values()).split() if not c.startswith("t_")]
+_KEPT = with_(f"p0 AS ({_ALL[0].oracle()})", f"p1 AS ({_ALL[1].oracle()})", f"m AS ({_MOODS.oracle().replace(ARTICLES_SQL, _SOME_ARTICLES)})") + f""",
+f AS (SELECT * EXCLUDE (ok), {' AND '.join(f'm.{c} IS NOT NULL' for c in _MOOD_COLS)} AS whole FROM (SELECT *, true AS ok FROM p0 JOIN p1 USING (symbol, date) WHERE {' AND '.join(f'{c} IS NOT NULL' for c in _BASE_COLS)}) b LEFT JOIN m USING (symbol, date)),
+k AS (SELECT *, sum(CAST(whole AS INTEGER)) OVER (PARTITION BY symbol) >= 100 AS with_sentiment FROM f)"""
+add(
+    "features_with_fallback", lambda s, d: predict.features_or_fewer(bars(s, d), _some_sentiment(s, d)),
+    _KEPT + "\nFINAL SELECT symbol, date, with_sentiment, return_1d, CASE WHEN with_sentiment THEN sentiment_change_3 END AS sentiment_change_3 FROM k WHERE whole OR NOT with_sentiment",
+    keys="symbol date with_sentiment", r6="return_1d sentiment_change_3",
+)
+add(
+    "training_samples", lambda s, d: predict.features_or_fewer(bars(s, d), _some_sentiment(s, d)).groupBy("symbol", "with_sentiment").agg(F.count("*").alias("samples"), F.count("sentiment_score").alias("with_score")),
+    _KEPT + "\nFINAL SELECT symbol, with_sentiment, count(*) AS samples, count(CASE WHEN with_sentiment THEN 1 END) AS with_score FROM k WHERE whole OR NOT with_sentiment GROUP BY symbol, with_sentiment",
+    keys="symbol with_sentiment", longs="samples with_score",
+)
+add("train_figures", lambda s, d: predict.train(bars(s, d), _some_sentiment(s, d))[1])
 
 _P = "0.5 + (CAST(l_orderkey * 7 + l_linenumber * 13 AS BIGINT) % 101 - 50) / 110.0"
 
@@ -473,7 +525,7 @@ m AS (SELECT 'accuracy' AS metric, accuracy AS value FROM a UNION ALL SELECT 'pr
 FINAL SELECT metric, avg(value) AS mean, stddev_pop(value) AS std FROM m GROUP BY metric""",
     keys="metric", r6="mean std",
 )
-add("compare_models", lambda s, d: ml.compare_models(_small(s, d), {"shallow": {"trees": 5, "depth": 2, "n_splits": 2}, "deep": {"trees": 5, "depth": 4, "n_splits": 2}}))
+add("compare_models", lambda s, d: ml.compare_models(_training(s, d), {"shallow": {"settings": Boost(trees=50, depth=2)}, "deep": {}}))
 add(
     "reg_metrics", lambda s, d: ml.regression_metrics(_scores(s, d).filter("expected_return is not null").select("symbol", F.col("expected_return").alias("label"), (F.col("probability") - 0.5).alias("score")), "symbol"),
     _SC_ + """
@@ -601,14 +653,13 @@ add("ensemble_signal", lambda s, d: ml.ensemble(_scores(s, d).withColumn("direct
 
 
 def _models(spark, sf_dir):
-    """Both models over the small feature set; production settings are ``predict.train``'s defaults."""
-    rows, b = _small(spark, sf_dir), bars(spark, sf_dir)
+    """Both models of each symbol over all features."""
+    rows, returns = _training(spark, sf_dir), _training(spark, sf_dir, "return")
     names = ml.feature_names(rows)
-    returns = rows.drop("target").join(ml.targets(b, 1, "return").select("symbol", "date", "target").na.drop(), ["symbol", "date"])
-    return predict.Models(names, ml.fit_model(rows, names, trees=10, depth=3, early_stopping=True), ml.fit_model(returns, names, "regressor", 10, 3)), rows
+    return predict.Models(names, ml.fit_model(rows, names, early_stopping=True), ml.fit_model(returns, names, "regressor")), rows
 
 
-add("out_of_fold", lambda s, d: ml.out_of_fold(_small(s, d), trees=10, depth=3, n_splits=3))
+add("out_of_fold", lambda s, d: ml.out_of_fold(_training(s, d)))
 add("predictions", lambda s, d: (lambda m, rows: m.predict(rows))(*_models(s, d)))
 add("predictions_latest", lambda s, d: (lambda m, rows: m.predict_latest(rows))(*_models(s, d)))
 
@@ -622,6 +673,53 @@ add(
     keys="article_id sentiment_signal", r6="sentiment_score sentiment_confidence",
 )
 
+_LINES = (
+    "Company beats estimates, stock gains after upgrade", "VERY strong growth and record profit for the quarter!!", "Shares not strong, hold steady before results",
+    "Weak guidance and LAYOFFS hurt shares", "Strong sales but slightly weak outlook??", "Surely isn't a really big loss, more concerns remain", "At least stable; the least risky name", "ok",
+)
+_WORDS = (
+    "('gains', 1.5, NULL, false), ('upgrade', 2.5, NULL, false), ('strong', 1.0, NULL, false), ('growth', 1.5, NULL, false), ('record', 1.5, NULL, false), ('profit', 1.5, NULL, false), ('hold', 0.0, NULL, false), ('steady', 0.5, NULL, false), "
+    "('weak', -1.5, NULL, false), ('layoffs', -2.0, NULL, false), ('loss', -2.0, NULL, false), ('concerns', -1.5, NULL, false), ('stable', 0.5, NULL, false), ('risky', -1.5, NULL, false), "
+    "('very', NULL, 0.293, false), ('really', NULL, 0.293, false), ('more', NULL, 0.293, false), ('slightly', NULL, -0.293, false), ('not', NULL, NULL, true)"
+)
+
+
+def _lines(spark, sf_dir):
+    line = F.get(F.array(*[F.lit(x) for x in _LINES]), (F.col("event_id") % len(_LINES)).cast("int"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("article_id"), line.alias("headline"))
+
+
+def _before(k: int) -> str:
+    fade = (1.0, 0.95, 0.9)[k - 1]
+    v = f"v{k - 1}"
+    more = f"coalesce((b{k} + CASE WHEN mixed AND c{k} THEN 0.733 ELSE 0 END) * CASE WHEN {v} < 0 THEN -1 ELSE 1 END * {fade}, 0)"
+    return f"s{k} AS (SELECT *, CASE WHEN w{k} IS NOT NULL AND a{k} IS NULL THEN ({v} + {more}) * CASE WHEN n{k} THEN -0.74 ELSE 1 END ELSE {v} END AS v{k} FROM s{k - 1})"
+
+
+_LAGS = ", ".join(f"lag({c}, {k}) OVER o AS {a}{k}" for k in (1, 2, 3) for c, a in (("word", "w"), ("valence", "a"), ("boost", "b"), ("negates", "n"), ("cap", "c")))
+_CASE = " ".join(f"WHEN {i} THEN '{x.replace(chr(39), chr(39) * 2)}'" for i, x in enumerate(_LINES))
+add(
+    "rule_sentiment", lambda s, d: lexicon.rule_sentiment(_lines(s, d)),
+    rf"""WITH h AS (SELECT event_id AS article_id, CASE event_id % {len(_LINES)} {_CASE} END AS headline FROM events),
+lex(term, valence, boost, negates) AS (VALUES {_WORDS}),
+k AS (SELECT article_id, unnest(string_split_regex(trim(headline), '\s+')) AS raw, generate_subscripts(string_split_regex(trim(headline), '\s+'), 1) AS pos FROM h WHERE length(trim(headline)) >= 5),
+w AS (SELECT article_id, pos, CASE WHEN length(bare) > 2 THEN bare ELSE raw END AS word FROM (SELECT *, regexp_replace(regexp_replace(raw, '^[[:punct:]]+', ''), '[[:punct:]]+$', '') AS bare FROM k) t),
+j AS (SELECT article_id, pos, word, valence, boost, coalesce(negates, false) OR contains(word, 'n''t') AS negates, word = upper(word) AND word <> lower(word) AS cap FROM w LEFT JOIN lex ON lower(word) = term),
+s0 AS (SELECT *, valence + CASE WHEN mixed AND cap THEN sign(valence) * 0.733 ELSE 0 END AS v0 FROM (SELECT *, {_LAGS}, sum(CAST(cap AS INTEGER)) OVER e BETWEEN 1 AND count(*) OVER e - 1 AS mixed, min(CASE WHEN lower(word) = 'but' THEN pos END) OVER e AS but
+ FROM j WINDOW o AS (PARTITION BY article_id ORDER BY pos), e AS (PARTITION BY article_id)) t),
+{_before(1)},
+{_before(2)},
+{_before(3)},
+f AS (SELECT article_id, CASE WHEN valence IS NULL OR boost IS NOT NULL THEN 0 ELSE v3 * CASE WHEN lower(w1) = 'least' AND coalesce(lower(w2), '') NOT IN ('at', 'very') THEN -0.74 ELSE 1 END END * CASE WHEN but IS NULL OR pos = but THEN 1 WHEN pos < but THEN 0.5 ELSE 1.5 END AS s FROM s3),
+t AS (SELECT article_id, sum(s) AS s, coalesce(sum(s + 1) FILTER (s > 0), 0) AS up, coalesce(sum(1 - s) FILTER (s < 0), 0) AS down, count(*) FILTER (s = 0) AS no FROM f GROUP BY article_id),
+m AS (SELECT article_id, coalesce(s, 0) + sign(coalesce(s, 0)) * m AS s, up + CASE WHEN up > down THEN m ELSE 0 END AS up, down + CASE WHEN up < down THEN m ELSE 0 END AS down, no
+ FROM (SELECT h.article_id, s, up, down, no, least(length(headline) - length(replace(headline, '!', '')), 4) * 0.292 + CASE length(headline) - length(replace(headline, '?', '')) WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN 0.36 WHEN 3 THEN 0.54 ELSE 0.96 END AS m FROM h LEFT JOIN t USING (article_id)) t),
+x AS (SELECT *, s / sqrt(s * s + 15) AS sentiment_score FROM m)
+FINAL SELECT article_id, sentiment_score, abs(sentiment_score) AS sentiment_confidence, coalesce(up / (up + down + no), 0) AS prob_positive, coalesce(down / (up + down + no), 0) AS prob_negative, coalesce(no / (up + down + no), 0) AS prob_neutral,
+ CASE WHEN sentiment_score > 0.1 THEN 'bullish' WHEN sentiment_score < -0.1 THEN 'bearish' ELSE 'neutral' END AS sentiment_signal FROM x""",
+    keys="article_id sentiment_signal", r6="sentiment_score sentiment_confidence prob_positive prob_negative prob_neutral",
+)
+
 
 def _classified(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
