@@ -97,7 +97,8 @@ def test_repeats(rows, spark, crowd):
 
 def test_repeats_of_nulls_and_nothing(spark):
     assert repeats.remove_repeats(empty(spark)).count() == 0
-    t = "".join(chr(97 + i * i % 26) for i in range(130)) + "tail"
+    r = random.Random(6)
+    t = "".join(r.choice("abcdefgh ") for _ in range(134))
     got = {r.doc_id: len(r.kept) for r in repeats.remove_repeats(spark.createDataFrame([(None, t), (3, t), (4, None)], "doc_id long, text string")).collect()}
     assert got == {None: len(t), 3: 0, 4: 0}
 
