@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import running_share
 from ..functions.windows import ewm_variance, flag, frame, full, lag, over_key, rolling, run_id
 
 YEAR = 252.0
@@ -121,25 +122,11 @@ def parkinson(df: DataFrame, window: int = 21) -> DataFrame:
 def vol_regime(df: DataFrame, window: int = 63, low: float = 0.33, high: float = 0.67) -> DataFrame:
     """``vol_regime``, its flags and ``vol_regime_duration``: rolling volatility ranked among all so far.
 
-    The rank is the share of earlier rows (warm-up rows count) with a smaller volatility. It is found by a merge over
-    the sorted history of a symbol in a grouped task, so long histories don't cost their square.
+    The rank is the share of the rows so far (warm-up rows count) with a smaller volatility, counted by blocks.
     """
     df = df.withColumn("_vol", rolling(F.stddev_samp, F.col("ret"), window) * YEAR**0.5)
-    schema = "symbol string, date date, vol_percentile double"
-
-    def rank(rows: pd.DataFrame) -> pd.DataFrame:
-        from bisect import bisect_left, insort
-
-        rows, seen, out = rows.sort_values("date"), [], []
-        for i, v in enumerate(rows["_vol"]):
-            if v == v:
-                insort(seen, v)
-            out.append(bisect_left(seen, v) / (i + 1) if v == v and len(seen) >= window else None)
-        return pd.DataFrame({"symbol": rows["symbol"], "date": rows["date"], "vol_percentile": out})
-
-    ranked = df.select("symbol", "date", "_vol").groupBy("symbol").applyInPandas(rank, schema)
-    df = df.drop("_vol").join(ranked, ["symbol", "date"])
-    p = F.nanvl("vol_percentile", F.lit(None).cast("double"))
+    df = running_share(df, "_vol", "vol_percentile", window).drop("_vol")
+    p = F.col("vol_percentile")
     label = F.when(p < low, "low").when(p > high, "high").when(p.isNotNull(), "medium")
     df = df.withColumn("vol_regime", label).drop("vol_percentile")
     df = df.withColumns({f"vol_regime_{k}": flag(F.col("vol_regime") == k) for k in ("low", "medium", "high")})

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import average_rank, ewm_mean, flag, frame, full, lag, rolling, running
+from ..functions.ranks import above_running_quantile
+from ..functions.windows import average_rank, ewm_mean, flag, frame, full, lag, rolling
 
 THRESHOLD = 0.1
 EPS = 1e-6
@@ -108,10 +109,9 @@ def moving_averages(df: DataFrame, windows: tuple[int, ...] = (3, 5, 7)) -> Data
 
 
 def disagreement(df: DataFrame) -> DataFrame:
-    middle = F.percentile("sentiment_std", 0.5).over(running())
+    df = above_running_quantile(df, {"disagreement_high": ("sentiment_std", 0.5)})
     return df.withColumns(
         {
-            "disagreement_high": flag(F.col("sentiment_std") > middle),
             "sentiment_range": F.col("bullish_ratio") - F.col("bearish_ratio"),
             "sentiment_spread": F.col("bullish_ratio") + F.col("bearish_ratio"),
         }
@@ -140,9 +140,8 @@ def article_counts(df: DataFrame) -> DataFrame:
 
 def confidence(df: DataFrame) -> DataFrame:
     c = F.col("sentiment_confidence")
-    return df.withColumns(
-        {"confidence_sma_5": rolling(F.avg, c, 5), "weighted_sentiment": F.col("sentiment_score") * c, "high_confidence": flag(c > F.percentile(c, 0.5).over(running()))}
-    )
+    df = above_running_quantile(df, {"high_confidence": ("sentiment_confidence", 0.5)})
+    return df.withColumns({"confidence_sma_5": rolling(F.avg, c, 5), "weighted_sentiment": F.col("sentiment_score") * c})
 
 
 def signal_flags(df: DataFrame) -> DataFrame:
