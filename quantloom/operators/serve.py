@@ -55,6 +55,24 @@ def signal_markers(signals: DataFrame, bars: DataFrame) -> DataFrame:
     return marked.select("symbol", "date", side.alias("signal")).join(bars.select("symbol", "date", F.col("close").alias("price")), ["symbol", "date"], "left")
 
 
+def signal_markers_asof(signals: DataFrame, bars: DataFrame, max_days: int | None = None) -> DataFrame:
+    """``symbol, date, signal, price, price_date``: bullish and bearish days with the last close up to that day, so weekend signals get
+    Friday's; with ``max_days`` none that is older. Signals and bars go into one ordered window a symbol, which carries the last
+    close on: no range join, and nothing is compared in pairs. Several signals of a day each have their row; days before the first
+    close have a null price."""
+    marked = signals.filter(F.col("signal").isin("bullish", "bearish", "1", "-1"))
+    side = F.when(F.col("signal").isin("bullish", "1"), "bullish").otherwise("bearish")
+    none = lambda kind: F.lit(None).cast(kind)
+    own = marked.select("symbol", "date", F.lit(1).alias("_kind"), side.alias("signal"), none("struct<price:double,price_date:date>").alias("_bar"))
+    closes = bars.filter("close is not null").select("symbol", "date", F.lit(0).alias("_kind"), none("string").alias("signal"), F.struct(F.col("close").cast("double").alias("price"), F.col("date").alias("price_date")).alias("_bar"))
+    so_far = Window.partitionBy("symbol").orderBy("date", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    out = own.unionByName(closes).withColumn("_last", F.last("_bar", ignorenulls=True).over(so_far)).filter("_kind = 1").select("symbol", "date", "signal", "_last.*")
+    if max_days is None:
+        return out
+    fresh = F.datediff("date", "price_date") <= max_days
+    return out.withColumns({c: F.when(fresh, F.col(c)) for c in ("price", "price_date")})
+
+
 def page_kpis(sentiment: DataFrame, bars: DataFrame, risk: DataFrame) -> DataFrame:
     """One row over the symbols' latest rows: mean score, mean risk score, total volume, bullish symbols."""
     parts = [

@@ -5,15 +5,18 @@ A query names its keys and columns; both sides are cut to these, doubles rounded
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.staging import shared_folder
 from ..functions.windows import lag
 from ..operators import drawdown, lexicon, ml, predict, price, report, risk, sentiment, serve, text
 from ..operators.boost import Boost
+from ..sources import files
 from ..sources.adapters import ARTICLES_SQL, BARS_SQL, articles, bars, headlines
 
 YEAR = "sqrt(252.0)"
@@ -282,7 +285,15 @@ _GRID = " UNION ALL ".join(
 )
 _Q = "q AS (SELECT symbol, quantile_cont(ret, 0.05) AS h95, quantile_cont(ret, 0.01) AS h99, avg(ret) AS m, stddev_samp(ret) AS s FROM ret GROUP BY symbol)"
 add("var_grid", on_bars(risk.var_grid), with_(BARS_SQL, RET_SQL, _Q, f"grid AS ({_GRID})") + f"\nFINAL SELECT *, var * {YEAR} AS annual_var FROM grid", keys="symbol method confidence", r6="var es annual_var")
-add("var_monte_carlo", on_bars(risk.monte_carlo_var))
+_UNIFORM = "(CAST('0x' || substr(h, {}, 8) AS BIGINT) + 0.5) / 4294967296.0"
+add(
+    "var_monte_carlo", on_bars(risk.monte_carlo_var),
+    with_(BARS_SQL, RET_SQL) + f""",
+st AS (SELECT symbol, avg(ret) AS m, stddev_samp(ret) AS s FROM ret GROUP BY symbol),
+dr AS (SELECT symbol, m + s * sqrt(-2 * ln({_UNIFORM.format(1)})) * cos(2 * pi() * {_UNIFORM.format(9)}) AS x FROM (SELECT *, md5('42:' || symbol || ':' || i) AS h FROM st, range(1, 10001) r(i)) t)
+FINAL SELECT symbol, -quantile_cont(x, 0.05) AS var FROM dr GROUP BY symbol""",
+    keys="symbol", r6="var",
+)
 _RV = " ".join(f"var_{c}_{n}" for c in (95, 99) for n in (21, 63))
 add("rolling_var", on_bars(risk.daily, risk.rolling_var), RET_ + f"\nFINAL SELECT *, {', '.join(f'-({full(f'quantile_cont(ret, {p})', 'ret', n)}) AS var_{c}_{n}' for c, p in ((95, 0.05), (99, 0.01)) for n in (21, 63))} FROM ret", r6=_RV)
 add(
@@ -631,6 +642,40 @@ FINAL SELECT m.symbol, m.date, m.signal, b.close AS price FROM m LEFT JOIN b ON
 )
 
 
+def _weekly_marks(spark, sf_dir):
+    """Signals of every third day, against bars of working days alone."""
+    b = bars(spark, sf_dir)
+    signal = F.when(F.col("close") > F.col("open"), "bullish").when(F.col("close") < F.col("open"), "bearish").otherwise("neutral")
+    signals = b.filter(F.dayofyear("date") % 3 == 0).select("symbol", "date", signal.alias("signal"))
+    return serve.signal_markers_asof(signals, b.filter(F.weekday("date") < 5).select("symbol", "date", "close"), 4)
+
+
+add(
+    "signal_markers_asof", _weekly_marks,
+    BARS_ + """,
+m AS (SELECT symbol, date, CASE WHEN close > open THEN 'bullish' ELSE 'bearish' END AS signal FROM bars WHERE dayofyear(date) % 3 = 0 AND close <> open),
+b AS (SELECT symbol, date AS price_date, close FROM bars WHERE isodow(date) < 6)
+FINAL SELECT m.symbol, m.date, m.signal, CASE WHEN m.date - price_date <= 4 THEN close END AS price, CASE WHEN m.date - price_date <= 4 THEN m.date - price_date END AS age FROM m ASOF LEFT JOIN b ON m.symbol = b.symbol AND m.date >= b.price_date""",
+    keys="symbol date signal", r3="price", longs="age",
+)
+_AS_OF = QUERIES["signal_markers_asof"]
+QUERIES["signal_markers_asof"] = Query(lambda s, d: _AS_OF.fn(s, d).withColumn("age", F.datediff("date", "price_date")), _AS_OF.sql, _AS_OF.keys, r3="price", longs="age")
+
+
+def _month_by_month(spark, sf_dir):
+    """The bars of ten months of the years and then corrections, through a table on disk."""
+    df = bars(spark, sf_dir).select("symbol", "date", "close", "volume")
+    path = f"{shared_folder(spark)}/quantloom/bars-{uuid.uuid4().hex}"
+    files.upsert_table(df.filter(F.month("date") < 11), path, period="yyyy")
+    new = df.filter(F.month("date") == 3).withColumns({"close": F.col("close") * 2, "volume": F.lit(None).cast("double")})
+    return files.upsert_table(new.unionByName(df.filter(F.month("date") == 12)), path, keeping=True, period="yyyy").drop("period")
+
+
+add("upsert_table", _month_by_month, BARS_ + "\nFINAL SELECT symbol, date, CASE WHEN month(date) = 3 THEN 2 * close ELSE close END AS close, volume FROM bars WHERE month(date) <> 11", r3="close volume")
+add("client_volatility", on_bars(lambda df: price.rolling_volatility(df, 10)), with_(BARS_SQL, _R1) + f"\nFINAL SELECT *, ({full('stddev_samp(ret)', 'ret', 10)}) * {YEAR} AS rolling_volatility FROM r", r6="rolling_volatility")
+add("signals_dispatch", on_daily(lambda df: sentiment.generate_signals(df, "absolute").unionByName(sentiment.generate_signals(df, "zscore"), allowMissingColumns=True).groupBy("symbol", "signal").agg(F.count("*").alias("days"))), SIGNALS_ + f"\nFINAL SELECT symbol, signal, count(*) AS days FROM (SELECT symbol, signal FROM sig UNION ALL SELECT symbol, {_LABEL.format(up='sentiment_score > 0.5', down='sentiment_score < -0.5')} FROM sig) t GROUP BY symbol, signal", keys="symbol signal", longs="days")
+
+
 def _page(spark, sf_dir):
     b = bars(spark, sf_dir)
     return serve.page_kpis(daily(spark, sf_dir), b, serve.latest(b).select("symbol", (50 * (F.col("high") - F.col("low")) / F.col("high")).alias("risk_score")))
@@ -741,6 +786,25 @@ def _vendor(spark, sf_dir):
     return text.flatten_vendor(e.select(body.alias("payload"))).groupBy("symbol").agg(F.sum("articles_in_last_week").alias("articles"), F.avg("buzz_score").alias("buzz"), F.avg("bullish_percent").alias("bullish"), F.sum("bearish_percent").alias("bearish"), F.sum("weekly_average").alias("weekly"))
 
 
+def _news(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return text.flatten_articles(e.select(F.col("event_type").alias("related"), F.col("event_id").alias("id"), F.lit("h").alias("headline"), F.lit("s").alias("summary"), F.lit("x").alias("source"), F.lit("c").alias("category"), F.lit("u").alias("url"), F.lit("i").alias("image"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).cast("long").alias("datetime")))
+
+
+add("news_articles", lambda s, d: _news(s, d).groupBy("symbol", F.to_date("article_ts").alias("date")).agg(F.count("*").alias("articles"), F.min("article_id").alias("first_id")), "WITH e AS (SELECT * FROM events)\nFINAL SELECT upper(event_type) AS symbol, CAST(ts AS DATE) AS date, count(*) AS articles, min(event_id) AS first_id FROM e GROUP BY 1, 2", longs="articles first_id")
+
+
+def _blended(spark, sf_dir):
+    a = articles(spark, sf_dir).select("symbol", "article_id", "sentiment_score", "sentiment_signal", F.when(F.col("article_id") % 3 > 0, (F.col("article_id") % 21 - 10) / 10.0).alias("summary_score"))
+    return text.blend_summary(a)
+
+
+add(
+    "blended_sentiment", _blended,
+    f"WITH {ARTICLES_SQL},\nb AS (SELECT article_id, CASE WHEN article_id % 3 > 0 THEN 0.7 * sentiment_score + 0.3 * ((article_id % 21 - 10) / 10.0) ELSE sentiment_score END AS sentiment_score FROM articles)"
+    "\nFINAL SELECT *, CASE WHEN sentiment_score > 0.1 THEN 'bullish' WHEN sentiment_score < -0.1 THEN 'bearish' ELSE 'neutral' END AS sentiment_signal FROM b",
+    keys="article_id sentiment_signal", r6="sentiment_score",
+)
 add("vendor_json", _vendor, "WITH e AS (SELECT * FROM events)\nFINAL SELECT upper(event_type) AS symbol, sum(user_id) AS articles, avg(value) AS buzz, avg(value / 500) AS bullish, 0.0 AS bearish, 0.0 AS weekly FROM e GROUP BY 1", keys="symbol", r6="buzz bullish bearish weekly", longs="articles")
 
 

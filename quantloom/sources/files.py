@@ -6,6 +6,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.staging import settled
+from ..operators import serve
+
 BARS = "symbol STRING, date DATE, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE, volume DOUBLE, dividends DOUBLE, stock_splits DOUBLE"
 PRICE_CSV = "Date STRING, Open DOUBLE, High DOUBLE, Low DOUBLE, Close DOUBLE, Volume DOUBLE, Dividends DOUBLE, Stock_Splits DOUBLE, Symbol STRING"
 DAILY = "symbol STRING, date DATE, sentiment_score DOUBLE, sentiment_confidence DOUBLE, article_count BIGINT, bullish_ratio DOUBLE, bearish_ratio DOUBLE, sentiment_std DOUBLE, signal_valid BOOLEAN"
@@ -47,9 +50,10 @@ def daily_sentiment(spark: SparkSession, path: str, symbol: str | None = None) -
 
 
 def news_sentiment(spark: SparkSession, path: str, symbol: str | None = None) -> DataFrame:
+    """Scored articles, the newest first."""
     df = _or_empty(lambda: spark.read.option("header", True).schema(ARTICLES).csv(path), spark, ARTICLES)
     df = df if symbol is None else df.filter(F.col("symbol") == symbol.upper())
-    return df.withColumnRenamed("datetime", "article_ts")
+    return df.withColumnRenamed("datetime", "article_ts").orderBy(F.desc_nulls_last("article_ts"))
 
 
 def news_json(spark: SparkSession, path: str) -> DataFrame:
@@ -72,6 +76,30 @@ def load_features(spark: SparkSession, path: str, symbol: str | None = None) ->
     return df if symbol is None else df.filter(F.col("symbol") == symbol)
 
 
+def upsert_table(new: DataFrame, path: str, keys: tuple[str, ...] = ("symbol", "date"), keeping: bool = False, always: tuple[str, ...] = (), period: str = "yyyy-MM") -> DataFrame:
+    """Put rows into the table at ``path``, kept by symbol and ``period`` (a date format: months or years, by how many rows one
+    should hold): rows with the same keys are replaced (``keeping``: a new null keeps the old value, but for ``always``). Only the
+    partitions that ``new`` touches are read and written again; the files of all others stay as they are. The merged rows are
+    written aside first, so a failure while merging leaves the table whole. Gives the table."""
+    spark = new.sparkSession
+    new = new.withColumn("period", F.date_format("date", period))
+    schema = new.schema
+    if not _exists(spark, path):
+        new.repartition("symbol", "period").write.partitionBy("symbol", "period").parquet(path)
+        return spark.read.schema(schema).parquet(path)
+    new = settled(new, "upsert-new")
+    old = spark.read.schema(schema).parquet(path).join(new.select("symbol", "period").distinct(), ["symbol", "period"], "left_semi")
+    own = [*keys, "period"]
+    merged = serve.upsert_keeping(old, new, own, always).select(*schema.names) if keeping else serve.upsert(old, new, own)
+    settled(merged, "upsert").repartition("symbol", "period").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol", "period").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def export(df: DataFrame, path: str, kind: str = "json") -> None:
     if kind not in ("csv", "json"):
         raise ValueError(f"unknown export format: {kind}")
