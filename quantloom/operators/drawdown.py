@@ -94,8 +94,62 @@ def totals(df: DataFrame) -> DataFrame:
     return out.withColumn("calmar_ratio", F.when(F.col("max_drawdown") > 0, growth / F.col("max_drawdown")).otherwise(flat)).drop("_n", "_a", "_z")
 
 
-def summary(df: DataFrame, min_drawdown: float = 0.01) -> DataFrame:
-    """The figures of ``totals``, ``durations`` and ``recovery`` and the number of episodes, a row per symbol."""
-    count = episodes(df, min_drawdown).groupBy("symbol").agg(F.count("*").alias("num_drawdowns"), F.avg("drawdown").alias("avg_drawdown"))
-    out = totals(df).join(durations(df), "symbol").join(recovery(df, min_drawdown), "symbol").join(count, "symbol", "left")
-    return out.withColumn("num_drawdowns", F.coalesce("num_drawdowns", F.lit(0)))
+def pieces(df: DataFrame) -> DataFrame:
+    """Mergeable drawdown state of a symbol's years: a row for each stretch from a new peak (or the year's begin) to the next.
+
+    Rows are dealt by symbol and year, so a long history is spread over tasks. A year's rows need one thing of the years before,
+    their highest close, which comes from a table with a row a year. Rows without symbol, date or close are left out.
+    """
+    rows = df.filter("close is not null and symbol is not null and date is not null").select("symbol", "date", F.col("close").cast("double").alias("close"), F.year("date").alias("year")).repartition("symbol", "year")
+    tops = rows.groupBy("symbol", "year").agg(F.max(F.struct("close", "date"))["close"].alias("top"))  # of both columns, as below
+    earlier = Window.partitionBy("symbol").orderBy("year").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(tops.select("symbol", "year", F.max("top").over(earlier).alias("_carried")), ["symbol", "year"], "left")  # both sides read one shuffle
+    so_far = Window.partitionBy("symbol", "year").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("peak", F.greatest(F.max("close").over(so_far), "_carried"))
+    d = F.col("drawdown")
+    rows = rows.withColumn("drawdown", F.try_divide(F.col("peak") - F.col("close"), F.col("peak"))).withColumn("_under", F.coalesce(d > 0, F.lit(False)))
+    rows = rows.withColumn("_stretch", F.sum((~F.col("_under")).cast("int")).over(so_far))
+    under = lambda c: F.when(F.col("_under"), c)
+    return rows.groupBy("symbol", "year", "_stretch").agg(
+        F.count("*").alias("n"), F.min("close").alias("lowest"), F.sum("drawdown").alias("sum"), F.sum(100 * d * (100 * d)).alias("squares"), F.max(~F.col("_under")).alias("new"),
+        F.min(F.struct("date", "close")).alias("first"), F.max(F.struct("date", "close", "drawdown")).alias("last"),
+        F.count_if("_under").alias("below"), F.max(under(F.col("peak"))).alias("peak"), F.min(under(F.struct((-d).alias("depth"), "date", "close"))).alias("trough"),
+    )
+
+
+def runs(df: DataFrame) -> DataFrame:
+    """``pieces`` put together over the years: a row for each new peak with what lies below it until the next."""
+    parts = pieces(df)
+    order = Window.partitionBy("symbol").orderBy("year", "_stretch")
+    parts = parts.withColumn("_run", F.sum(F.col("new").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    out = parts.groupBy("symbol", "_run").agg(
+        *[F.sum(c).alias(c) for c in ("n", "sum", "squares", "below")], F.min("lowest").alias("lowest"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("peak").alias("peak"), F.min("trough").alias("trough"),
+    )
+    w = Window.partitionBy("symbol")
+    return out.withColumns({"end_date": F.lead("first.date").over(w.orderBy("_run")), "newest": F.max("last.date").over(w)})
+
+
+def summary(df: DataFrame, min_drawdown: float = 0.01, least: int = 2) -> DataFrame:
+    """The figures of ``totals``, ``durations`` and ``recovery`` and the number of episodes, a row per symbol, from one reading of
+    the bars. Figures are null for symbols with fewer than ``least`` closes or a close that isn't positive."""
+    r = runs(df).withColumn("deep", (F.col("below") > 0) & (-F.col("trough.depth") >= min_drawdown))
+    r = r.withColumns({"back": F.when(F.col("deep"), F.date_diff("end_date", "trough.date")), "open": F.when(F.col("deep") & F.col("end_date").isNull(), F.date_diff("newest", "trough.date"))})
+    at_end = lambda c: F.max_by(c, F.col("last.date"))
+    out = r.groupBy("symbol").agg(
+        F.sum("n").alias("_n"), F.min("lowest").alias("_lowest"), F.min("first").alias("_first"), F.max("last").alias("_last"), F.sqrt(F.sum("squares") / F.sum("n")).alias("ulcer_index"), (F.sum("sum") / F.sum("n")).alias("pain_index"),
+        F.coalesce(F.max(-F.col("trough.depth")), F.lit(0.0)).alias("max_drawdown"), at_end(F.col("below")).alias("current_duration"), F.max("below").alias("max_duration"), at_end(F.col("below") > 0).alias("is_in_drawdown"),
+        F.avg(F.when(F.col("back") > 0, F.col("back"))).alias("avg_recovery_days"), F.max(F.when(F.col("back") > 0, F.col("back"))).alias("max_recovery_days"), F.count("back").alias("total_recoveries"), F.max("open").alias("_open"),
+        F.count_if("deep").alias("num_drawdowns"), F.avg(F.when(F.col("deep"), -F.col("trough.depth"))).alias("avg_drawdown"),
+    )
+    growth = F.pow(F.try_divide(F.col("_last.close"), F.col("_first.close")), F.lit(YEAR) / F.col("_n")) - 1
+    flat = F.when(growth > 0, F.lit(None).cast("double")).otherwise(F.lit(0.0))
+    out = out.withColumns({
+        "current_drawdown": F.col("_last.drawdown"), "calmar_ratio": F.when(F.col("max_drawdown") > 0, growth / F.col("max_drawdown")).otherwise(flat),
+        "current_recovery_days": F.when(F.col("total_recoveries") > 0, F.col("_open")),
+    })
+    names = (
+        "max_drawdown", "current_drawdown", "ulcer_index", "pain_index", "calmar_ratio", "current_duration", "max_duration", "is_in_drawdown",
+        "avg_recovery_days", "max_recovery_days", "total_recoveries", "current_recovery_days", "num_drawdowns", "avg_drawdown",
+    )
+    enough = (F.col("_n") >= least) & (F.col("_lowest") > 0)
+    return out.select("symbol", *[F.when(enough, F.col(c)).alias(c) for c in names])

@@ -8,17 +8,25 @@ from pyspark.sql import functions as F
 from . import drawdown, risk
 
 
-def metrics(df: DataFrame, with_garch: bool = False) -> DataFrame:
-    """``symbol``, VaR and ES at 95 % and 99 %, volatility over 21 and 63 days, drawdowns, calmar, scores (0 to 10)."""
+MIN_ROWS = 30
+
+
+def metrics(df: DataFrame, with_garch: bool = False, least: int = MIN_ROWS) -> DataFrame:
+    """``symbol``, VaR and ES at 95 % and 99 %, volatility over 21 and 63 days, drawdowns, calmar, the last ``vol_regime``, scores
+    (0 to 10). All are null for symbols with fewer than ``least`` closes or a close that isn't positive."""
     grid = risk.var_grid(df).filter("method = 'historical'").groupBy("symbol").agg(
         *[F.max(F.when(F.col("confidence") == c, F.col(v))).alias(f"{v}_{c[:2]}") for v in ("var", "es") for c in ("95%", "99%")]
     )
     vol = risk.vol_term_structure(df, (21, 63)).groupBy("symbol").agg(*[F.max(F.when(F.col("window") == n, F.col("volatility"))).alias(f"volatility_{n}") for n in (21, 63)])
-    out = grid.join(vol, "symbol", "left").join(drawdown.totals(df), "symbol", "left")
+    down = drawdown.summary(df, least=least).select("symbol", "max_drawdown", "current_drawdown", "ulcer_index", "pain_index", "calmar_ratio")
+    out = grid.join(vol, "symbol", "left").join(down, "symbol", "left")
+    regime = risk.vol_regime(risk.daily(df)).groupBy("symbol").agg(F.max_by("vol_regime", F.struct(F.col("vol_regime").isNotNull(), "date")).alias("vol_regime"))
+    out = out.join(regime, "symbol", "left")
     if with_garch:
         g = risk.garch(df).select("symbol", (F.aggregate("forecast", F.lit(0.0), lambda s, x: s + x) / F.size("forecast") * risk.YEAR**0.5).alias("garch_forecast"))
         out = out.join(g, "symbol", "left")
-    part = lambda c, k, top: F.least(k * F.col(c), F.lit(top))
+    out = out.select("symbol", *[F.when(F.col("max_drawdown").isNotNull(), F.col(c)).alias(c) for c in out.columns if c != "symbol"])
+    part = lambda c, k, top: F.when(F.col(c).isNotNull(), F.least(k * F.col(c), F.lit(top)))
     return out.withColumns(
         {
             "risk_score": part("var_99", 50, 3.33) + part("volatility_21", 5, 3.33) + part("max_drawdown", 10, 3.34),
