@@ -68,23 +68,34 @@ def monte_carlo_var(df: DataFrame, level: float = 0.95, simulations: int = 10000
     return draws.withColumn("ret", drawn).groupBy("symbol").agg((-_tail(level)).alias("var"))
 
 
+def _in_order(n: int) -> Column:
+    """The frame's returns, ascending: one native sort a row, for all levels."""
+    return F.sort_array(F.collect_list("ret").over(frame(n)))
+
+
+def _quantile(ordered: Column, n: int, q: float) -> Column:
+    """Interpolated quantile of ``n`` ascending values."""
+    k = min(int((n - 1) * q), n - 1)
+    share = (n - 1) * q - k
+    low, high = F.get(ordered, F.lit(k)), F.get(ordered, F.lit(min(k + 1, n - 1)))
+    return (1 - share) * low + share * high
+
+
 def rolling_var(df: DataFrame, windows: tuple[int, ...] = (21, 63), levels: tuple[float, ...] = LEVELS) -> DataFrame:
-    out = {}
-    for c in levels:
-        for n in windows:
-            out[f"var_{c * 100:.0f}_{n}"] = full(-F.percentile("ret", 1 - c).over(frame(n)), F.col("ret"), n)
-    return df.withColumns(out)
+    df = df.withColumns({f"_s_{n}": _in_order(n) for n in windows})
+    out = {f"var_{c * 100:.0f}_{n}": full(-_quantile(F.col(f"_s_{n}"), n, 1 - c), F.col("ret"), n) for c in levels for n in windows}
+    return df.withColumns(out).drop(*[f"_s_{n}" for n in windows])
 
 
 def rolling_es(df: DataFrame, windows: tuple[int, ...] = (21, 63), levels: tuple[float, ...] = LEVELS) -> DataFrame:
+    df = df.withColumns({f"_s_{n}": _in_order(n) for n in windows})
     for n in windows:
-        df = df.withColumn("_in", F.collect_list("ret").over(frame(n)))
         for c in levels:
-            df = df.withColumn("_p", F.percentile("ret", 1 - c).over(frame(n)))
-            tail = F.filter("_in", lambda x: x <= F.col("_p"))
-            mean = F.aggregate(tail, F.lit(0.0), lambda s, x: s + x) / F.size(tail)
-            df = df.withColumn(f"es_{c * 100:.0f}_{n}", full(-mean, F.col("ret"), n))
-    return df.drop("_in", "_p")
+            ordered = F.col(f"_s_{n}")
+            df = df.withColumn("_p", _quantile(ordered, n, 1 - c))
+            sums = F.aggregate(ordered, F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), lambda a, x: F.when(x <= F.col("_p"), F.struct((a["s"] + x).alias("s"), (a["n"] + 1).alias("n"))).otherwise(a))
+            df = df.withColumn("_t", sums).withColumn(f"es_{c * 100:.0f}_{n}", full(-F.try_divide(F.col("_t.s"), F.col("_t.n")), F.col("ret"), n))
+    return df.drop("_p", "_t", *[f"_s_{n}" for n in windows])
 
 
 def var_backtest(df: DataFrame, window: int = 63, level: float = 0.95) -> DataFrame:
