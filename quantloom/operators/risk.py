@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import running_share
+from ..functions.staging import settled
 from ..functions.windows import ewm_variance, flag, frame, full, lag, over_key, rolling, run_id
 
 YEAR = 252.0
@@ -203,60 +204,104 @@ def risk_adjusted(df: DataFrame, window: int = 21) -> DataFrame:
     )
 
 
-def _variances(x: np.ndarray, omega: float, a: float, b: float) -> np.ndarray:
-    out = np.empty(len(x))
-    out[0] = x.var()
+TASK_ROWS, CELLS = 200_000, 2_000_000  # rows of a task that fits several symbols; cells of the arrays it works on
+
+
+def _variances(x: np.ndarray, first: np.ndarray, omega: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Conditional variances of many series at once: time is the first axis of ``x``, the others are those of the parameters."""
+    out = np.empty((len(x), *np.broadcast_shapes(x.shape[1:], np.shape(omega))))
+    out[0] = first
     for t in range(1, len(x)):
         out[t] = omega + a * x[t - 1] ** 2 + b * out[t - 1]
     return out
 
 
-def _parameters(p: np.ndarray) -> tuple[float, float, float]:
-    """A positive omega, alpha and beta between 0 and 1, from free values."""
-    return float(np.exp(p[0])), float(1 / (1 + np.exp(-p[1]))), float(1 / (1 + np.exp(-p[2])))
+def _parameters(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positive omegas, alphas and betas between 0 and 1, from free values on the last axis."""
+    return np.exp(p[..., 0]), 1 / (1 + np.exp(-p[..., 1])), 1 / (1 + np.exp(-p[..., 2]))
 
 
-def _simplex(f, start: tuple[float, ...], rounds: int = 250) -> tuple[np.ndarray, float, bool]:
-    """Downhill simplex search: the best point, its value, whether it settled."""
-    points = [np.array(start)] + [np.array(start) + 0.5 * e for e in np.eye(len(start))]
-    values = [f(p) for p in points]
+def _simplex(f, start: np.ndarray, rounds: int = 250) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Downhill simplex searches of many problems side by side: best points, their values, whether each settled.
+    ``f(which, points)``: values of points of those problems."""
+    n, k = start.shape
+    points = start[:, None, :] + np.concatenate([np.zeros((1, k)), 0.5 * np.eye(k)])
+    values, settled, live = f(np.arange(n), points), np.zeros(n, bool), np.arange(n)
     for _ in range(rounds):
-        order = np.argsort(values)
-        points, values = [points[i] for i in order], [values[i] for i in order]
-        if values[-1] - values[0] < 1e-7:
-            return points[0], values[0], True
-        centre = np.mean(points[:-1], axis=0)
-        tries = [centre + c * (centre - points[-1]) for c in (1.0, 2.0, -0.5)]
-        found = [f(p) for p in tries]
-        best = int(np.argmin(found))
-        if found[best] < values[-1]:
-            points[-1], values[-1] = tries[best], found[best]
-        else:
-            points = [points[0]] + [points[0] + 0.5 * (p - points[0]) for p in points[1:]]
-            values = [values[0]] + [f(p) for p in points[1:]]
-    return points[0], values[0], False
-
-
-def _fit_garch(ret: np.ndarray) -> tuple[float, float, float, bool, np.ndarray]:
-    """omega, alpha, beta of percent returns, whether the search settled, and the conditional variances. Where the
-    likelihood has no usable maximum: the exponential mean variance with alpha 0.1 and beta 0.85."""
-    x = 100 * ret
-    x = x - x.mean()
-
-    def loss(p):
+        order = np.argsort(values[live], axis=1, kind="stable")
+        points[live], values[live] = np.take_along_axis(points[live], order[..., None], 1), np.take_along_axis(values[live], order, 1)
+        still = ~(values[live, -1] - values[live, 0] < 1e-7)
+        settled[live[~still]] = True
+        live = live[still]
+        if not len(live):
+            break
+        own = points[live]
+        centre = own[:, :-1].mean(axis=1)
+        tries = np.stack([centre + c * (centre - own[:, -1]) for c in (1.0, 2.0, -0.5)], axis=1)
+        found = f(live, tries)
+        best = found.argmin(axis=1)
+        value = found[np.arange(len(live)), best]
+        better = value < values[live, -1]
+        points[live[better], -1], values[live[better], -1] = tries[better, best[better]], value[better]
+        if len(rest := live[~better]):
+            points[rest, 1:] = points[rest, :1] + 0.5 * (points[rest, 1:] - points[rest, :1])
+            values[rest, 1:] = f(rest, points[rest, 1:])
+    return points[:, 0], values[:, 0], settled
+
+
+def _fit_garch(series: list[np.ndarray]) -> list[tuple[float, float, float, bool, np.ndarray]]:
+    """For each series of returns omega, alpha, beta of percent returns, whether the search settled, and the conditional variances.
+    Where the likelihood has no usable maximum: the exponential mean variance with alpha 0.1 and beta 0.85. All series are
+    searched together, as arrays."""
+    long = max(map(len, series))
+    x, inside = np.zeros((long, len(series))), np.zeros((long, len(series)), bool)
+    for i, ret in enumerate(series):
+        x[: len(ret), i] = 100 * ret - (100 * ret).mean()
+        inside[: len(ret), i] = True
+    var = np.array([x[: len(ret), i].var() for i, ret in enumerate(series)])
+
+    def loss(which: np.ndarray, p: np.ndarray) -> np.ndarray:
         omega, a, b = _parameters(p)
-        if a + b >= 0.9999:
-            return 1e12
-        v = _variances(x, omega, a, b)
-        return float(np.sum(np.log(v) + x * x / v))
+        own, known = x[:, which, None], inside[:, which, None]
+        v = _variances(own, var[which, None], omega, a, b)
+        out = np.where(known, np.log(v) + own * own / v, 0.0).sum(axis=0)
+        return np.where(a + b >= 0.9999, 1e12, out)
+
+    usable = np.flatnonzero(var > 0)
+    out: list = [None] * len(series)
+    with np.errstate(all="ignore"):
+        if len(usable):
+            start = np.stack([np.log(0.1 * var[usable]), np.full(len(usable), -2.2), np.full(len(usable), 1.5)], axis=1)
+            points, values, settled = _simplex(lambda which, p: loss(usable[which], p), start)
+            omega, a, b = _parameters(points)
+            v = _variances(x[:, usable], var[usable], omega, a, b)
+            for j, i in enumerate(usable):
+                if np.isfinite(values[j]) and values[j] < 1e12:
+                    out[i] = float(omega[j]), float(a[j]), float(b[j]), bool(settled[j]), v[: len(series[i]), j]
+    for i, ret in enumerate(series):
+        if out[i] is None:
+            own = pd.Series(x[: len(ret), i]).ewm(span=21, adjust=False).var().bfill().fillna(0.0).to_numpy()
+            out[i] = 0.0, 0.1, 0.85, False, own
+    return out
+
+
+def _fitted(rows: pd.DataFrame, least: int) -> list[tuple[str, pd.DataFrame, tuple | None]]:
+    """Each symbol's rows by date with its fit, None for fewer than ``least``; symbols of alike lengths are fitted together."""
+    parts = [(name, own.sort_values("date")) for name, own in rows.groupby("symbol", sort=True)]
+    todo = sorted((len(own), i) for i, (_, own) in enumerate(parts) if len(own) >= least)
+    fits: dict[int, tuple] = {}
+    while todo:
+        n = max(1, CELLS // todo[-1][0])
+        some, todo = todo[-n:], todo[:-n]
+        fits.update(zip([i for _, i in some], _fit_garch([parts[i][1]["ret"].to_numpy(np.float64) for _, i in some]), strict=True))
+    return [(name, own, fits.get(i)) for i, (name, own) in enumerate(parts)]
+
 
-    if x.var() > 0:
-        p, value, settled = _simplex(loss, (np.log(0.1 * x.var()), -2.2, 1.5))
-        if np.isfinite(value) and value < 1e12:
-            omega, a, b = _parameters(p)
-            return omega, a, b, settled, _variances(x, omega, a, b)
-    v = pd.Series(x).ewm(span=21, adjust=False).var().bfill().fillna(0.0).to_numpy()
-    return 0.0, 0.1, 0.85, False, v
+def _in_batches(r: DataFrame, task, schema: str) -> DataFrame:
+    """``task`` over the rows of several symbols at once, as many as make up a task's rows; one symbol is never split."""
+    r = settled(r.select("symbol", "date", "ret"), "returns")
+    batches = max(1, -(-r.count() // TASK_ROWS))
+    return r.withColumn("_batch", F.pmod(F.xxhash64("symbol"), F.lit(batches))).groupBy("_batch").applyInPandas(task, schema)
 
 
 def garch(df: DataFrame, horizon: int = 5, min_returns: int = 20) -> DataFrame:
@@ -266,18 +311,34 @@ def garch(df: DataFrame, horizon: int = 5, min_returns: int = 20) -> DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        ret, name = rows.sort_values("date")["ret"].to_numpy(), rows["symbol"].iloc[0]
-        if len(ret) < min_returns:
-            return pd.DataFrame([(name, None, None, None, None, None, None, False)], columns=names)
-        omega, a, b, settled, v = _fit_garch(ret)
-        if omega == 0:
-            far = ahead = v[-1]
-        else:
-            far, ahead = omega / (1 - a - b), omega + a * (100 * (ret[-1] - ret.mean())) ** 2 + b * v[-1]
-        path = [float(np.sqrt(far + (a + b) ** k * (ahead - far))) / 100 for k in range(horizon)]
-        return pd.DataFrame([(name, omega, a, b, a + b, float(np.sqrt(far)) / 100, path, settled)], columns=names)
+        out = []
+        for name, own, found in _fitted(rows, min_returns):
+            if found is None:
+                out.append((name, None, None, None, None, None, None, False))
+                continue
+            omega, a, b, settled_, v = found
+            ret = own["ret"].to_numpy()
+            far, ahead = (v[-1], v[-1]) if omega == 0 else (omega / (1 - a - b), omega + a * (100 * (ret[-1] - ret.mean())) ** 2 + b * v[-1])
+            path = [float(np.sqrt(far + (a + b) ** k * (ahead - far))) / 100 for k in range(horizon)]
+            out.append((name, omega, a, b, a + b, float(np.sqrt(far)) / 100, path, settled_))
+        return pd.DataFrame(out, columns=names)
 
-    return daily(df).select("symbol", "date", "ret").groupBy("symbol").applyInPandas(fit, schema)
+    return _in_batches(daily(df), fit, schema)
+
+
+def garch_variances(df: DataFrame, omega: float, alpha: float, beta: float) -> DataFrame:
+    """``symbol, date, variance`` of percent returns under given parameters, the first being the sample's (population) variance."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for name, own in rows.groupby("symbol"):
+            own = own.sort_values("date")
+            x = 100 * own["ret"].to_numpy(np.float64)
+            x = x - x.mean()
+            out.append(pd.DataFrame({"symbol": name, "date": own["date"], "variance": _variances(x, x.var(), omega, alpha, beta)}))
+        return pd.concat(out) if out else rows.assign(variance=0.0)[["symbol", "date", "variance"]]
+
+    return _in_batches(daily(df), run, "symbol string, date date, variance double")
 
 
 def garch_features(df: DataFrame, min_returns: int = 100) -> DataFrame:
@@ -286,16 +347,21 @@ def garch_features(df: DataFrame, min_returns: int = 100) -> DataFrame:
     schema = "symbol string, date date, garch_vol double, garch_forecast_1 double, garch_persistence double"
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("date")
-        out = pd.DataFrame({"symbol": rows["symbol"], "date": rows["date"], "garch_vol": None, "garch_forecast_1": None, "garch_persistence": None})
-        if len(rows) >= min_returns:
-            ret = rows["ret"].to_numpy()
-            omega, a, b, _, v = _fit_garch(ret)
-            ahead = v[-1] if omega == 0 else omega + a * (100 * (ret[-1] - ret.mean())) ** 2 + b * v[-1]
-            out["garch_vol"], out["garch_forecast_1"], out["garch_persistence"] = np.sqrt(v) / 100 * YEAR**0.5, np.sqrt(ahead) / 100 * YEAR**0.5, a + b
-        return out
-
+        out = []
+        for name, own, found in _fitted(rows, min_returns):
+            part = pd.DataFrame({"symbol": name, "date": own["date"], "garch_vol": np.nan, "garch_forecast_1": np.nan, "garch_persistence": np.nan})
+            if found is not None:
+                omega, a, b, _, v = found
+                ret = own["ret"].to_numpy()
+                ahead = v[-1] if omega == 0 else omega + a * (100 * (ret[-1] - ret.mean())) ** 2 + b * v[-1]
+                part["garch_vol"], part["garch_forecast_1"], part["garch_persistence"] = np.sqrt(v) / 100 * YEAR**0.5, np.sqrt(ahead) / 100 * YEAR**0.5, a + b
+            out.append(part)
+        return pd.concat(out)
+
+    numbers = ("garch_vol", "garch_forecast_1", "garch_persistence")
     r = daily(df)
-    out = r.join(r.select("symbol", "date", "ret").groupBy("symbol").applyInPandas(fit, schema), ["symbol", "date"])
+    found = _in_batches(r, fit, schema)
+    found = found.select("symbol", "date", *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in numbers])
+    out = r.join(found, ["symbol", "date"])
     week = rolling(F.stddev_samp, F.col("ret"), 5) * YEAR**0.5
     return out.withColumn("vol_surprise", week / (lag(F.col("garch_vol")) + EPS)).drop("close", "ret")

@@ -360,6 +360,16 @@ add(
 )
 add("garch_forecast", on_bars(risk.garch))
 add("garch_features", on_bars(risk.garch_features))
+add(
+    "garch_variances", on_bars(lambda df: risk.garch_variances(df, 2.0, 0.1, 0.85)),
+    with_(BARS_SQL, RET_SQL) + """,
+gx AS (SELECT symbol, date, 100 * (ret - avg(ret) OVER (PARTITION BY symbol)) AS x, 10000 * var_pop(ret) OVER (PARTITION BY symbol) AS v0, row_number() OVER (PARTITION BY symbol ORDER BY date) AS k FROM ret),
+gv AS (SELECT symbol, date, k, x, v0 AS variance FROM gx WHERE k = 1 UNION ALL SELECT n.symbol, n.date, n.k, n.x, 2.0 + 0.1 * v.x * v.x + 0.85 * v.variance FROM gv v JOIN gx n ON n.symbol = v.symbol AND n.k = v.k + 1)
+FINAL SELECT symbol, date, sqrt(variance) AS deviation FROM gv""",
+    r3="deviation",
+)
+_GV = QUERIES["garch_variances"]
+QUERIES["garch_variances"] = Query(lambda s, d: _GV.fn(s, d).withColumn("deviation", F.sqrt("variance")), _GV.sql, r3="deviation")
 
 # --- drawdowns
 add("drawdown_series", on_bars(drawdown.series), DD_ + "\nFINAL SELECT * FROM dd", r6="drawdown", r3="peak")

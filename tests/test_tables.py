@@ -43,3 +43,23 @@ def test_draws_are_normal_and_the_same_for_any_split(spark):
     assert abs(r.m) < 0.03 and abs(r.s - 1) < 0.02 and abs(r.k) < 0.06 and abs(r.q + 1.645) < 0.05
     df = spark.createDataFrame([("a", i, 100.0 + (i * 37) % 11) for i in range(50)], "symbol string, date int, close double")
     assert risk.monte_carlo_var(df.repartition(1), simulations=500).first() == risk.monte_carlo_var(df.repartition(7), simulations=500).first()
+
+
+def test_garch_of_many_symbols_equals_each_alone(spark):
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    series = [r.normal(0, 0.01 + 0.01 * (np.arange(n) // 60 % 2)) for n in (30, 150, 400)] + [np.zeros(40)]
+    together = risk._fit_garch(series)
+    for own, got in zip(series, together, strict=True):
+        alone = risk._fit_garch([own])[0]
+        assert got[:4] == pytest.approx(alone[:4], rel=1e-9) and np.allclose(got[4], alone[4], rtol=1e-9)
+        omega, a, b, settled, v = got
+        assert 0 < a + b < 1 and len(v) == len(own)
+        if settled:
+            x = 100 * (own - own.mean())
+            loss = lambda o, p, q: sum(np.log(v := risk._variances(x, x.var(), o, p, q)) + x * x / v)
+            assert loss(omega, a, b) <= min(loss(omega * 1.05, a, b), loss(omega, a * 1.05, b), loss(omega, a, b * 0.99)) + 1e-3
+    rows = [(f"s{i}", d, 100.0 + (d * 37 * (i + 1)) % 11) for i in range(3) for d in range(15 if i == 2 else 60)]
+    got = {x.symbol: x for x in risk.garch(spark.createDataFrame(rows, "symbol string, date int, close double").withColumn("date", F.date_add(F.lit("2024-01-01").cast("date"), F.col("date")))).collect()}
+    assert got["s2"].omega is None and 0 < got["s0"].persistence < 1 and len(got["s1"].forecast) == 5
