@@ -25,6 +25,7 @@ from .common import mounted
 from .tokens import encoded
 
 MAGIC, BLOCK = b"DACTOK01", 512
+SHARD_BYTES = 64 << 20
 
 
 def write_shard(path: str, doc_ids: list, ids: np.ndarray, ends: np.ndarray) -> None:
@@ -107,10 +108,13 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
     a shared folder that workers have mounted; gives ``shard, path, start, docs, tokens`` per shard.
 
     Null texts are the end id alone, repeated rows are written each, an empty table gives no tokens; other columns are
-    not read. The range exchange also splits one id with very many rows, by a hash of the text.
+    not read. The range exchange also splits one id with very many rows, by a hash of the text. A shard, which a task holds
+    at once, gets some SHARD_BYTES of text at most, one long text aside.
     """
     to = mounted(folder)
     os.makedirs(to, exist_ok=True)
+    size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, parts, ends, end = [], [], [], np.uint32(end_id).tobytes()
@@ -126,7 +130,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
         write_shard(path, keys, np.frombuffer(b"".join(parts), dtype="<u4"), ends)
         yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([path]), pa.array([len(keys)]), pa.array([int(ends[-1])])], ["shard", "path", "docs", "tokens"])
 
-    ordered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
+    ordered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("h", F.xxhash64("text")).repartitionByRange(shards, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     made = sorted(ordered.mapInArrow(run, "shard long, path string, docs long, tokens long").collect())  # a row for each file
     rows, start = [], 0
     for r in made:

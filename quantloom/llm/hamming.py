@@ -14,13 +14,18 @@ from pyspark.sql import functions as F
 from .common import staged
 
 SEGMENTS, WIDTH = 4, 16
+BITS = SEGMENTS * WIDTH
 
 
 def sign_codes(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """``id, code``: bit i is set where element i of the vector is above 0. Null ids and vectors have no code; null and
-    NaN elements and those after the 64th set no bit."""
-    code = F.aggregate(F.transform(F.slice(F.col(embedding), 1, 64), lambda x, i: F.when((x > 0) & ~F.isnan(x), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
-    return vectors.filter(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), code.alias("code"))
+    """``id, code``: bit i is set where element i of the vector is above 0. Null ids and vectors have no code; null and NaN
+    elements set no bit, and shorter vectors leave the rest unset. Vectors of more than 64 elements stop the job with an error:
+    their code would say nothing about the elements after the 64th."""
+    own = F.col(embedding)
+    whole = F.when(F.size(own) > BITS, F.raise_error(F.lit(f"vectors of more than {BITS} elements have no code"))).otherwise(own)
+    bits = F.transform(whole, lambda x, i: F.when((x > 0) & ~F.isnan(x), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    code = F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    return vectors.filter(F.col(vec_id).isNotNull() & own.isNotNull()).select(F.col(vec_id).cast("long").alias("id"), code.alias("code"))
 
 
 def _segments(df: DataFrame, code: str) -> DataFrame:

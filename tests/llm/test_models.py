@@ -8,11 +8,12 @@ import zlib
 
 import helpers
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quantloom.llm import hamming, ngram, pii, toxicity
+from quantloom.llm import codes, hamming, ngram, pii, toxicity
 from quantloom.llm.common import fold, new_folder
 
 
@@ -286,3 +287,17 @@ def test_pipeline(docs, spark):
     assert masked.keys() == before.keys()
     assert all(masked[k] == before[k] for k in before if not re.search("[0-9@]", before[k] or ""))
     assert {r.doc_id for r in out["packing"].collect()} == set(masked)
+
+
+def test_sign_codes_of_wide_and_short_vectors(spark):
+    df = spark.createDataFrame([(1, [1.0] * 64), (2, [1.0, -1.0])], "vec_id long, embedding array<float>")
+    assert {r.id: r.code for r in hamming.sign_codes(df).collect()} == {1: -1, 2: 1}
+    with pytest.raises(Exception, match="more than 64 elements"):
+        hamming.sign_codes(spark.createDataFrame([(1, [1.0] * 65)], "vec_id long, embedding array<float>")).collect()
+
+
+def test_token_shards_go_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(codes, "SHARD_BYTES", 2000)
+    docs = spark.range(60).selectExpr("id as doc_id", "repeat('some words ', 20) as text")
+    shards = codes.write_tokens(docs, f"file://{tmp_path}/t", public_tokenizers.path("byte_bpe_50k.json"))
+    assert shards.count() >= 5 and shards.agg({"docs": "sum"}).first()[0] == 60
