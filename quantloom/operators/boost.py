@@ -118,17 +118,27 @@ def grow(binned: np.ndarray, y: np.ndarray, ids: np.ndarray, edges: list[np.ndar
 
 def best_splits(g: np.ndarray, h: np.ndarray, all_g: np.ndarray, all_h: np.ndarray, scale: float, boost: Boost) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Gain, feature (by its place), bin and side of nulls of each node's best split; of equals the first feature, bin, right."""
+    sides = 2 if h[:, :, -1].any() else 1  # without nulls both sides are alike
+    side = np.arange(float(sides))
     gl, hl = np.cumsum(g[:, :, :-1], 2)[..., None], np.cumsum(h[:, :, :-1], 2)[..., None]
-    side = np.array([0.0, 1.0])
-    gl, hl = (gl + g[:, :, -1:, None] * side) / scale, (hl + h[:, :, -1:, None] * side) / scale
+    if sides == 2:
+        gl, hl = gl + g[:, :, -1:, None] * side, hl + h[:, :, -1:, None] * side
+    gl /= scale
+    hl /= scale
     total_g, total_h = all_g[:, None, None, None], all_h[:, None, None, None]
     gr, hr = total_g - gl, total_h - hl
+    bad = (hl < boost.least) | (hr < boost.least) | (h[:, :, :-1, None] == 0)
     with np.errstate(invalid="ignore", divide="ignore"):
-        gain = gl * gl / (hl + boost.ridge) + gr * gr / (hr + boost.ridge) - total_g * total_g / (total_h + boost.ridge)
-    gain[~((hl >= boost.least) & (hr >= boost.least) & (h[:, :, :-1, None] > 0))] = -np.inf
-    flat = gain.reshape(len(g), -1)
+        for x, y in ((gl, hl), (gr, hr)):  # in place: x * x / (y + ridge)
+            x *= x
+            y += boost.ridge
+            x /= y
+        gl += gr
+        gl -= total_g * total_g / (total_h + boost.ridge)
+    gl[bad] = -np.inf
+    flat = gl.reshape(len(g), -1)
     at = flat.argmax(1)
-    return flat[np.arange(len(g)), at], at // (2 * (g.shape[2] - 1)), at // 2 % (g.shape[2] - 1), at % 2 == 1
+    return flat[np.arange(len(g)), at], at // (sides * (g.shape[2] - 1)), at // sides % (g.shape[2] - 1), at % sides == 1
 
 
 def _statistics(rows: DataFrame, names: list[str], by: tuple[str, ...], kind: str, boost: Boost) -> DataFrame:

@@ -93,6 +93,26 @@ def export_sentiment(daily: DataFrame, days: int = 90) -> DataFrame:
     return latest(clean).join(history, "symbol")
 
 
+def current_sentiment(daily: DataFrame, signals: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """Each symbol's latest day with its latest saved ``signal, signal_strength``; symbols without any get them from the score:
+    bullish above the threshold, bearish below its negative, the score's size as strength."""
+    now = latest(daily)
+    saved = latest(signals.select("symbol", "date", F.col("signal").alias("_signal"), F.col("signal_strength").alias("_strength"))).drop("date")
+    x = F.col("sentiment_score")
+    own = F.when(x > threshold, "bullish").when(x < -threshold, "bearish").otherwise("neutral")
+    out = now.drop("signal", "signal_strength").join(saved, "symbol", "left")
+    known = F.col("_signal").isNotNull()
+    return out.withColumns({"signal": F.when(known, F.col("_signal")).otherwise(own), "signal_strength": F.when(known, F.coalesce("_strength", F.lit(0.0))).otherwise(F.coalesce(F.abs(x), F.lit(0.0)))}).drop("_signal", "_strength")
+
+
+def risk_bands(df: DataFrame, score: str = "risk_score", cuts: tuple[float, ...] = (40, 60, 80), names: tuple[str, ...] = ("Low Risk", "Moderate", "High Risk", "Very High")) -> DataFrame:
+    """Add ``risk_band``: the name of the interval a score from 0 to 100 lies in; a cut belongs to the band above, null scores have none."""
+    band = F.when(F.col(score).isNull(), F.lit(None).cast("string"))
+    for cut, name in zip(cuts, names[:-1], strict=True):
+        band = band.when(F.col(score) < cut, name)
+    return df.withColumn("risk_band", band.otherwise(names[-1]))
+
+
 def export_predictions(about: DataFrame) -> DataFrame:
     """Model figures by symbol for publication; what is missing is 0."""
     figures = ["samples", "features", "accuracy", "auc", "r2", "direction_accuracy"]

@@ -595,6 +595,8 @@ def _merged(spark, sf_dir):
 add("merge_sentiment_prices", _merged, _MERGE, r6="sentiment_score", r3="close")
 add("export_prices", on_bars(serve.export_prices), BARS_ + "\nFINAL SELECT symbol, max(date) AS date, arg_max(close, date) AS close, avg(volume) AS avg_volume, min(low) AS min_price, max(high) AS max_price, arg_max(close, date) / arg_min(close, date) - 1 AS total_return FROM bars GROUP BY symbol", r6="avg_volume total_return", r3="close min_price max_price")
 
+add("export_prices_history", on_bars(lambda df: serve.export_prices(df).select("symbol", F.explode("history").alias("h")).select("symbol", "h.*")), BARS_ + "\nFINAL SELECT symbol, date, close FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) <= 90", r3="close")
+
 
 def _upserted(spark, sf_dir):
     df = bars(spark, sf_dir).select("symbol", "date", "close", "volume")
@@ -700,6 +702,16 @@ FINAL SELECT (SELECT avg(sentiment_score) FROM l) AS avg_score, (SELECT avg(50 *
     keys="", r6="avg_score avg_risk total_volume", longs="bullish",
 )
 add("export_sentiment", on_daily(lambda df: serve.export_sentiment(df).withColumn("days", F.size("history"))), DAILY_ + ",\nx AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS k, least(90, count(*) OVER (PARTITION BY symbol)) AS days FROM daily)\nFINAL SELECT symbol, date, round(coalesce(sentiment_score, 0), 4) AS sentiment_score, round(coalesce(bullish_ratio, 0), 4) AS bullish_ratio, article_count, days FROM x WHERE k = 1", r4="sentiment_score bullish_ratio", longs="article_count days")
+add("export_sentiment_history", on_daily(lambda df: serve.export_sentiment(df).select("symbol", F.explode("history").alias("h")).select("symbol", "h.*")), DAILY_ + "\nFINAL SELECT symbol, date, round(coalesce(sentiment_score, 0), 4) AS sentiment_score, article_count FROM daily QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) <= 90", r4="sentiment_score", longs="article_count")
+add(
+    "current_sentiment", lambda s, d: (lambda df: serve.current_sentiment(df, sentiment.signals_zscore(df).filter("symbol < 'f' and day(date) < 20")))(daily(s, d)),
+    SIGNALS_ + """,
+l AS (SELECT * FROM sig QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1),
+k AS (SELECT symbol, signal, signal_strength FROM sig WHERE symbol < 'f' AND day(date) < 20 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1)
+FINAL SELECT l.symbol, l.date, l.sentiment_score, coalesce(k.signal, CASE WHEN l.sentiment_score > 0.3 THEN 'bullish' WHEN l.sentiment_score < -0.3 THEN 'bearish' ELSE 'neutral' END) AS signal, CASE WHEN k.signal IS NOT NULL THEN k.signal_strength ELSE abs(l.sentiment_score) END AS signal_strength FROM l LEFT JOIN k ON k.symbol = l.symbol""",
+    keys="symbol date signal", r6="sentiment_score signal_strength",
+)
+add("risk_bands", on_bars(lambda df: serve.risk_bands(df.withColumn("risk_score", 100 * (F.col("high") - F.col("low")) / F.col("high"))).groupBy("symbol", "risk_band").agg(F.count("*").alias("days"))), BARS_ + "\nFINAL SELECT symbol, CASE WHEN r < 40 THEN 'Low Risk' WHEN r < 60 THEN 'Moderate' WHEN r < 80 THEN 'High Risk' ELSE 'Very High' END AS risk_band, count(*) AS days FROM (SELECT symbol, 100 * (high - low) / high AS r FROM bars) t GROUP BY 1, 2", keys="symbol risk_band", longs="days")
 add("export_predictions", lambda s, d: serve.export_predictions(ml.classification_metrics(_scores(s, d).withColumn("score", F.col("probability")), "symbol")), QUERIES["clf_metrics"].sql.replace("FINAL SELECT *,", "FINAL SELECT symbol, accuracy, auc, 0.0 AS samples, 0.0 AS r2, 0.0 AS unused,"), keys="symbol", r6="accuracy auc samples r2")
 add("watchlist_edit", lambda s, d: _lists(s, d)[0].add(" new one ", "NATION_3").remove("nation_1").valid(s.read.parquet(f"{d}/nation.parquet").select(F.col("n_name").alias("symbol")).unionByName(s.createDataFrame([("New One",)], "symbol string"))).frame, "SELECT upper(n_name) AS symbol FROM nation WHERE n_nationkey < 15 AND upper(n_name) <> 'NATION_1' UNION SELECT 'NEW ONE' UNION SELECT 'NATION_3'")
 add("standard_scaled", on_bars(lambda df: predict.Scaler.fit(df, ["close", "volume"]).transform(df)), BARS_ + "\nFINAL SELECT symbol, date, (close - avg(close) OVER ()) / stddev_pop(close) OVER () AS close, (volume - avg(volume) OVER ()) / stddev_pop(volume) OVER () AS volume FROM bars", r6="close volume")
