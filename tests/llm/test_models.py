@@ -135,15 +135,26 @@ def test_reconciled_spans_equal_brute_force():
     for _ in range(500):
         found = [(r.randint(0, 4), r.choice([0.8, 0.9, 1.0]), r.choice(pii.KINDS), a, a + r.randint(1, 6)) for a in (r.randint(0, 30) for _ in range(r.randint(0, 8)))]
         base = [("email", a, a + r.randint(1, 4)) for a in (r.randint(0, 30) for _ in range(r.randint(0, 2)))]
+        text = "".join(r.choice("xyz ") for _ in range(40))
         left, want = {x for x in found if x[0] > 0}, []
         cells = lambda s: set(range(s[-2], s[-1]))
         while left:  # the best one that is left goes in, what it overlaps goes out
             best = min(left, key=lambda x: (-x[0], -x[1], x[2:]))
             left.discard(best)
-            if all(not cells(best) & cells(b) or cells(b) < cells(best) for b in base):
+            touched = [b for b in base if cells(best) & cells(b)]
+            around = cells(best) - {i for i in range(min((b[1] for b in touched), default=0), max((b[2] for b in touched), default=40))}
+            if all(b[0] == best[2] and cells(b) < cells(best) for b in touched) and not (touched and any(text[i] == " " for i in around)):
                 want.append(best[2:])
                 left = {x for x in left if not cells(x) & cells(best)}
-        assert pii.reconciled(found, base) == want
+        assert pii.reconciled(found, base, text) == want
+
+
+def test_added_spans_leave_neighbours_of_pattern_spans_alone():
+    text = "call del.47@mail4.example.com doosdo or +1 (826) 555-4081 190.137.223.204, ünal.x@mail.example.com"
+    base = pii.pattern_spans(text)
+    at = lambda s: (text.index(s), text.index(s) + len(s))
+    found = [(9, 0.99, "email", *at("del.47@mail4.example.com doosdo")), (9, 0.98, "phone", *at("+1 (826) 555-4081 190.137.223.204")), (9, 0.97, "email", *at("ünal.x@mail.example.com"))]
+    assert pii.reconciled(found, base, text) == [("email", *at("ünal.x@mail.example.com"))]
 
 
 @pytest.fixture(scope="module")
@@ -167,7 +178,7 @@ def test_tagger_finds_planted_spans(tagger, spark):
         lead = text[:at] + " " + lead.lstrip()
         quote = lead[-1] if lead[-1] in "'\"" else ""
         planted = lead + value + quote + text[at:]
-        got = {s for s in pii.reconciled(pii.decoded(t, [planted], 0.8)[0], pii.pattern_spans(planted))}
+        got = {s for s in pii.reconciled(pii.decoded(t, [planted], 0.8)[0], pii.pattern_spans(planted), planted)}
         want_all, got_all, hit = want_all + 1, got_all + len(got), hit + ((kind, len(lead), len(lead) + len(value)) in got)
     assert want_all > 200 and hit >= 0.9 * want_all and hit >= 0.9 * got_all, (hit, want_all, got_all)
 
