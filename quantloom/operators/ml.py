@@ -236,7 +236,10 @@ def trading_signals(df: DataFrame, confidence_threshold: float = 0.5, strength_t
     return df.withColumn("direction", F.when(low | (F.abs("strength") < strength_threshold), 0).otherwise(side))
 
 
-def filter_signals(df: DataFrame, min_confidence: float = 0.0, min_strength: float = 0.0, direction: int | None = None) -> DataFrame:
+def filter_signals(df: DataFrame, min_confidence: float = 0.0, min_strength: float = 0.0, direction: int | None = None, symbol: str | None = None) -> DataFrame:
+    """Signals of one symbol (in any case) or all, at least as sure and strong as asked for, of one direction or all."""
+    if symbol is not None:
+        df = df.filter(F.upper("symbol") == symbol.strip().upper())
     keep = (F.col("confidence") >= min_confidence) & (F.abs("strength") >= min_strength)
     return df.filter(keep if direction is None else keep & (F.col("direction") == direction))
 

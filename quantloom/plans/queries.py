@@ -403,6 +403,7 @@ es AS (SELECT r.symbol, -any_value(h95) AS var_95, -any_value(h99) AS var_99, -a
 met AS (SELECT *, least(50 * var_99, 3.33) + least(5 * volatility_21, 3.33) + least(10 * max_drawdown, 3.34) AS risk_score, least(100 * var_99, 10) AS var_score, least(10 * volatility_21, 10) AS volatility_score, least(10 * max_drawdown, 10) AS drawdown_score FROM es JOIN vol USING (symbol) JOIN tot USING (symbol))"""
 _MET_ = with_(BARS_SQL, RET_SQL, DD_SQL, _Q, _TOT, _MET)
 add("risk_report", on_bars(report.metrics), _MET_ + "\nFINAL SELECT * FROM met", keys="symbol", r6="var_95 var_99 es_95 es_99 volatility_21 volatility_63 max_drawdown current_drawdown ulcer_index pain_index calmar_ratio risk_score var_score volatility_score drawdown_score")
+add("risk_report_regime", on_bars(lambda df: report.metrics(df).select("symbol", "vol_regime")), f"WITH v AS ({QUERIES['vol_regime'].oracle()})\nSELECT symbol, arg_max(vol_regime, date) FILTER (vol_regime IS NOT NULL) AS vol_regime FROM v GROUP BY symbol")
 add("risk_ranking", on_bars(lambda df: report.ranking(df, "volatility_63")), _MET_ + "\nFINAL SELECT symbol, volatility_63 AS value, row_number() OVER (ORDER BY volatility_63 DESC, symbol) AS rank FROM met", keys="symbol", r6="value", ints="rank")
 add("risk_report_full", on_bars(report.full))
 add(
@@ -557,6 +558,7 @@ FINAL SELECT symbol, avg(pow(expected_return - (probability - 0.5), 2)) AS mse,
 _TS = "ts AS (SELECT *, 2 * abs(probability - 0.5) AS confidence, CASE WHEN 2 * abs(probability - 0.5) < 0.5 THEN 0 ELSE greatest(-1, least(1, 2 * (probability - 0.5) * CASE WHEN expected_return IS NULL THEN 1 ELSE (1 + least(2, abs(expected_return) / 0.02)) / 2 END * 2 * abs(probability - 0.5))) END AS strength, CASE WHEN 2 * abs(probability - 0.5) < 0.5 OR abs(probability - 0.5) < 0.05 THEN 0 WHEN probability > 0.5 THEN 1 ELSE -1 END AS direction FROM sc)"
 add("trading_signals", lambda s, d: ml.trading_signals(_scores(s, d)), "WITH " + _SC + ",\n" + _TS + "\nFINAL SELECT * FROM ts", keys="l_orderkey l_linenumber symbol", r6="confidence strength", ints="direction")
 add("rank_signals", lambda s, d: ml.rank_signals(ml.trading_signals(_scores(s, d)), "expected_return", 25, ties=("l_orderkey", "l_linenumber")), "WITH " + _SC + ",\n" + _TS + "\nFINAL SELECT *, abs(coalesce(expected_return, 0)) AS rank_value FROM ts ORDER BY rank_value DESC, l_orderkey, l_linenumber LIMIT 25", keys="l_orderkey l_linenumber", r6="rank_value strength")
+add("filtered_signals", lambda s, d: ml.filter_signals(ml.trading_signals(_scores(s, d)), 0.6, 0.3, 1, " r "), "WITH " + _SC + ",\n" + _TS + "\nFINAL SELECT * FROM ts WHERE symbol = 'R' AND confidence >= 0.6 AND abs(strength) >= 0.3 AND direction = 1", keys="l_orderkey l_linenumber symbol", r6="confidence strength", ints="direction")
 add("prediction_labels", lambda s, d: ml.prediction_labels(_scores(s, d)), "WITH " + _SC + "\nFINAL SELECT *, CASE WHEN probability > 0.55 THEN 'bullish' WHEN probability < 0.45 THEN 'bearish' ELSE 'neutral' END AS signal, round_even(greatest(probability, 1 - probability), 3) AS confidence, round_even((2 * CAST(probability > 0.5 AS INTEGER) - 1) * greatest(probability, 1 - probability), 3) AS strength FROM sc", keys="l_orderkey l_linenumber signal", r6="confidence strength")
 add("signal_agreement", lambda s, d: ml.agreement(sentiment.signals_absolute(daily(s, d), 0.1, -0.1), sentiment.signals_zscore(daily(s, d))), SIGNALS_ + f"\nFINAL SELECT symbol, count(*) AS days, avg(CAST(a = signal AS INTEGER)) AS agreement FROM (SELECT *, {_LABEL.format(up='sentiment_score > 0.1', down='sentiment_score < -0.1').replace('AS signal', 'AS a')} FROM sig) t GROUP BY symbol", keys="symbol", r6="agreement", longs="days")
 
