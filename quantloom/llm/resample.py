@@ -2,7 +2,7 @@
 
 Features are runs of words. Workers add up n-grams of their batches before the shuffle that counts each string over the
 corpus; each distinct string is hashed once, from that dictionary, and buckets add up the dictionary's counts. A bucket's gain
-goes back through the dictionary to the documents: gains of the most frequent features, a bounded number, are broadcast and
+goes back through the dictionary to the documents: gains of features with a least share of all, a bounded number, are broadcast and
 added up where a document is read; what is left, features of which none is frequent, is joined by its string.
 """
 
@@ -93,17 +93,18 @@ def gains(docs: DataFrame, target: DataFrame, text: str, longest: int, buckets:
     return staged(own.join(table, "bucket").select("feature", "n", "gain"), "dictionary", scope)
 
 
-def weights(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text", longest: int = 1, buckets: int = 10_000, frequent: int = 50_000, scope: str = "query") -> DataFrame:
+def weights(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text", longest: int = 1, buckets: int = 10_000, frequent: int = 500_000, scope: str = "query") -> DataFrame:
     """A row for each document: ``doc_id, n_features, n_words, weight``, the weight being the sum of its features' gains, repeats counted.
 
     Null and empty texts have no features and weight 0; rows that repeat, in id or text or both, are rows of their own;
-    further columns are ignored, and empty tables give no rows (an empty target is smoothed as any other). ``frequent``: how many
-    of the most frequent features are broadcast; it changes no result.
+    further columns are ignored, and empty tables give no rows (an empty target is smoothed as any other). Features that
+    make up 1 / ``frequent`` of all or more are broadcast, so there are ``frequent`` of them at most; it changes no result.
     """
     spark = docs.sparkSession
     known = gains(docs, target, text, longest, buckets, scope)
-    short = known.filter(F.octet_length("feature") <= 100)
-    top = {r.feature.encode(): r.gain for r in short.orderBy(F.desc("n"), "feature").limit(frequent).collect()}
+    least = (known.agg(F.sum("n")).first()[0] or 0) / frequent if frequent else float("inf")
+    short = known.filter((F.col("n") >= least) & (F.octet_length("feature") <= 100))
+    top = {r.feature.encode(): r.gain for r in short.select("feature", "gain").collect()}
     shared = spark.sparkContext.broadcast(top)
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     schema = f"row long, doc_id {numbered.schema['doc_id'].dataType.simpleString()}, n_features long, n_words long, weight long, feature string, n long"

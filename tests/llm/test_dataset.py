@@ -132,7 +132,7 @@ def grams(w, longest):
     return [" ".join(w[i : i + k]) for k in range(1, longest + 1) for i in range(len(w) - k + 1)]
 
 
-@pytest.mark.parametrize(("longest", "frequent", "piece"), [(1, 50_000, 1 << 22), (1, 20, 64), (3, 0, 100)])
+@pytest.mark.parametrize(("longest", "frequent", "piece"), [(1, 500_000, 1 << 22), (1, 20, 64), (3, 0, 100)])
 def test_resample(spark, docs, rows, longest, frequent, piece, monkeypatch):
     monkeypatch.setattr(resample, "PIECE", piece)
     small = docs.filter("coalesce(length(text), 0) < 1000000") if piece < 1000 else docs
