@@ -5,9 +5,9 @@ with planted spans of further spellings (national phone numbers, spelled-out and
 other separators, keys and passwords) or numbers and codes that are none of these, in stretches of the corpus and of
 made-up words. Bare numbers are never labelled as cards: there the checksum decides, which is the patterns' part.
 
-All labelled kinds hold a decimal digit of any script, an at sign or the word "dot", so only windows around these are
-decoded; every stretch of a text that has one is covered by overlapping windows. A document's decoded spans are
-reconciled over all its windows: of overlapping ones that lying furthest inside its window wins, then the surer one.
+Every character of every text is decoded, in overlapping windows. A document's decoded spans are reconciled over all its
+windows: of overlapping ones that lying furthest inside its window wins, then the surer one. Gates and cells use
+x / (1 + |x|), which costs a tenth of exponentials. The best path of a window is traced where it holds a tag.
 Pattern spans always stay; an added span holds each pattern span that it touches whole, and more than it.
 """
 
@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone", "secret")  # the patterns know the first four
 TAGS = 1 + 2 * len(KINDS)
-WIDTH, STRIDE = 96, 48
-HIDDEN, EMBED, CHARS = 32, 16, 99
+WIDTH, STRIDE = 96, 48  # windows to learn from
+LONG, OVERLAP, ROUND = 768, 64, 32  # windows to decode: their most characters, those shared by two in a row, what their width is a multiple of
+EMBED, CHARS = 16, 99
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -38,6 +39,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TRIGGER = re.compile(r"\d|@|(?<!\w)(?:dot|Dot|DOT)(?!\w)")
 TRIGGER = r"\p{Nd}|@|\b(?:dot|Dot|DOT)\b"  # for whole texts: all that hold a trigger, and a few more
+_CLASSES: list[np.ndarray] = []
 _EMAIL = re.compile(r"[\w.%+-]*@[\w-]+(?:\.[\w-]+)*\w")
 _SECRET = re.compile(r"""(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)["']?\s*[=:]\s*["']?([^\s"',;]{8,})""", re.IGNORECASE)
 
@@ -88,8 +90,25 @@ def char_ids(text: str) -> list[int]:
     return [ord(c) - 31 if " " <= c <= "~" else 96 if c.isspace() else 97 if c.isalpha() else 17 + int(c) if c.isdecimal() else 98 for c in text]
 
 
+def classes() -> np.ndarray:
+    """Ids of all code points."""
+    if not _CLASSES:
+        _CLASSES.append(np.array(char_ids("".join(map(chr, range(0x110000)))), dtype=np.uint8))
+    return _CLASSES[0]
+
+
+def places(size: int) -> tuple[int, list[int]]:
+    """Width and starts of the windows to decode in a text of so many characters: as few of one width as hold all of them, two
+    in a row share OVERLAP or more. Width and starts depend on the size alone."""
+    if size <= 0:
+        return 0, []
+    n = max(1, -(-(size - OVERLAP) // (LONG - OVERLAP)))
+    width = -(-(size + (n - 1) * OVERLAP) // (n * ROUND)) * ROUND
+    return width, [i * (width - OVERLAP) for i in range(n)]
+
+
 def windows(text: str) -> list[int]:
-    """Starts of the windows to decode: all of the grid that hold a trigger, and the one before."""
+    """Starts of the windows to learn labels from: all of the grid that hold a trigger, and the one before."""
     starts: set[int] = set()
     for m in _TRIGGER.finditer(text):
         k = m.start() // STRIDE
@@ -115,36 +134,85 @@ def tags_of(spans: list[tuple[str, int, int]], start: int, size: int) -> np.ndar
     return out
 
 
+def soft(x: np.ndarray) -> np.ndarray:
+    return x / (1 + np.abs(x))
+
+
 class Tagger:
     """BiLSTM emissions and linear-chain CRF; arrays are (time, window, ...), both directions side by side in axis 1 of the
     LSTM's. Gates in order: forget, in, out, candidate."""
 
-    def __init__(self, seed: int = 5, dtype: type = np.float32):
+    def __init__(self, seed: int = 5, dtype: type = np.float32, hidden: int = 32):
         r = np.random.default_rng(seed)
         g = lambda *s: r.normal(0, 1 / np.sqrt(s[-2]), s)
-        bias = np.concatenate([np.ones((2, 1, HIDDEN)), np.zeros((2, 1, 3 * HIDDEN))], axis=2)
-        p = {"E": r.normal(0, 0.3, (CHARS, EMBED)), "Wx": g(2, EMBED, 4 * HIDDEN), "Wh": g(2, HIDDEN, 4 * HIDDEN), "b": bias, "Wo": g(2 * HIDDEN, TAGS), "bo": np.zeros(TAGS), "T": np.zeros((TAGS, TAGS))}
+        bias = np.concatenate([np.ones((2, 1, hidden)), np.zeros((2, 1, 3 * hidden))], axis=2)
+        p = {"E": r.normal(0, 0.3, (CHARS, EMBED)), "Wx": g(2, EMBED, 4 * hidden), "Wh": g(2, hidden, 4 * hidden), "b": bias, "Wo": g(2 * hidden, TAGS), "bo": np.zeros(TAGS), "T": np.zeros((TAGS, TAGS))}
         self.p = {k: v.astype(dtype) for k, v in p.items()}
 
+    @property
+    def hidden(self) -> int:
+        return self.p["Wh"].shape[1]
+
     def emissions(self, ids: np.ndarray, keep: bool = False):
         """Tag scores of windows of character ids (a row each), and with ``keep`` what the gradients need."""
         x = self.p["E"][ids].transpose(1, 0, 2)
         x = np.stack([x, x[::-1]], axis=1)
         z = x @ self.p["Wx"] + self.p["b"]
         t, _, n, _ = z.shape
-        h, tape = np.zeros((t + 1, 2, n, HIDDEN), z.dtype), []
-        c = np.zeros((2, n, HIDDEN), z.dtype)
+        h, tape = np.zeros((t + 1, 2, n, self.hidden), z.dtype), []
+        c = np.zeros((2, n, self.hidden), z.dtype)
         for i in range(t):
             zi = z[i] + h[i] @ self.p["Wh"]
-            s, a = 1 / (1 + np.exp(-zi[:, :, : 3 * HIDDEN])), np.tanh(zi[:, :, 3 * HIDDEN :])
-            before, c = c, s[:, :, :HIDDEN] * c + s[:, :, HIDDEN : 2 * HIDDEN] * a
-            tc = np.tanh(c)
-            np.multiply(s[:, :, 2 * HIDDEN :], tc, out=h[i + 1])
+            s, a = 0.5 + 0.5 * soft(zi[:, :, : 3 * self.hidden]), soft(zi[:, :, 3 * self.hidden :])
+            before, c = c, s[:, :, :self.hidden] * c + s[:, :, self.hidden : 2 * self.hidden] * a
+            tc = soft(c)
+            np.multiply(s[:, :, 2 * self.hidden :], tc, out=h[i + 1])
             if keep:
                 tape.append((s, a, before, tc))
         both = np.concatenate([h[1:, 0], h[:0:-1, 1]], axis=2)
         return both @ self.p["Wo"] + self.p["bo"], (x, h, both, tape)
 
+    def quick_emissions(self, ids: np.ndarray) -> np.ndarray:
+        """The same tag scores for decoding alone, as (time, tag, window): characters and states side by side in one product,
+        gates in rows, everything in place."""
+        p, (n, t) = self.p, ids.shape
+        inputs = np.concatenate([p["E"], np.ones((CHARS, 1), p["E"].dtype)], axis=1)
+        x = np.ascontiguousarray(inputs.take(ids.T, axis=0).transpose(0, 2, 1))
+        w = np.ascontiguousarray(np.concatenate([p["Wh"] / 2, p["Wx"], p["b"]], axis=1).transpose(0, 2, 1))  # states are kept doubled
+        both, hx = np.empty((t, 2 * self.hidden, n), x.dtype), np.zeros((2, self.hidden + EMBED + 1, n), x.dtype)
+        z, c = np.empty((2, 4 * self.hidden, n), x.dtype), np.zeros((2, self.hidden, n), x.dtype)
+        size, low = np.empty_like(z), np.empty_like(c)
+        f, gi, o, a = (z[:, k * self.hidden : (k + 1) * self.hidden] for k in range(4))
+        gates, h = z[:, : 3 * self.hidden], hx[:, :self.hidden]
+        for i in range(t):
+            hx[0, self.hidden:], hx[1, self.hidden:] = x[i], x[t - 1 - i]
+            np.matmul(w, hx, out=z)
+            np.abs(z, out=size)
+            size += 1
+            z /= size
+            gates += 1  # twice the gates' values
+            c *= f
+            gi *= a
+            c += gi
+            c *= 0.5
+            np.abs(c, out=low)
+            low += 1
+            np.divide(c, low, out=low)
+            np.multiply(o, low, out=h)
+            both[i, :self.hidden], both[t - 1 - i, self.hidden:] = h[0], h[1]
+        return np.matmul(p["Wo"].T / 2, both) + p["bo"][:, None]
+
+    def open_windows(self, e: np.ndarray) -> np.ndarray:
+        """Windows (of quick emissions) whose best path holds a span: it then beats the path of no tags, which has 0 here."""
+        step = (self.p["T"] - self.p["T"][0, 0])[:, :, None]
+        best, room = e[0] - e[0, 0], np.empty((TAGS, TAGS, e.shape[2]), e.dtype)
+        for x in e[1:]:
+            np.add(best[:, None], step, out=room)
+            best = room.max(axis=0)
+            best += x
+            best -= x[0]
+        return np.flatnonzero(best.max(axis=0) > 0)
+
     def marginals(self, e: np.ndarray):
         """Forward-backward over e, scaled at each step: tag marginals, expected transitions, log partition."""
         top, m = e.max(axis=2, keepdims=True), np.exp(self.p["T"])
@@ -169,17 +237,17 @@ class Tagger:
         de, g = prob / n, {"T": pair / n}
         g["Wo"], g["bo"] = both.reshape(t * n, -1).T @ de.reshape(t * n, -1), de.sum(axis=(0, 1))
         dh = de @ self.p["Wo"].T
-        dh = np.stack([dh[:, :, :HIDDEN], dh[::-1, :, HIDDEN:]], axis=1)
-        dz, back = np.empty((t, 2, n, 4 * HIDDEN), e.dtype), self.p["Wh"].transpose(0, 2, 1)
-        nh, nc = np.zeros((2, n, HIDDEN), e.dtype), np.zeros((2, n, HIDDEN), e.dtype)
+        dh = np.stack([dh[:, :, :self.hidden], dh[::-1, :, self.hidden:]], axis=1)
+        dz, back = np.empty((t, 2, n, 4 * self.hidden), e.dtype), self.p["Wh"].transpose(0, 2, 1)
+        nh, nc = np.zeros((2, n, self.hidden), e.dtype), np.zeros((2, n, self.hidden), e.dtype)
         for i in range(t - 1, -1, -1):
             s, a, before, tc = tape[i]
-            f, gi, o = s[:, :, :HIDDEN], s[:, :, HIDDEN : 2 * HIDDEN], s[:, :, 2 * HIDDEN :]
+            f, gi, o = s[:, :, :self.hidden], s[:, :, self.hidden : 2 * self.hidden], s[:, :, 2 * self.hidden :]
             own = dh[i] + nh
-            c = nc + own * o * (1 - tc * tc)
-            dz[i, :, :, :HIDDEN], dz[i, :, :, HIDDEN : 2 * HIDDEN] = c * before, c * a
-            dz[i, :, :, 2 * HIDDEN : 3 * HIDDEN], dz[i, :, :, 3 * HIDDEN :] = own * tc, c * gi * (1 - a * a)
-            dz[i, :, :, : 3 * HIDDEN] *= s * (1 - s)
+            c = nc + own * o * (1 - np.abs(tc)) ** 2
+            dz[i, :, :, :self.hidden], dz[i, :, :, self.hidden : 2 * self.hidden] = c * before, c * a
+            dz[i, :, :, 2 * self.hidden : 3 * self.hidden], dz[i, :, :, 3 * self.hidden :] = own * tc, c * gi * (1 - np.abs(a)) ** 2
+            dz[i, :, :, : 3 * self.hidden] *= 0.5 * (1 - np.abs(2 * s - 1)) ** 2
             nh, nc = dz[i] @ back, c * f
         flat = lambda v: v.transpose(1, 0, 2, 3).reshape(2, t * n, -1)
         g["Wx"], g["Wh"], g["b"] = flat(x).transpose(0, 2, 1) @ flat(dz), flat(h[:-1]).transpose(0, 2, 1) @ flat(dz), dz.sum(axis=(0, 2))[:, None, :]
@@ -204,10 +272,15 @@ class Tagger:
                     self.p[k] -= now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best tags of each window (Viterbi), and how sure each is (its marginal)."""
-        e, _ = self.emissions(ids)
-        prob, tags = self.marginals(e)[0], self.path(e)
-        return tags, np.take_along_axis(prob.transpose(1, 0, 2), tags[:, :, None], axis=2)[:, :, 0]
+        """Best tags of each window (Viterbi), and how sure each is (its marginal, 0 in windows without any span)."""
+        tags, sure = np.zeros(ids.shape, dtype=np.int64), np.zeros(ids.shape, dtype=self.p["E"].dtype)
+        e = self.quick_emissions(ids)
+        some = self.open_windows(e)
+        if len(some):
+            e = np.ascontiguousarray(e[:, :, some].transpose(0, 2, 1))
+            tags[some] = best = self.path(e)
+            sure[some] = np.take_along_axis(self.marginals(e)[0].transpose(1, 0, 2), best[:, :, None], axis=2)[:, :, 0]
+        return tags, sure
 
     def path(self, e: np.ndarray) -> np.ndarray:
         """Viterbi's best tags for emissions e (time first), a row for each window."""
@@ -254,7 +327,7 @@ def generated(n: int, seed: int = 3, stretches: tuple[str, ...] = ()) -> list[tu
 
     def key() -> tuple[str, str]:
         name = r.choice(["token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "api-key", "access_key", "auth_token", "client_secret", "key"])
-        value = r.choice([hexed(40), hexed(32), hexed(r.randint(16, 44)), num(1) + "".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789_-") for _ in range(r.randint(10, 38)))])
+        value = r.choice([hexed(40), hexed(32), hexed(r.randint(16, 44)), "".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ") for _ in range(r.randint(10, 30))), num(1) + "".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789_-") for _ in range(r.randint(10, 38)))])
         quote = r.choice(['"', "'", "", '"'])
         return f"{case(name)}{r.choice([' = ', '=', ': ', ':'])}{quote}", value + "|" + quote
 
@@ -273,7 +346,7 @@ def generated(n: int, seed: int = 3, stretches: tuple[str, ...] = ()) -> list[tu
         lambda: f"{num(2)}.{num(2)}.{num(4)}", lambda: f"{word()} dot {word()}", lambda: f"978-{num(1)}-{num(2)}-{num(6)}-{num(1)}", lambda: f"{num(4)}-{num(2)}-{num(2)} {num(2)}:{num(2)}:{num(2)}", lambda: f"{num(2)}-{num(2)}", lambda: f"BY-NC {num(1)}.0", lambda: f"sha256 {hexed(40)}", lambda: f"{num(1)}.{num(1)}.{num(1)}.{r.randint(300, 9999)}",
     ]
     for _ in range(n):
-        some = lambda sep: sep.join(case(word()) for _ in range(r.randint(1, 7)))
+        some = lambda sep: sep.join([case(word())] * r.randint(5, 20) if r.random() < 0.1 else [case(word()) for _ in range(r.randint(1, 7))])
         fill = lambda: r.choice(stretches) if stretches and r.random() < 0.6 else some(" ") if r.random() < 0.9 else some("!! ").upper()
         text, spans = fill(), []
         for _ in range(r.choice([0, 1, 1, 2, 2, 2, 3, 3, 3])):
@@ -309,10 +382,20 @@ def quiet(text: str) -> list[str]:
     return [x.strip() for x in _TRIGGER.split(text) if len(x.strip()) >= 12]
 
 
-def fit(docs: DataFrame, sample_windows: int = 2500, generated_windows: int = 8000, epochs: int = 4, text: str = "text") -> bytes:
+def fit(docs: DataFrame, sample_windows: int = 2500, generated_windows: int = 24000, epochs: int = 5, text: str = "text", plain_windows: int = 2500) -> bytes:
     """Train a tagger; its parameters, pickled. ``sample_windows`` bounds the corpus windows: those with the smallest
-    hash, of all windows of all texts that hold a trigger. Null texts teach nothing; without any text it learns from
-    made-up windows."""
+    hash, of all windows of all texts that hold a trigger; ``plain_windows`` bounds those drawn from all windows, one at a
+    hashed place of each text. Null texts teach nothing; without any text it learns from made-up windows."""
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for x in filter(None, b.column(0).to_pylist()):
+                digest = hashlib.md5(x.encode("utf-8", "surrogatepass")).hexdigest()
+                rows.append((digest, int(digest[:12], 16) % max(1, len(x) - WIDTH), x))
+            rows = sorted(rows)[:plain_windows]
+            rows = [(at, x[s : s + WIDTH], tags_of(labelled(x), s, min(WIDTH, len(x))).tolist()) for at, s, x in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.list_(pa.int64())))], ["at", "part", "tags"])
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -333,12 +416,14 @@ def fit(docs: DataFrame, sample_windows: int = 2500, generated_windows: int = 80
         made = generated(generated_windows, stretches=tuple(x for part in group["part"] for x in quiet(part)))
         ids = np.concatenate([padded(group["part"].tolist()), padded([t for t, _ in made])])
         tags = np.concatenate([*[np.asarray(x, dtype=np.int64).reshape(1, -1) for x in group["tags"]], *[tags_of(s, 0, len(t)).reshape(1, -1) for t, s in made]])
-        tagger = Tagger()
+        tagger = Tagger(hidden=16)
         tagger.fit(ids, tags, epochs)
         return pd.DataFrame({"model": [pickle.dumps(tagger.p)]})
 
     spark = docs.sparkSession
-    some = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(examples, "at string, part string, tags array<long>").orderBy("at", "part").limit(sample_windows)
+    texts, kinds = docs.select(F.col(text).cast("string").alias("text")), "at string, part string, tags array<long>"
+    some = texts.mapInArrow(examples, kinds).orderBy("at", "part").limit(sample_windows)
+    some = some.unionByName(texts.mapInArrow(drawn, kinds).orderBy("at", "part").limit(plain_windows))
     one = spark.createDataFrame([(None, None, None)], "at string, part string, tags array<long>")  # trains on generated windows where there are none
     return bytes(some.unionByName(one).groupBy(F.lit("all").alias("part_")).applyInPandas(train, "model binary").first()[0])
 
@@ -346,30 +431,51 @@ def fit(docs: DataFrame, sample_windows: int = 2500, generated_windows: int = 80
 def decoded(tagger: Tagger, texts: list[str], sure: float) -> list[list[tuple[int, float, str, int, int]]]:
     """Of each text the spans its windows are ``sure`` of: how far inside its window each lies (an end of the text counts
     as far), its mean marginal, kind, start and stop, without white space at its ends."""
-    place = [(i, s) for i, t in enumerate(texts) for s in windows(t)]
+    ids = classes()[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+    ids, first = np.concatenate([ids, np.zeros(LONG + ROUND, np.uint8)]), np.cumsum([0, *map(len, texts)])
     found: list[list[tuple]] = [[] for _ in texts]
-    for k in range(0, len(place), 256):
-        part = place[k : k + 256]
-        tags, prob = tagger.decode(padded([texts[i][s : s + WIDTH] for i, s in part]))
-        for row in np.flatnonzero(tags.any(axis=1)).tolist():
-            i, s = part[row]
-            size, a = min(WIDTH, len(texts[i]) - s), 0
-            while a < size:
-                kind = (int(tags[row, a]) - 1) // 2
-                if kind < 0:
-                    a += 1
-                    continue
-                z = a + 1
-                while z < size and tags[row, z] == 2 + 2 * kind:
-                    z += 1
-                p, word = float(prob[row, a:z].mean()), texts[i][s + a : s + z]
-                if p >= sure and word.strip():
-                    inside = min(a if s else WIDTH, WIDTH - z if s + WIDTH < len(texts[i]) else WIDTH)
-                    found[i].append((inside, p, KINDS[kind], s + z - len(word.lstrip()), s + a + len(word.rstrip())))
-                a = z
+    for width, place in sorted(by_width(texts).items()):
+        for k in range(0, len(place), 256):
+            part = place[k : k + 256]
+            inside = np.arange(width)
+            some = ids[np.array([first[i] + s for i, s in part])[:, None] + inside]
+            some[inside >= np.array([len(texts[i]) - s for i, s in part])[:, None]] = 0
+            tags, prob = tagger.decode(some)
+            for row in np.flatnonzero(tags.any(axis=1)).tolist():
+                i, s = part[row]
+                found[i] += window_spans(texts[i], s, width, tags[row], prob[row], sure)
     return found
 
 
+def by_width(texts: list[str]) -> dict[int, list[tuple[int, int]]]:
+    """Windows to decode, as places of the text and their starts, by their padded width, which depends on the text alone."""
+    out: dict[int, list[tuple[int, int]]] = {}
+    for i, t in enumerate(texts):
+        width, starts = places(len(t))
+        if starts:
+            out.setdefault(width, []).extend((i, s) for s in starts)
+    return out
+
+
+def window_spans(text: str, s: int, width: int, tags: np.ndarray, prob: np.ndarray, sure: float) -> list[tuple]:
+    """The spans of a window that starts at ``s``, as ``decoded`` gives them."""
+    out, size, a = [], min(width, len(text) - s), 0
+    while a < size:
+        kind = (int(tags[a]) - 1) // 2
+        if kind < 0:
+            a += 1
+            continue
+        z = a + 1
+        while z < size and tags[z] == 2 + 2 * kind:
+            z += 1
+        p, word = float(prob[a:z].mean()), text[s + a : s + z]
+        if p >= sure and word.strip():
+            inside = min(a if s else LONG, width - z if s + width < len(text) else LONG)
+            out.append((inside, p, KINDS[kind], s + z - len(word.lstrip()), s + a + len(word.rstrip())))
+        a = z
+    return out
+
+
 def reconciled(found: list[tuple[int, float, str, int, int]], base: list[tuple[str, int, int]], text: str) -> list[tuple[str, int, int]]:
     """One text's added spans: in order of depth in the window, then sureness, each that overlaps none before. One that touches
     pattern spans must hold them whole, be of their kind and go further without a blank, as an address with a letter that its
@@ -390,12 +496,10 @@ def reconciled(found: list[tuple[int, float, str, int, int]], base: list[tuple[s
 
 def text_spans(tagger: Tagger, col: pa.Array, sure: float) -> Iterator[tuple[int, list, list]]:
     """Rows of a column that have pattern or added spans, with the pattern ones and all, by kind, then start."""
-    some = np.flatnonzero(pc.match_substring_regex(col, TRIGGER).to_numpy(zero_copy_only=False))
-    for k in range(0, len(some), 256):
-        rows = some[k : k + 256]
-        texts = col.take(pa.array(rows)).to_pylist()
+    for k in range(0, len(col), 2048):
+        texts = col.slice(k, 2048).to_pylist()
         base = [pattern_spans(t) for t in texts]
-        for i, t, own, more in zip(rows.tolist(), texts, base, decoded(tagger, texts, sure), strict=True):
+        for i, t, own, more in zip(range(k, k + len(texts)), texts, base, decoded(tagger, texts, sure), strict=True):
             every = sorted([*own, *reconciled(more, own, t)], key=lambda s: (KINDS.index(s[0]), *s[1:]))
             if every:
                 yield i, own, every

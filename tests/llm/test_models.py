@@ -312,3 +312,29 @@ def test_token_shards_go_by_bytes(spark, tmp_path, monkeypatch):
     docs = spark.range(60).selectExpr("id as doc_id", "repeat('some words ', 20) as text")
     shards = codes.write_tokens(docs, f"file://{tmp_path}/t", public_tokenizers.path("byte_bpe_50k.json"))
     assert shards.count() >= 5 and shards.agg({"docs": "sum"}).first()[0] == 60
+
+
+def test_windows_to_decode_hold_every_character():
+    for n in [*range(1, 3000, 7), 100_003]:
+        width, starts = pii.places(n)
+        assert width <= pii.LONG and starts[0] == 0 and n <= starts[-1] + width < n + pii.ROUND * len(starts)
+        assert all(0 < b - a <= width - pii.OVERLAP for a, b in itertools.pairwise(starts))
+    assert pii.places(0) == (0, [])
+
+
+def test_quick_decoding_equals_the_plain_one():
+    t, r = pii.Tagger(), np.random.default_rng(3)
+    for lean in (0.0, 1.0, 2.0):
+        t.p["bo"][0] = lean
+        ids = r.integers(0, pii.CHARS, (50, 90))
+        e, _ = t.emissions(ids)
+        best, quick = t.path(e), t.quick_emissions(ids)
+        assert np.allclose(e.transpose(0, 2, 1), quick, atol=1e-5)
+        assert (t.decode(ids)[0] == best).all() and set(t.open_windows(quick)) == set(np.flatnonzero(best.any(axis=1)))
+
+
+def test_spans_without_triggers_are_found(tagger, spark):
+    text = 'we set the password = "qJvTbKzWmRhYcXsLpD" for now'
+    assert not pii.windows(text)
+    (row,) = pii.personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string"), tagger).collect()
+    assert [(s.kind, text[s.start : s.stop]) for s in row.spans] == [("secret", "qJvTbKzWmRhYcXsLpD")]
