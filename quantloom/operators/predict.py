@@ -36,9 +36,12 @@ class Scaler:
 def return_confidence(df: DataFrame, prediction: str = "expected_return", by: str = "symbol") -> DataFrame:
     """Add ``return_confidence``: 1 / (1 + |z|) of a prediction among those of its symbol, one half where all are equal.
     Null predictions have none."""
-    w = Window.partitionBy(by)
-    z = (F.col(prediction) - F.avg(prediction).over(w)) / F.nullif(F.stddev_pop(prediction).over(w), F.lit(0.0))
-    return df.withColumn("return_confidence", F.when(F.col(prediction).isNotNull(), F.coalesce(1 / (1 + F.abs(z)), F.lit(0.5))))
+    x = F.col(prediction)
+    figures = df.groupBy(F.col(by).alias("_by")).agg(F.avg(x).alias("_mean"), F.when(F.max(x) > F.min(x), F.stddev_pop(x)).alias("_std"))
+    # A row a symbol: rows of one symbol stay where they are, in as many tasks as there were.
+    rows = df.join(F.broadcast(figures), F.col(by).eqNullSafe(F.col("_by")), "left")
+    z = (x - F.col("_mean")) / F.nullif(F.col("_std"), F.lit(0.0))
+    return rows.withColumn("return_confidence", F.when(x.isNotNull(), F.coalesce(1 / (1 + F.abs(z)), F.lit(0.5)))).drop("_by", "_mean", "_std")
 
 
 PRICES = ("open", "high", "low", "close", "volume")

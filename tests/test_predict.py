@@ -128,3 +128,19 @@ def test_exponential_means_of_span_one_and_with_gaps(spark):
     assert [r.one for r in got] == values and [r.three for r in got] == [1.0, 1.5, None, None, 3.25, 4.625]
     with pytest.raises(ValueError):
         ewm_mean(df, {"none": ("x", 0)})
+
+
+def test_return_confidence_keeps_rows_of_a_symbol_in_their_tasks(spark):
+    some = [("a", float(i % 7)) for i in range(60)] + [(None, float(i)) for i in range(5)] + [("one", 0.1)] * 9 + [("gap", None), ("gap", 2.0)]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(some)], "id int, symbol string, expected_return double").repartition(4)
+    got = predict.return_confidence(df)
+    assert got.columns == [*df.columns, "return_confidence"]
+    assert got.filter("symbol = 'a'").select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    found = {r.id: r.return_confidence for r in got.collect()}
+    assert len(found) == len(some)
+    for i, (symbol, x) in enumerate(some):
+        own = [v for s, v in some if s == symbol and v is not None]
+        mean = sum(own) / len(own)
+        std = (sum((v - mean) ** 2 for v in own) / len(own)) ** 0.5
+        want = None if x is None else 0.5 if min(own) == max(own) else 1 / (1 + abs(x - mean) / std)
+        assert found[i] == (want if want is None else pytest.approx(want))
