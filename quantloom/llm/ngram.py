@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mounted
+from .common import give_back, mounted
 from .words import SPACES, mix, slices, spans, word_hashes
 
 BEGIN, END, FLUSH = 0, 1, 1 << 22
@@ -387,12 +387,17 @@ def score(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "tex
             _MAPPED.clear()
             _MAPPED[model["folder"]] = Mapped(model)
         mapped = _MAPPED[model["folder"]]
-        for part, data, offsets in slices(batches):
-            grams, first = token_grams(data, offsets, model["order"])
-            p, base, known = mapped.scores(grams)
-            n, at = np.diff(first), first[:-1]
-            p, base, known = np.add.reduceat(p, at), np.add.reduceat(base, at), np.add.reduceat(known.astype(np.int64), at)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(known), pa.array(base), pa.array(p), pa.array(10 ** (-p / n))], ["doc_id", "n_tokens", "n_known", "base_score", "score", "perplexity"])
+        try:
+            for part, data, offsets in slices(batches):
+                grams, first = token_grams(data, offsets, model["order"])
+                p, base, known = mapped.scores(grams)
+                n, at = np.diff(first), first[:-1]
+                p, base, known = np.add.reduceat(p, at), np.add.reduceat(base, at), np.add.reduceat(known.astype(np.int64), at)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(known), pa.array(base), pa.array(p), pa.array(10 ** (-p / n))], ["doc_id", "n_tokens", "n_known", "base_score", "score", "perplexity"])
+        finally:
+            _MAPPED.clear()
+            del mapped
+            give_back()
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double, perplexity double")
