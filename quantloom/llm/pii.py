@@ -14,6 +14,7 @@ Pattern spans always stay; an added span holds each pattern span that it touches
 from __future__ import annotations
 
 import hashlib
+import itertools
 import pickle
 import random
 import re
@@ -30,6 +31,7 @@ KINDS = ("email", "ip", "card", "phone", "secret")  # the patterns know the firs
 TAGS = 1 + 2 * len(KINDS)
 WIDTH, STRIDE = 96, 48  # windows to learn from
 LONG, OVERLAP, ROUND = 768, 64, 32  # windows to decode: their most characters, those shared by two in a row, what their width is a multiple of
+BLOCK, GROUP = 384, 1 << 23  # most windows decoded side by side, characters of texts whose windows are sorted by width together
 EMBED, CHARS = 16, 99
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -42,6 +44,7 @@ TRIGGER = r"\p{Nd}|@|\b(?:dot|Dot|DOT)\b"  # for whole texts: all that hold a tr
 _CLASSES: list[np.ndarray] = []
 _EMAIL = re.compile(r"[\w.%+-]*@[\w-]+(?:\.[\w-]+)*\w")
 _SECRET = re.compile(r"""(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)["']?\s*[=:]\s*["']?([^\s"',;]{8,})""", re.IGNORECASE)
+_NAMES = ("token", "secret", "passw", "pwd", "key")  # each match of _SECRET, folded, holds one
 
 
 def luhn(digits: str) -> bool:
@@ -120,8 +123,10 @@ def labelled(text: str) -> list[tuple[str, int, int]]:
     """The spans that the tagger learns from a text of the corpus: those of the patterns but cards, addresses with their
     letters outside ASCII, and values of keys and passwords."""
     out = [s for s in pattern_spans(text) if s[0] in ("ip", "phone")]
-    out += [("email", *m.span()) for m in _EMAIL.finditer(text) if pattern_spans(m.group())]
-    return out + [("secret", *m.span(1)) for m in _SECRET.finditer(text)]
+    if "@" in text:
+        out += [("email", *m.span()) for m in _EMAIL.finditer(text) if pattern_spans(m.group())]
+    folded = text.casefold()
+    return out + [("secret", *m.span(1)) for m in _SECRET.finditer(text)] if any(x in folded for x in _NAMES) else out
 
 
 def tags_of(spans: list[tuple[str, int, int]], start: int, size: int) -> np.ndarray:
@@ -173,23 +178,32 @@ class Tagger:
         return both @ self.p["Wo"] + self.p["bo"], (x, h, both, tape)
 
     def quick_emissions(self, ids: np.ndarray) -> np.ndarray:
-        """The same tag scores for decoding alone, as (time, tag, window): characters and states side by side in one product,
-        gates in rows, everything in place."""
-        p, (n, t) = self.p, ids.shape
-        inputs = np.concatenate([p["E"], np.ones((CHARS, 1), p["E"].dtype)], axis=1)
-        x = np.ascontiguousarray(inputs.take(ids.T, axis=0).transpose(0, 2, 1))
-        w = np.ascontiguousarray(np.concatenate([p["Wh"] / 2, p["Wx"], p["b"]], axis=1).transpose(0, 2, 1))  # states are kept doubled
-        both, hx = np.empty((t, 2 * self.hidden, n), x.dtype), np.zeros((2, self.hidden + EMBED + 1, n), x.dtype)
-        z, c = np.empty((2, 4 * self.hidden, n), x.dtype), np.zeros((2, self.hidden, n), x.dtype)
-        size, low = np.empty_like(z), np.empty_like(c)
-        f, gi, o, a = (z[:, k * self.hidden : (k + 1) * self.hidden] for k in range(4))
-        gates, h = z[:, : 3 * self.hidden], hx[:, :self.hidden]
-        for i in range(t):
-            hx[0, self.hidden:], hx[1, self.hidden:] = x[i], x[t - 1 - i]
-            np.matmul(w, hx, out=z)
-            np.abs(z, out=size)
-            size += 1
-            z /= size
+        """The same tag scores for decoding alone, as (time, tag, window): one product a step gives the gates, from states and
+        characters side by side, and the scores of the states before; gates in rows, everything in place."""
+        p, (n, t), size = self.p, ids.shape, self.hidden
+        w = np.zeros((2, size + EMBED + 1, 4 * size + TAGS), p["E"].dtype)
+        w[:, :, : 4 * size] = np.concatenate([p["Wh"] / 2, p["Wx"], p["b"]], axis=1)  # states are kept doubled
+        w[0, :size, 4 * size :], w[1, :size, 4 * size :] = p["Wo"][:size] / 2, p["Wo"][size:] / 2
+        w, chars, at = w.transpose(0, 2, 1), np.ascontiguousarray(p["E"].T), ids.T.astype(np.intp)
+        hx, e = np.zeros((2, size + EMBED + 1, n), w.dtype), np.empty((t, TAGS, n), w.dtype)
+        e[:] = p["bo"][:, None]
+        hx[:, -1] = 1
+        both, c = np.empty((2, 4 * size + TAGS, n), w.dtype), np.zeros((2, size, n), w.dtype)
+        z, (ahead, behind) = both[:, : 4 * size], both[:, 4 * size :]
+        f, gi, o, a = (z[:, k * size : (k + 1) * size] for k in range(4))
+        gates, h, xs = z[:, : 3 * size], hx[:, :size], hx[:, size:-1]
+        room, low = np.empty((2, 4 * size, n), w.dtype), np.empty_like(c)
+        for i in range(t + 1):
+            if i < t:
+                chars.take(at[i], axis=1, out=xs[0], mode="clip")
+                chars.take(at[t - 1 - i], axis=1, out=xs[1], mode="clip")
+            np.matmul(w, hx, out=both)
+            if i:
+                e[i - 1] += ahead
+                e[t - i] += behind
+            np.abs(z, out=room)
+            room += 1
+            z /= room
             gates += 1  # twice the gates' values
             c *= f
             gi *= a
@@ -199,19 +213,40 @@ class Tagger:
             low += 1
             np.divide(c, low, out=low)
             np.multiply(o, low, out=h)
-            both[i, :self.hidden], both[t - 1 - i, self.hidden:] = h[0], h[1]
-        return np.matmul(p["Wo"].T / 2, both) + p["bo"][:, None]
+        return e
 
     def open_windows(self, e: np.ndarray) -> np.ndarray:
-        """Windows (of quick emissions) whose best path holds a span: it then beats the path of no tags, which has 0 here."""
-        step = (self.p["T"] - self.p["T"][0, 0])[:, :, None]
-        best, room = e[0] - e[0, 0], np.empty((TAGS, TAGS, e.shape[2]), e.dtype)
-        for x in e[1:]:
-            np.add(best[:, None], step, out=room)
-            best = room.max(axis=0)
-            best += x
-            best -= x[0]
-        return np.flatnonzero(best.max(axis=0) > 0)
+        """Windows (of quick emissions) whose best path holds a span."""
+        some = self.candidates(e)
+        return some[self.best(e[:, :, some])[0].any(axis=1)]
+
+    def candidates(self, e: np.ndarray) -> np.ndarray:
+        """Windows (of quick emissions) but those whose best path is surely that of no tags; hardly more than the open ones."""
+        return np.flatnonzero(self.bound(e) > -0.01)
+
+    def bound(self, e: np.ndarray) -> np.ndarray:
+        """Of each window (of quick emissions) a score that no path with a span beats, where the path of no tags has 0: first and
+        inner tags count as one each, with the best score and the best transitions of their kinds."""
+        step = self.p["T"] - self.p["T"][0, 0]
+        kinds = [step[1 + k :: 2, 1 + j :: 2].max() for k in range(2) for j in range(2)]
+        first, inner = np.array(kinds[:2], e.dtype)[:, None], np.array(kinds[2:], e.dtype)[:, None]
+        enter = np.array([step[0, 1::2].max(), step[0, 2::2].max()], e.dtype)[:, None]
+        leave = np.array([step[1::2, 0].max(), step[2::2, 0].max()], e.dtype)[:, None]
+        x = e[:, 1:3].copy()
+        for k in range(3, TAGS, 2):
+            np.maximum(x, e[:, k : k + 2], out=x)
+        x -= e[:, :1]
+        now, top = x[0].copy(), x[0] + leave
+        more, room = np.empty_like(now), np.empty_like(now)
+        for y in x[1:]:
+            np.add(now[:1], first, out=room)
+            np.add(now[1:], inner, out=more)
+            np.maximum(room, more, out=room)
+            np.maximum(room, enter, out=room)
+            np.add(room, y, out=now)
+            np.add(now, leave, out=more)
+            np.maximum(top, more, out=top)
+        return np.maximum(top, now).max(axis=0)
 
     def marginals(self, e: np.ndarray):
         """Forward-backward over e, scaled at each step: tag marginals, expected transitions, log partition."""
@@ -275,11 +310,17 @@ class Tagger:
         """Best tags of each window (Viterbi), and how sure each is (its marginal, 0 in windows without any span)."""
         tags, sure = np.zeros(ids.shape, dtype=np.int64), np.zeros(ids.shape, dtype=self.p["E"].dtype)
         e = self.quick_emissions(ids)
-        some = self.open_windows(e)
+        some = self.candidates(e)
+        tags[some], sure[some] = self.best(e[:, :, some])
+        return tags, sure
+
+    def best(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of quick emissions."""
+        e = np.ascontiguousarray(e.transpose(0, 2, 1))
+        tags = self.path(e)
+        sure, some = np.zeros(tags.shape, e.dtype), np.flatnonzero(tags.any(axis=1))
         if len(some):
-            e = np.ascontiguousarray(e[:, :, some].transpose(0, 2, 1))
-            tags[some] = best = self.path(e)
-            sure[some] = np.take_along_axis(self.marginals(e)[0].transpose(1, 0, 2), best[:, :, None], axis=2)[:, :, 0]
+            sure[some] = np.take_along_axis(self.marginals(e[:, some])[0].transpose(1, 0, 2), tags[some][:, :, None], axis=2)[:, :, 0]
         return tags, sure
 
     def path(self, e: np.ndarray) -> np.ndarray:
@@ -382,34 +423,40 @@ def quiet(text: str) -> list[str]:
     return [x.strip() for x in _TRIGGER.split(text) if len(x.strip()) >= 12]
 
 
+def smallest(batches: Iterator[Iterator[tuple[str, int, str]]], n: int) -> Iterator[pa.RecordBatch]:
+    """Labelled windows of (hash, start, text): of a task's those with the n smallest hashes, with some more. Texts are labelled when
+    their windows are chosen."""
+    seen: list[str] = []  # smallest hashes so far
+    for rows in batches:
+        last = seen[-1] if len(seen) >= n else "g"  # after all hashes
+        rows = sorted((r for r in rows if r[0] <= last), key=lambda r: r[0])[:n]
+        seen = sorted([*seen, *(r[0] for r in rows)])[:n]
+        spans = {x: labelled(x) for x in {r[2] for r in rows}}
+        out = [[at for at, _, _ in rows], [x[s : s + WIDTH] for _, s, x in rows], [tags_of(spans[x], s, min(WIDTH, len(x) - s)).tolist() for _, s, x in rows]]
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.string(), pa.string(), pa.list_(pa.int64())), strict=True)], ["at", "part", "tags"])
+
+
 def fit(docs: DataFrame, sample_windows: int = 2500, generated_windows: int = 24000, epochs: int = 5, text: str = "text", plain_windows: int = 2500) -> bytes:
     """Train a tagger; its parameters, pickled. ``sample_windows`` bounds the corpus windows: those with the smallest
     hash, of all windows of all texts that hold a trigger; ``plain_windows`` bounds those drawn from all windows, one at a
     hashed place of each text. Null texts teach nothing; without any text it learns from made-up windows."""
 
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
+        def rows(b: pa.RecordBatch) -> Iterator[tuple[str, int, str]]:
             for x in filter(None, b.column(0).to_pylist()):
                 digest = hashlib.md5(x.encode("utf-8", "surrogatepass")).hexdigest()
-                rows.append((digest, int(digest[:12], 16) % max(1, len(x) - WIDTH), x))
-            rows = sorted(rows)[:plain_windows]
-            rows = [(at, x[s : s + WIDTH], tags_of(labelled(x), s, min(WIDTH, len(x))).tolist()) for at, s, x in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.list_(pa.int64())))], ["at", "part", "tags"])
+                yield digest, int(digest[:12], 16) % max(1, len(x) - WIDTH), x
+
+        return smallest(map(rows, batches), plain_windows)
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        def rows(b: pa.RecordBatch) -> Iterator[tuple[str, int, str]]:
             col = b.column(0).fill_null("")
-            col = col.filter(pc.match_substring_regex(col, TRIGGER))
-            rows = []
-            for x in col.to_pylist():
-                starts = windows(x)
-                spans = labelled(x) if starts else []
-                for s in starts:
-                    part = x[s : s + WIDTH]
-                    rows.append((hashlib.md5(part.encode("utf-8", "surrogatepass")).hexdigest(), part, tags_of(spans, s, len(part)).tolist()))
-            rows = sorted(rows, key=lambda r: r[0])[:sample_windows]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.list_(pa.int64())))], ["at", "part", "tags"])
+            for x in col.filter(pc.match_substring_regex(col, TRIGGER)).to_pylist():
+                for s in windows(x):
+                    yield hashlib.md5(x[s : s + WIDTH].encode("utf-8", "surrogatepass")).hexdigest(), s, x
+
+        return smallest(map(rows, batches), sample_windows)
 
     def train(group: pd.DataFrame) -> pd.DataFrame:
         group = group[group["part"].notna()].sort_values(["at", "part"])
@@ -435,15 +482,20 @@ def decoded(tagger: Tagger, texts: list[str], sure: float) -> list[list[tuple[in
     ids, first = np.concatenate([ids, np.zeros(LONG + ROUND, np.uint8)]), np.cumsum([0, *map(len, texts)])
     found: list[list[tuple]] = [[] for _ in texts]
     for width, place in sorted(by_width(texts).items()):
-        for k in range(0, len(place), 256):
-            part = place[k : k + 256]
-            inside = np.arange(width)
+        blocks, inside, held = -(-len(place) // BLOCK), np.arange(width), []
+        for k in range(blocks):
+            part = place[k * len(place) // blocks : (k + 1) * len(place) // blocks]
             some = ids[np.array([first[i] + s for i, s in part])[:, None] + inside]
             some[inside >= np.array([len(texts[i]) - s for i, s in part])[:, None]] = 0
-            tags, prob = tagger.decode(some)
+            e = tagger.quick_emissions(some)
+            held += [(*part[w], e[:, :, w].copy()) for w in tagger.candidates(e).tolist()]
+            if not held or len(held) < BLOCK and k + 1 < blocks:
+                continue
+            tags, prob = tagger.best(np.stack([x for _, _, x in held], axis=2))
             for row in np.flatnonzero(tags.any(axis=1)).tolist():
-                i, s = part[row]
+                i, s, _ = held[row]
                 found[i] += window_spans(texts[i], s, width, tags[row], prob[row], sure)
+            held = []
     return found
 
 
@@ -496,10 +548,12 @@ def reconciled(found: list[tuple[int, float, str, int, int]], base: list[tuple[s
 
 def text_spans(tagger: Tagger, col: pa.Array, sure: float) -> Iterator[tuple[int, list, list]]:
     """Rows of a column that have pattern or added spans, with the pattern ones and all, by kind, then start."""
-    for k in range(0, len(col), 2048):
-        texts = col.slice(k, 2048).to_pylist()
+    ends = np.cumsum(pc.utf8_length(col).to_numpy(zero_copy_only=False), dtype=np.int64) // GROUP
+    cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(col)]
+    for k, stop in itertools.pairwise(cuts):
+        texts = col.slice(k, stop - k).to_pylist()
         base = [pattern_spans(t) for t in texts]
-        for i, t, own, more in zip(range(k, k + len(texts)), texts, base, decoded(tagger, texts, sure), strict=True):
+        for i, t, own, more in zip(range(k, stop), texts, base, decoded(tagger, texts, sure), strict=True):
             every = sorted([*own, *reconciled(more, own, t)], key=lambda s: (KINDS.index(s[0]), *s[1:]))
             if every:
                 yield i, own, every

@@ -9,6 +9,7 @@ import zlib
 import helpers
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -338,3 +339,61 @@ def test_spans_without_triggers_are_found(tagger, spark):
     assert not pii.windows(text)
     (row,) = pii.personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string"), tagger).collect()
     assert [(s.kind, text[s.start : s.stop]) for s in row.spans] == [("secret", "qJvTbKzWmRhYcXsLpD")]
+
+
+def test_labels_equal_the_plain_patterns():
+    r, some = random.Random(6), ["token", "\u017fecret", "PA\u017f\u017fword", "pwd", "ap\u0131_\u212aey", "Access-Key", "mon", "=", ": ", "'", '"', "abcdefgh", "j\u00fcrgen@mail.example.com", "x@y.org", "10.1.2.3", " ", "\u0130", "k"]
+    for _ in range(4000):
+        t = "".join(r.choice(some) for _ in range(r.randint(1, 8)))
+        want = [s for s in pii.pattern_spans(t) if s[0] in ("ip", "phone")] + [("email", *m.span()) for m in pii._EMAIL.finditer(t) if pii.pattern_spans(m.group())]
+        assert pii.labelled(t) == want + [("secret", *m.span(1)) for m in pii._SECRET.finditer(t)], t
+
+
+def test_texts_are_labelled_when_their_windows_are_chosen(monkeypatch):
+    """Of 20 batches of 100 windows; each batch labelled 100 texts before."""
+    labelled, plain = [], pii.labelled
+    monkeypatch.setattr(pii, "labelled", lambda x: labelled.append(x) or plain(x))
+    r = random.Random(7)
+    rows = [("%032x" % r.getrandbits(128), i % 3, f"a{i} pwd=abcdefgh{i}") for i in range(2000)]
+    got = [x for b in pii.smallest((iter(rows[k : k + 100]) for k in range(0, 2000, 100)), 10) for x in b.to_pylist()]
+    best = sorted(got, key=lambda x: x["at"])[:10]
+    assert [(x["at"], x["part"]) for x in best] == [(at, x[s:]) for at, s, x in sorted(rows)[:10]]
+    assert all(x["tags"] == pii.tags_of(plain(t), s, len(t) - s).tolist() for x, (_, s, t) in zip(best, sorted(rows), strict=False))
+    assert len(labelled) == len(got) < 100
+
+
+def test_windows_of_many_blocks_are_traced_together(monkeypatch):
+    """Best paths of 20 blocks of windows, a few of which hold tags; each block was traced by itself before."""
+    t, traced, plain = pii.Tagger(), [], pii.Tagger.path
+    t.p["Wo"] *= 6
+    t.p["bo"][0] = 1.7
+    r = random.Random(9)
+    texts = ["".join(r.choice("ab cd1@") for _ in range(r.randint(60, 64))) for _ in range(160)] + ["", "x" * 2000]
+    apart = [pii.decoded(t, [x], 0.0)[0] for x in texts]
+    monkeypatch.setattr(pii, "BLOCK", 8)
+    monkeypatch.setattr(pii.Tagger, "path", lambda self, e: traced.append(e.shape[1]) or plain(self, e))
+    got = pii.decoded(t, texts, 0.0)
+    shape = lambda found: [[(inside, *s) for inside, _, *s in x] for x in found]
+    assert shape(got) == shape(apart) and 0 < sum(map(bool, got)) < len(got)
+    assert len(traced) <= 1 + sum(traced) // 8 + len(pii.by_width(texts)) and max(traced) < 16
+
+
+def test_bound_of_windows_holds():
+    t, r = pii.Tagger(), np.random.default_rng(4)
+    for lean in (0.0, 2.0, 5.0):
+        t.p["T"] = r.normal(0, 1, (pii.TAGS, pii.TAGS)).astype(np.float32)
+        e = r.normal(0, 1, (9, pii.TAGS, 300)).astype(np.float32)
+        e[:, 0] += lean
+        e[4:] -= 3 * (np.arange(pii.TAGS) > 0)[:, None]
+        best = t.path(e.transpose(0, 2, 1))
+        assert set(np.flatnonzero(best.any(axis=1))) <= set(t.candidates(e))
+    assert len(t.candidates(e)) < 300
+
+
+def test_groups_of_texts_change_nothing(monkeypatch):
+    t = pii.Tagger()
+    texts = pa.array(["a1@b cd " * k for k in range(40)] + [""] * 3 + ["mail a@b.org"])
+    spans = lambda: [(i, own, every) for i, own, every in pii.text_spans(t, texts, 0.0)]
+    want = spans()
+    monkeypatch.setattr(pii, "GROUP", 500)
+    assert spans() == want and want[-1][0] == 43
