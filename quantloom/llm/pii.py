@@ -236,7 +236,7 @@ class Tagger:
         for k in range(3, TAGS, 2):
             np.maximum(x, e[:, k : k + 2], out=x)
         x -= e[:, :1]
-        now, top = x[0].copy(), x[0] + leave
+        now, top = x[0].copy(), x[0].copy()
         more, room = np.empty_like(now), np.empty_like(now)
         for y in x[1:]:
             np.add(now[:1], first, out=room)
@@ -244,9 +244,8 @@ class Tagger:
             np.maximum(room, more, out=room)
             np.maximum(room, enter, out=room)
             np.add(room, y, out=now)
-            np.add(now, leave, out=more)
-            np.maximum(top, more, out=top)
-        return np.maximum(top, now).max(axis=0)
+            np.maximum(top, now, out=top)
+        return np.maximum(top + leave, now).max(axis=0)
 
     def marginals(self, e: np.ndarray):
         """Forward-backward over e, scaled at each step: tag marginals, expected transitions, log partition."""
@@ -316,25 +315,27 @@ class Tagger:
 
     def best(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The same of quick emissions."""
-        e = np.ascontiguousarray(e.transpose(0, 2, 1))
+        e = e.transpose(0, 2, 1)
         tags = self.path(e)
         sure, some = np.zeros(tags.shape, e.dtype), np.flatnonzero(tags.any(axis=1))
         if len(some):
-            sure[some] = np.take_along_axis(self.marginals(e[:, some])[0].transpose(1, 0, 2), tags[some][:, :, None], axis=2)[:, :, 0]
+            sure[some] = np.take_along_axis(self.marginals(np.ascontiguousarray(e[:, some]))[0].transpose(1, 0, 2), tags[some][:, :, None], axis=2)[:, :, 0]
         return tags, sure
 
     def path(self, e: np.ndarray) -> np.ndarray:
         """Viterbi's best tags for emissions e (time first), a row for each window."""
         t, n, _ = e.shape
-        best, back = e[0], np.zeros((t, n, TAGS), dtype=np.int64)
+        x, step = np.ascontiguousarray(e.transpose(0, 2, 1)), self.p["T"]
+        best, room = np.empty_like(x), np.empty((TAGS, TAGS, n), x.dtype)
+        best[0] = x[0]
         for i in range(1, t):
-            s = best[:, :, None] + self.p["T"]
-            back[i] = s.argmax(axis=1)
-            best = s.max(axis=1) + e[i]
+            np.add(best[i - 1][:, None], step[:, :, None], out=room)
+            np.max(room, axis=0, out=best[i])
+            best[i] += x[i]
         tags = np.zeros((t, n), dtype=np.int64)
-        tags[-1] = best.argmax(axis=1)
-        for i in range(t - 1, 0, -1):
-            tags[i - 1] = back[i][np.arange(n), tags[i]]
+        tags[-1] = best[-1].argmax(axis=0)
+        for i in range(t - 1, 0, -1):  # the tag before that led to the best score
+            tags[i - 1] = (best[i - 1] + step[:, tags[i]]).argmax(axis=0)
         return tags.T
 
 
